@@ -1,8 +1,10 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from treegrammar.llm import simhash
+from treegrammar.llm import simhash, tokens
 
 QUERIES = {
+    "op5_token_counts": tokens.op5_token_counts,
+    "op6_token_output": tokens.op6_token_output,
     "op10_simhash_neardup": simhash.op10_simhash_neardup,
 }
 
