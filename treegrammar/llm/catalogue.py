@@ -1,10 +1,11 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from treegrammar.llm import simhash, tokens
+from treegrammar.llm import mixing, simhash, tokens
 
 QUERIES = {
     "op5_token_counts": tokens.op5_token_counts,
     "op6_token_output": tokens.op6_token_output,
+    "op8_mix_sources": mixing.op8_mix_sources,
     "op10_simhash_neardup": simhash.op10_simhash_neardup,
 }
 
