@@ -1,12 +1,15 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from treegrammar.llm import mixing, simhash, tokens
+from treegrammar.llm import mixing, simhash, tokens, urls
 
 QUERIES = {
+    "op4_url_filter": urls.op4_url_filter,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_token_output": tokens.op6_token_output,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op10_simhash_neardup": simhash.op10_simhash_neardup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op4_url_filter": urls.ORACLE,
+}
