@@ -1,15 +1,17 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from treegrammar.llm import mixing, simhash, tokens, urls
+from treegrammar.llm import mixing, simhash, tokens, topk, urls
 
 QUERIES = {
     "op4_url_filter": urls.op4_url_filter,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_token_output": tokens.op6_token_output,
+    "op7_exact_topk": topk.op7_exact_topk,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op10_simhash_neardup": simhash.op10_simhash_neardup,
 }
 
 ORACLES = {
     "op4_url_filter": urls.ORACLE,
+    "op7_exact_topk": topk.ORACLE,
 }
