@@ -41,7 +41,7 @@ def blocked(rows: DataFrame, size: int, together: int = 1) -> DataFrame:
 
     def run(batches):
         held: dict[int, list] = {}
-        part, made = TaskContext.get().partitionId(), dict[int, int]()
+        task, made = TaskContext.get().partitionId(), dict[int, int]()
 
         def pack(d):
             ids, data = zip(*held.pop(d))
@@ -49,7 +49,7 @@ def blocked(rows: DataFrame, size: int, together: int = 1) -> DataFrame:
             most = max(int(data.max()), -1 - int(data.min()))
             width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w - 1))
             made[d] = made.get(d, -1) + 1
-            return batch(schema, block=[f"{part}-{d}-{made[d] // together}"], dims=[d], width=[width], ids=[np.concatenate(ids).astype("<i8").tobytes()], data=[data.astype(f"<i{width}").tobytes()])
+            return batch(schema, block=[f"{task}-{d}-{made[d] // together}"], dims=[d], width=[width], ids=[np.concatenate(ids).astype("<i8").tobytes()], data=[data.astype(f"<i{width}").tobytes()])
 
         for b in batches:
             ids, v = b.column(0).to_numpy(), b.column(1)
