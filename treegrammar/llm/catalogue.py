@@ -1,8 +1,9 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from treegrammar.llm import language, mixing, simhash, tokens, topk, urls
+from treegrammar.llm import decontaminate, language, mixing, simhash, tokens, topk, urls
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_language_id": language.op3_language_id,
     "op4_url_filter": urls.op4_url_filter,
     "op5_token_counts": tokens.op5_token_counts,
