@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from treegrammar.llm import decontaminate, language, mixing, simhash, tokens, topk, urls
+from treegrammar.llm import decontaminate, language, mixing, simhash, tokens, topk, toxicity, urls
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_token_output": tokens.op6_token_output,
     "op7_exact_topk": topk.op7_exact_topk,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash_neardup": simhash.op10_simhash_neardup,
 }
 
