@@ -168,12 +168,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out if out is not None else spark.createDataFrame([], fields)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without those that hold an item; rows with a null id stay only if their own text is clean."""
-    key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-    marked = docs.withColumn("_row", key)
-    bad = contaminated(marked.select(F.col("_row").alias("doc_id"), F.col(text_col).alias("text")), benchmark, **how)
-    return marked.join(bad.select(F.col("doc_id").alias("_bad")).distinct(), F.col("_row") == F.col("_bad"), "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = BUDGET, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs without those that hold an item."""
+    for block in item_blocks(benchmark, item_col, item_text_col, min_words):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, sent=sent):
+            matcher = Matcher(sent.value, rate)
+            for b in batches:
+                yield b.filter(pa.array([not matcher.search(t) for t in b.column(text_col).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

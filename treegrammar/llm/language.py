@@ -18,6 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -218,6 +219,26 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, fields)
 
 
+def keep_languages(docs: DataFrame, model: Model, least_share: float, text_col: str = "text", lang_col: str = "lang", penalty: float = SWITCH) -> DataFrame:
+    """docs without the documents that have no language, or none with least_share of their letters; a null lang takes the prediction."""
+
+    def run(batches):
+        labeller = Labeller(model) if model.langs else None
+        for b in batches:
+            texts = b.column(text_col).to_pylist()
+            keep, named = [False] * len(texts), [None] * len(texts)
+            for i, j in some(texts, 2 << 20) if labeller else ():
+                for k, (words, lang, size) in enumerate(labeller.label(texts[i:j], penalty), i):
+                    by = np.bincount(lang, size, minlength=len(model.langs)) if len(words) else np.zeros(1)
+                    if by.max() and by.max() >= least_share * by.sum():
+                        keep[k], named[k] = True, model.langs[int(by.argmax())]
+            at = b.schema.get_field_index(lang_col)
+            b = b.set_column(at, b.schema.field(at), pc.coalesce(b.column(at), pa.array(named, pa.string()).cast(b.schema.field(at).type)))
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = learn(docs, ~held(F.col("doc_id"), 3, 1))
