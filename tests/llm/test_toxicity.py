@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 from treegrammar.llm import toxicity as tx
 
 DOCS, LABELS = "doc_id long, text string, toxic string, h long", "doc_id long, quality int, toxic int, text string"
-CATEGORIES = {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+
+
+def categories():
+    return {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
 
 
 def corpus(n=500):
@@ -29,10 +32,10 @@ def test_chain_learns_both_categories(spark):
     docs, labels = corpus()
     df = spark.createDataFrame(docs, DOCS)
     known = spark.createDataFrame(labels[:300] + [(None, 1, 1, "z"), (5, None, 1, "z"), (9999, 0, 1, "z"), labels[0]], LABELS)
-    models = tx.train(df, known, CATEGORIES)
+    models = tx.train(df, known, categories())
     assert [len(m.earlier) for m in models] == [0, 1]
     extra = [(None, None, "x", 1), (600, "", "x", 1), (601, "vile " * 50_000, "x", 1), (0, docs[0][1], "x", 1)]
-    got = tx.predict(df.union(spark.createDataFrame(extra, DOCS)), models, list(CATEGORIES)).collect()
+    got = tx.predict(df.union(spark.createDataFrame(extra, DOCS)), models, list(categories())).collect()
     assert len(got) == len(docs) + len(extra)
     by = {r.doc_id: r for r in got}
     for i, quality, toxic, _ in labels[300:]:
@@ -43,9 +46,9 @@ def test_chain_learns_both_categories(spark):
 def test_no_labels_and_no_documents(spark):
     docs, labels = corpus(20)
     df, known = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
-    models = tx.train(df, known.limit(0), CATEGORIES)
-    assert {r.p_toxic for r in tx.predict(df, models, list(CATEGORIES)).collect()} == {0.5}
-    assert tx.predict(df.limit(0), models, list(CATEGORIES)).collect() == []
+    models = tx.train(df, known.limit(0), categories())
+    assert {r.p_toxic for r in tx.predict(df, models, list(categories())).collect()} == {0.5}
+    assert tx.predict(df.limit(0), models, list(categories())).collect() == []
 
 
 def test_later_models_train_on_out_of_fold_inputs(monkeypatch):
