@@ -1,8 +1,9 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from treegrammar.llm import decontaminate, language, mixing, simhash, tokens, topk, toxicity, urls
+from treegrammar.llm import decontaminate, language, mixing, scoring, simhash, tokens, topk, toxicity, urls
 
 QUERIES = {
+    "op1_lm_score": scoring.op1_lm_score,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_language_id": language.op3_language_id,
     "op4_url_filter": urls.op4_url_filter,
