@@ -44,6 +44,7 @@ DIMS = 1 << 15  # trigram buckets
 MEMO = 300_000
 SWITCH, FLOOR, RARE = 6.0, -30.0, 0.01  # penalty of a switch; score of a language that does not use the word's script; share of a language's letters from which it uses a script
 TRAIN_ROWS = 6000
+MARKS = ".,;:!?|\"'()[]{}<>*#%&$-_/0123456789"
 
 
 def script(word: str) -> str:
@@ -53,8 +54,9 @@ def script(word: str) -> str:
 
 def letters(word: str) -> str:
     """The word in lower case without what stands around its letters; inner marks stay."""
-    if word.isalpha():
-        return word.lower()
+    core = word.strip(MARKS)
+    if core.isalpha():
+        return core.lower()
     at = [i for i, c in enumerate(word) if c.isalpha()]
     return word[at[0] : at[-1] + 1].lower() if at else ""
 
@@ -70,17 +72,20 @@ class Model(NamedTuple):
     logp: np.ndarray  # languages by buckets
     uses: dict[str, list[bool]]  # script -> does each language use it
 
-    def score(self, word: str) -> np.ndarray:
-        """Scores of the languages for a word as it stands in the text, and 0 for all if none is a candidate."""
-        core = letters(word)
-        out = np.zeros(len(self.langs), np.float32)
-        can = self.uses.get(script(core)) if core else None
-        if can and any(can):
-            out[:] = self.logp[:, grams(core)].sum(axis=1)
-            out -= out[can].max()
-            out[~np.array(can)] = FLOOR
-            np.maximum(out, FLOOR, out)
-        return out
+    def scores(self, cores: list[str]) -> np.ndarray:
+        """A row for each word as letters() leaves it: its languages' scores, 0 for all if none is a candidate."""
+        size = np.fromiter(map(len, cores), np.int64, len(cores))
+        points = np.frombuffer("".join([f"\x02{c}\x03" for c in cores]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        first = np.cumsum(size + 2) - size - 2
+        bucket = (points[:-2] * 961_748_927 + points[1:-1] * 31_337 + points[2:] * 2_654_435_761 >> 4) % DIMS
+        inside = np.ones(len(points), bool)  # all but the trigrams that begin in a word's last two places
+        inside[first + size] = inside[first + size + 1] = False
+        starts = np.cumsum(size) - size
+        out = np.add.reduceat(np.ascontiguousarray(self.logp.T)[bucket[inside[:-2]]], starts, axis=0)
+        where = np.searchsorted(_FIRST, points[first + 1], side="right") - 1
+        can = np.array([self.uses[n] for n in _NAME])[where]
+        out -= np.where(can, out, -np.inf).max(axis=1, keepdims=True, initial=-1e30)
+        return np.where(can.any(axis=1, keepdims=True), np.where(can, np.maximum(out, FLOOR), FLOOR), 0).astype(np.float32)
 
 
 def learn(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS) -> Model:
@@ -162,18 +167,20 @@ class Labeller:
         self.reset()
 
     def reset(self):
-        self.memo: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(self.model.langs)), np.float32)
-        self.size = np.zeros(1024, np.int64)
+        """Row 0 stands for words without letters."""
+        self.memo: dict[str, int] = {"": 0}
+        self.scores = np.zeros((1, len(self.model.langs)), np.float32)
+        self.size = np.zeros(1, np.int64)
 
     def look_up(self, words: list[str]) -> np.ndarray:
         memo = self.memo
-        for w in {w for w in words if w not in memo}:
-            i = len(memo)
-            if i == len(self.size):
-                self.scores, self.size = np.concatenate([self.scores, np.zeros_like(self.scores)]), np.concatenate([self.size, np.zeros_like(self.size)])
-            self.scores[i], self.size[i] = self.model.score(w), len(letters(w))
-            memo[w] = i
+        new = {w: letters(w) for w in set(words).difference(memo)}
+        cores = list(set(new.values()).difference(memo))
+        if cores:
+            memo.update(zip(cores, range(len(self.size), len(self.size) + len(cores))))
+            self.scores = np.concatenate([self.scores, self.model.scores(cores)])
+            self.size = np.append(self.size, np.fromiter(map(len, cores), np.int64, len(cores)))
+        memo.update((w, memo[c]) for w, c in new.items())
         return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
 
     def label(self, texts: list[str | None], penalty: float) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
