@@ -184,10 +184,10 @@ def _checker(d: Datatype) -> Callable[[str], bool]:
             tests.append(lambda s: bool(form.fullmatch(s)))
         if d.name == "date":
             tests.append(_is_date)
-    low, high, exact = (d.facet(k) for k in ("minLength", "maxLength", "length"))
-    if low or high or exact:
+    least, most, exact = (d.facet(k) for k in ("minLength", "maxLength", "length"))
+    if least or most or exact:
         size = (lambda s: len(s.split())) if d.name == "NMTOKENS" else len
-        tests.append(lambda s: (low is None or size(s) >= int(low)) and (high is None or size(s) <= int(high)) and (exact is None or size(s) == int(exact)))
+        tests.append(lambda s: (least is None or size(s) >= int(least)) and (most is None or size(s) <= int(most)) and (exact is None or size(s) == int(exact)))
     return lambda s: all(t(v) for v in [d.normal(s)] for t in tests)
 
 
