@@ -200,11 +200,9 @@ def forest(keys: np.ndarray, codes: np.ndarray, radius: int) -> tuple[np.ndarray
 
     if index.n > 1:
         near = (index.keys[1:] == index.keys[:-1]) & (np.bitwise_count(index.codes[1:] ^ index.codes[:-1]) <= radius)
-        at = np.flatnonzero(near)
         # runs of close neighbours first: a dense group becomes one label at once
         start = np.flatnonzero(np.append(True, ~near))
         label[:] = np.repeat(start, np.diff(np.append(start, index.n)))
-        del at
         for i, j in index.pairs(radius, label):
             link(i, j)
     moved = np.flatnonzero(label != np.arange(index.n))
@@ -227,9 +225,10 @@ def links(codes: DataFrame, radius: int = 3, blocks: int | None = None, expected
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        rows = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if rows is None:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
             return
+        rows = pa.Table.from_batches(batches)
         k, v, fp = (rows.column(c).to_numpy() for c in ("k", "v", "fp"))
         order = np.lexsort((v, k))
         k, v, fp = k[order], v[order], fp[order]
