@@ -23,7 +23,8 @@ from pyspark.sql.window import Window
 
 from treegrammar.llm.common import batch, cut, filesystem, forget, make_dir, partitions, put_file, read, scratch
 
-MEMO = 400_000  # pieces kept by a worker
+MEMO = 600_000  # pieces kept by a worker
+TAIL = ".,"  # marks split from the end of a word before it is looked up
 BLOCK_IDS = 1 << 20  # ids after which the writer closes a block
 MAGIC = b"TGVB\x01\x00\x00\x00"
 BLOCK_HEAD = "<IQQQ"  # documents, ids, control bytes, data bytes
@@ -45,18 +46,58 @@ class Pieces:
         self.tokenizer.encode_special_tokens = special_as_text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
+        #: Ids that end a word: in a list of words, each word's ids run up to the next of them.
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
+
+    def one(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def words(self, words: list[str]) -> None:
+        """Remembers words of letters, many to a call; singly where the tokenizer sees other words."""
+        size = self.dtype.itemsize
+        for i in range(0, len(words), 1000):
+            part = words[i : i + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
+                self.memo.update((w, self.one(w)) for w in part)
+                continue
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(part, ends.tolist()):
+                self.memo[w] = raw[start * size : end * size]
+                start = end
+
+    def learn(self, new: list[str]) -> None:
+        """Remembers pieces: a word of letters, in either case, with or without marks at its end, is looked up once."""
+        known, later, words = self.memo, [], set()
+        for p in new:
+            core = p.rstrip(TAIL)
+            if core.isascii() and core.isalpha():
+                core = core.lower()
+                words.add(core)
+                later.append((p, core, p[len(core) :]))
+            elif core.isalpha():
+                words.add(core)
+                later.append((p, core, p[len(core) :]))
+            else:
+                known[p] = self.one(p)
+        self.words([w for w in words if w not in known])
+        for p, core, tail in later:
+            if p != core:
+                if tail and tail not in known:
+                    known[tail] = self.one(tail)
+                known[p] = known[core] + known[tail] if tail else known[core]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         known = self.memo
-        new = list({p for pieces in split for p in pieces if p not in known})
+        new = {p for pieces in split for p in pieces if p not in known}
         if len(known) + len(new) > MEMO:
             known.clear()
-            new = list({p for pieces in split for p in pieces})
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[p] = np.array(e.ids, self.dtype).tobytes()
+            new = {p for pieces in split for p in pieces}
+        self.learn(list(new))
         return [b"".join([known[p] for p in pieces]) for pieces in split]
 
 
