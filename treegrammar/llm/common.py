@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -32,7 +34,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df as a written table: its lineage ends there and a lost executor costs no recomputation."""
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -87,5 +89,12 @@ def make_dir(uri: str) -> None:
     where.create_dir(path, recursive=True)
 
 
+def give_back() -> None:
+    """Returns memory that a worker has freed to the machine, so that one stage's peak isn't held through the next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name] for f in schema], schema=schema)

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treegrammar.llm.common import batch, held, read
+from treegrammar.llm.common import batch, give_back, held, read
 from treegrammar.llm.tokens import some
 
 #: First code points of script ranges, in order (fixed values of the Unicode block layout); a range ends where the next begins.
@@ -41,7 +41,7 @@ _FIRST, _NAME = [a for a, _ in SCRIPTS], [n for _, n in SCRIPTS]
 SCRIPT_NAMES = sorted(set(_NAME))
 
 DIMS = 1 << 15  # trigram buckets
-MEMO = 300_000
+MEMO = 200_000
 SWITCH, FLOOR, RARE = 6.0, -30.0, 0.01  # penalty of a switch; score of a language that does not use the word's script; share of a language's letters from which it uses a script
 TRAIN_ROWS = 6000
 MARKS = ".,;:!?|\"'()[]{}<>*#%&$-_/0123456789"
@@ -212,16 +212,17 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches):
         labeller = Labeller(model) if model.langs else None
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            for i, j in some(texts, 2 << 20):
+            for i, j, texts in some(b.column(1)):
                 langs, shares, runs = [], [], []
-                for words, lang, size in labeller.label(texts[i:j], penalty) if labeller else [([], np.zeros(0, int), np.zeros(0, int))] * (j - i):
+                for words, lang, size in labeller.label(texts, penalty) if labeller else [([], np.zeros(0, int), np.zeros(0, int))] * (j - i):
                     by = np.bincount(lang, size, minlength=len(model.langs)) if len(words) else np.zeros(1)
                     best = int(by.argmax())
                     langs.append(model.langs[best] if by[best] else "und")
                     shares.append(float(by[best] / by.sum()) if by[best] else 0.0)
                     runs.append([{"first": a, "after": z, "lang": model.langs[k]} for a, z, k in spans(words, lang)] if by[best] else [])
-                yield batch(schema, doc_id=ids.slice(i, j - i), lang_pred=langs, score=shares, spans=pa.array(runs, schema.field("spans").type))
+                yield batch(schema, doc_id=b.column(0).slice(i, j - i), lang_pred=langs, score=shares, spans=pa.array(runs, schema.field("spans").type))
+        labeller = None
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, fields)
 
@@ -232,16 +233,17 @@ def keep_languages(docs: DataFrame, model: Model, least_share: float, text_col:
     def run(batches):
         labeller = Labeller(model) if model.langs else None
         for b in batches:
-            texts = b.column(text_col).to_pylist()
-            keep, named = [False] * len(texts), [None] * len(texts)
-            for i, j in some(texts, 2 << 20) if labeller else ():
-                for k, (words, lang, size) in enumerate(labeller.label(texts[i:j], penalty), i):
+            keep, named = [False] * b.num_rows, [None] * b.num_rows
+            for i, _, texts in some(b.column(text_col)) if labeller else ():
+                for k, (words, lang, size) in enumerate(labeller.label(texts, penalty), i):
                     by = np.bincount(lang, size, minlength=len(model.langs)) if len(words) else np.zeros(1)
                     if by.max() and by.max() >= least_share * by.sum():
                         keep[k], named[k] = True, model.langs[int(by.argmax())]
             at = b.schema.get_field_index(lang_col)
             b = b.set_column(at, b.schema.field(at), pc.coalesce(b.column(at), pa.array(named, pa.string()).cast(b.schema.field(at).type)))
-            yield b.filter(pa.array(keep))
+            yield b.filter(pa.array(keep, pa.bool_()))
+        labeller = None
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

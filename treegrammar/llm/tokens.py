@@ -10,21 +10,24 @@ of their token ids; an empty table gives no files and an empty result; other col
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from treegrammar.llm.common import batch, cut, filesystem, forget, make_dir, partitions, put_file, read, scratch
+from treegrammar.llm.common import batch, cut, filesystem, forget, give_back, make_dir, partitions, put_file, read, scratch
 
-MEMO = 600_000  # pieces kept by a worker
-TAIL = ".,"  # marks split from the end of a word before it is looked up
+MEMO, WORDS = 300_000, 450_000  # pieces and words of letters kept by a worker
+#: What the tokenizer looks at apart within a piece of ASCII without apostrophes.
+PARTS = re.compile(r"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
 BLOCK_IDS = 1 << 20  # ids after which the writer closes a block
 MAGIC = b"TGVB\x01\x00\x00\x00"
 BLOCK_HEAD = "<IQQQ"  # documents, ids, control bytes, data bytes
@@ -46,6 +49,7 @@ class Pieces:
         self.tokenizer.encode_special_tokens = special_as_text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         #: Ids that end a word: in a list of words, each word's ids run up to the next of them.
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -62,42 +66,39 @@ class Pieces:
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(part):
-                self.memo.update((w, self.one(w)) for w in part)
+                self.parts.update((w, self.one(w)) for w in part)
                 continue
             raw, start = ids.tobytes(), 0
             for w, end in zip(part, ends.tolist()):
-                self.memo[w] = raw[start * size : end * size]
+                self.parts[w] = raw[start * size : end * size]
                 start = end
 
-    def learn(self, new: list[str]) -> None:
-        """Remembers pieces: a word of letters, in either case, with or without marks at its end, is looked up once."""
-        known, later, words = self.memo, [], set()
+    def learn(self, new: set[str]) -> None:
+        """Remembers pieces.  Their words of letters (ASCII ones in lower case, as the tokenizer lowers them) are looked up once."""
+        known, parts, split = self.memo, self.parts, []
         for p in new:
-            core = p.rstrip(TAIL)
-            if core.isascii() and core.isalpha():
-                core = core.lower()
-                words.add(core)
-                later.append((p, core, p[len(core) :]))
-            elif core.isalpha():
-                words.add(core)
-                later.append((p, core, p[len(core) :]))
+            if p.isascii():
+                split.append((p, PARTS.findall(p.lower()) if "'" not in p and "<|" not in p else None))
             else:
-                known[p] = self.one(p)
-        self.words([w for w in words if w not in known])
-        for p, core, tail in later:
-            if p != core:
-                if tail and tail not in known:
-                    known[tail] = self.one(tail)
-                known[p] = known[core] + known[tail] if tail else known[core]
+                core = p.rstrip(".,")
+                split.append((p, [core, p[len(core) :]] if core.isalpha() and core != p else [p] if core.isalpha() else None))
+        words = {w for _, ws in split if ws for w in ws}.difference(parts)
+        if len(parts) + len(words) > WORDS:
+            parts.clear()
+            words = {w for _, ws in split if ws for w in ws}
+        self.words([w for w in words if w.isalpha()])
+        parts.update((w, self.one(w)) for w in words if not w.isalpha())
+        known.update((p, b"".join([parts[w] for w in ws]) if ws is not None else self.one(p)) for p, ws in split)
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known = self.memo
-        new = {p for pieces in split for p in pieces if p not in known}
+        known, new = self.memo, set()
+        for pieces in split:
+            new.update(set(pieces).difference(known))
         if len(known) + len(new) > MEMO:
             known.clear()
             new = {p for pieces in split for p in pieces}
-        self.learn(list(new))
+        self.learn(new)
         return [b"".join([known[p] for p in pieces]) for pieces in split]
 
 
@@ -107,16 +108,15 @@ def pieces(path: str, special_as_text: bool) -> Pieces:
     return Pieces(path, special_as_text)
 
 
-def some(texts: list, most: int = 4 << 20):
-    """Slices of texts with about as many characters each, so that a batch of long texts stays small."""
-    start = n = 0
-    for i, t in enumerate(texts):
-        n += len(t or "")
-        if n > most:
-            yield start, i + 1
-            start, n = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def some(column: pa.Array, most: int = 2 << 20):
+    """(first row, row after, texts) of slices with about as many bytes each: only one slice at a time becomes Python strings."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(column):
+        end = int(np.searchsorted(size, (size[start - 1] if start else 0) + most, side="right"))
+        end = min(len(column), max(end, start) + 1)
+        yield start, end, column.slice(start, end - start).to_pylist()
+        start = end
 
 
 def tokenised(docs: DataFrame, vocab: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
@@ -127,9 +127,9 @@ def tokenised(docs: DataFrame, vocab: str, end_id: int, id_col: str = "doc_id",
         tok = pieces(vocab, special_as_text)
         end = np.array([end_id], tok.dtype).tobytes()
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            for i, j in some(texts):
-                yield batch(schema, doc_id=ids.slice(i, j - i), ids=[x + end for x in tok.ids(texts[i:j])])
+            for i, j, texts in some(b.column(1)):
+                yield batch(schema, doc_id=b.column(0).slice(i, j - i), ids=[x + end for x in tok.ids(texts)])
+            give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
