@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from treegrammar.llm.common import WORD, cut, forget, read
+from treegrammar.llm.common import WORD, cut, forget, partitions, read
 
 WEIGHTS = (5, 2, 1)
 BUCKETS = 1024  # pieces of a source whose sizes are summed apart, so that no source is ordered in one task
@@ -79,7 +79,7 @@ def slots(goals: DataFrame, block_words: int, shard_words: int, seed: int) -> Da
 
     def each(df: DataFrame, count: str, name: str) -> DataFrame:
         """One row for each of 0 .. count - 1, dealt evenly whatever the largest count."""
-        chunks = df.withColumn("c", F.explode(F.expr(f"sequence(0L, ({count} - 1) div {CHUNK})"))).repartition(*[c for c in ("rank", "shard") if c in df.columns], "c")
+        chunks = df.withColumn("c", F.explode(F.expr(f"sequence(0L, ({count} - 1) div {CHUNK})"))).repartition(partitions(spark), *[c for c in ("rank", "shard") if c in df.columns], "c")
         return chunks.withColumn(name, F.explode(F.expr(f"sequence(c * {CHUNK}, least({count}, (c + 1) * {CHUNK}) - 1)"))).drop("c")
 
     drawn = each(plan.select("rank", "slots", "shards"), "slots", "draw").select("rank", F.pmod(F.xxhash64(F.lit(seed), "rank", "draw"), F.col("shards")).alias("shard"))
@@ -102,7 +102,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     parts = at.where("size > 0").select("rank", "offset", "size", F.explode(F.expr(f"sequence(offset div {block_words}, (offset + size - 1) div {block_words})")).alias("block"))
     base = F.col("block") * block_words
     parts = parts.withColumns({"begin": F.greatest(F.col("offset") - base, F.lit(0)), "end": F.least(F.col("offset") + F.col("size") - base, F.lit(block_words))})
-    took = parts.join(slots(goals, block_words, shard_words, seed), ["rank", "block"])
+    took = parts.join(slots(goals, block_words, shard_words, seed).hint("merge"), ["rank", "block"])  # both sides grow with the input
     words = F.least(F.col("end"), F.col("take")) - F.col("begin")
     pieces = took.select("rank", "offset", "epoch", "block", "shard", (F.col("begin") + base - F.col("offset")).alias("first"), words.alias("words")).where("words > 0")
     return at, pieces
