@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treegrammar.llm import decontaminate, language, mixing, simhash, tokens
+from treegrammar.llm import decontaminate, language, mixing, similar, tokens
 from treegrammar.llm.common import cut, held, read
 
 LEAST_SHARE = 0.3  # of a document's letters that its language must hold
+LIKE_WORDS, LIKE_SHARE = 5, 0.8  # words of a shingle, and the share of two texts' shingles in common that makes them copies
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,11 +23,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: the one with the least id (null ids last); repeated rows are one document."""
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    groups = simhash.near_duplicates(keyed, id_col="_row").select(F.col("doc_id").alias("_key"), "component_id").distinct()
-    named = keyed.select("_row", "doc_id").distinct().join(groups, F.col("_row") == F.col("_key"))
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
+    """Keeps one document of each group of texts that share 0.8 of their five-word shingles: the one with the least id (null ids last); repeated rows are one document."""
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumns({"_row": F.xxhash64("doc_id", text), "_text": F.xxhash64(text)})
+    texts = cut(spark, keyed.select(F.col("_text").alias("row"), text.cast("string").alias("text")).dropDuplicates(["row"]), "texts")
+    groups = similar.similar_texts(texts, LIKE_WORDS, LIKE_SHARE)
+    named = keyed.select("_row", "_text", "doc_id").distinct().join(groups, F.col("_text") == F.col("node"), "left")
+    first = named.groupBy(F.coalesce("root", "_text").alias("component")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
     kept = keyed.join(first.select(F.col("first._row").alias("_keep")), F.col("_row") == F.col("_keep"))
     return kept.dropDuplicates(["_row"]).select(*docs.columns)
 
