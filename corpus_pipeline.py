@@ -17,7 +17,7 @@ LIKE_WORDS, LIKE_SHARE = 5, 0.8  # words of a shingle, and the share of two text
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language (no letters, or none with a fair share of them); a null lang takes the prediction."""
+    """Rejects documents without a language (no letters, or no learned language with a fair share of them); a null lang takes the prediction."""
     model = language.learn(docs, ~held(F.col("doc_id"), 3, 1))
     return language.keep_languages(docs, model, LEAST_SHARE)
 

@@ -66,3 +66,18 @@ def test_held_out_accuracy(spark):
     model = language.learn(docs, ~held(F.col("doc_id"), 3, 1))
     out = language.identify(docs.where(held(F.col("doc_id"), 3, 1)), model).join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert sum(r.lang == r.lang_pred for r in out) > 0.98 * len(out)
+
+
+STRANGE = ["όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι", "全ての人間は 生まれながらにして 自由であり", "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan"]
+
+
+def test_texts_in_no_learned_language_score_low_and_are_rejected(spark):
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    model = language.learn(docs, F.lit(True))
+    rows = [(i, t, None, "a", 1.0) for i, t in enumerate([*STRANGE, " ".join(EN), " ".join(DE), " ".join(RU), " ".join(EN) + " " + STRANGE[0]])]
+    odd = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in language.identify(odd, model).collect()}
+    assert [(got[i].lang_pred, got[i].score) for i in (0, 1)] == [("und", 0.0)] * 2 and got[2].score < 0.3
+    assert [got[i].lang_pred for i in (3, 4, 5)] == ["en", "de", "ru"] and all(got[i].score > 0.9 for i in (3, 4, 5))
+    assert got[6].lang_pred == "en" and 0.5 < got[6].score < 0.8
+    assert {r.doc_id for r in language.keep_languages(odd, model, 0.3).collect()} == {3, 4, 5, 6}

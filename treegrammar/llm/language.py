@@ -3,11 +3,13 @@
 A model is counted from labelled documents: for each language its character trigrams (words in lower case, padded) and the
 scripts its letters come from.  A word's script narrows the candidates to the languages that use it; each candidate scores
 the word by its mean trigram log-probability times the number of trigrams; Viterbi over the words with a switching penalty
-labels spans; the document's language is the one whose spans hold most letters.
+labels spans; the document's language is the one whose spans hold most letters.  Letters count for no language where a word
+has no candidate, or its best candidate gives it no more than a background model does (characters drawn one by one with
+their frequencies in the candidate's training documents); they stay in the whole that a share is taken of.
 
 Training may take a bounded sample: at most ``train_rows`` labelled documents, those with the least hash of their id.
 
-Defined results: a null text and one without letters are ``und`` with score 0; with no labelled documents everything is
+Defined results: a null text, one without letters and one whose letters count for no language are ``und`` with score 0; with no labelled documents everything is
 ``und``; ties go to the language that sorts first; repeated rows are labelled each; other columns are ignored.
 """
 
@@ -41,6 +43,7 @@ _FIRST, _NAME = [a for a, _ in SCRIPTS], [n for _, n in SCRIPTS]
 SCRIPT_NAMES = sorted(set(_NAME))
 
 DIMS = 1 << 15  # trigram buckets
+CHARS, STRANGE = 1 << 12, 0.1  # slots of characters; share of the background that goes to all characters alike, as if there were 256
 MEMO = 200_000
 SWITCH, FLOOR, RARE = 6.0, -30.0, 0.01  # penalty of a switch; score of a language that does not use the word's script; share of a language's letters from which it uses a script
 TRAIN_ROWS = 6000
@@ -71,9 +74,14 @@ class Model(NamedTuple):
     langs: list[str]
     logp: np.ndarray  # languages by buckets
     uses: dict[str, list[bool]]  # script -> does each language use it
+    base: np.ndarray = np.zeros((0, CHARS))  # languages by slots of characters
 
     def scores(self, cores: list[str]) -> np.ndarray:
         """A row for each word as letters() leaves it: its languages' scores, 0 for all if none is a candidate."""
+        return self.judged(cores)[0]
+
+    def judged(self, cores: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """scores(), and for each word whether a candidate gives it more than any candidate's characters alone do."""
         size = np.fromiter(map(len, cores), np.int64, len(cores))
         points = np.frombuffer("".join([f"\x02{c}\x03" for c in cores]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         first = np.cumsum(size + 2) - size - 2
@@ -82,10 +90,14 @@ class Model(NamedTuple):
         inside[first + size] = inside[first + size + 1] = False
         starts = np.cumsum(size) - size
         out = np.add.reduceat(np.ascontiguousarray(self.logp.T)[bucket[inside[:-2]]], starts, axis=0)
+        char = np.ascontiguousarray(self.base.T)[points % CHARS]
+        ground = np.add.reduceat((char[:-2] + char[1:-1] + char[2:])[inside[:-2]], starts, axis=0)
         where = np.searchsorted(_FIRST, points[first + 1], side="right") - 1
         can = np.array([self.uses[n] for n in _NAME])[where]
-        out -= np.where(can, out, -np.inf).max(axis=1, keepdims=True, initial=-1e30)
-        return np.where(can.any(axis=1, keepdims=True), np.where(can, np.maximum(out, FLOOR), FLOOR), 0).astype(np.float32)
+        best = np.where(can, out, -np.inf).max(axis=1, keepdims=True, initial=-1e30)
+        out -= best
+        known = can.any(axis=1) & (best[:, 0] > np.where(can, ground, -np.inf).max(axis=1, initial=-1e30))
+        return np.where(can.any(axis=1, keepdims=True), np.where(can, np.maximum(out, FLOOR), FLOOR), 0).astype(np.float32), known
 
 
 def learn(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS) -> Model:
@@ -101,22 +113,27 @@ def learn(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str
     def run(batches):
         seen: dict[tuple[str, str, int], int] = {}
         memo: dict[str, tuple] = {}
+        chars: dict[str, np.ndarray] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 tri = np.zeros(DIMS, np.int64)
+                every = chars.setdefault(lang, np.zeros(CHARS, np.int64))
                 for w in text.split():
                     if w not in memo:
                         if len(memo) > MEMO:
                             memo.clear()
                         core = letters(w)
-                        memo[w] = (grams(core), SCRIPT_NAMES.index(script(core)), len(core)) if core else ([], 0, 0)
-                    g, s, k = memo[w]
+                        memo[w] = (grams(core), SCRIPT_NAMES.index(script(core)), len(core), [ord(c) % CHARS for c in f"\x02{core}\x03"]) if core else ([], 0, 0, [])
+                    g, s, k, points = memo[w]
                     for x in g:
                         tri[x] += 1
+                    for x in points:
+                        every[x] += 1
                     if k:
                         seen[lang, "script", s] = seen.get((lang, "script", s), 0) + k
                 for x in np.flatnonzero(tri).tolist():
                     seen[lang, "gram", x] = seen.get((lang, "gram", x), 0) + int(tri[x])
+        seen.update(((lang, "char", x), int(every[x])) for lang, every in chars.items() for x in np.flatnonzero(every).tolist())
         if seen:
             langs, kinds, keys = zip(*seen)
             yield batch(schema, lang=langs, kind=kinds, key=keys, n=list(seen.values()))
@@ -125,12 +142,14 @@ def learn(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str
     langs = sorted(found["lang"].unique())
     counts = np.zeros((len(langs), DIMS))
     script_n = np.zeros((len(langs), len(SCRIPT_NAMES)))
+    char_n = np.zeros((len(langs), CHARS))
     for lang, kind, key, n in found.itertuples(index=False):
-        (counts if kind == "gram" else script_n)[langs.index(lang), key] += n
+        {"gram": counts, "script": script_n, "char": char_n}[kind][langs.index(lang), key] += n
     smooth = 0.1
     logp = np.log((counts + smooth) / (counts.sum(axis=1, keepdims=True) + smooth * DIMS)).astype(np.float32)
     share = script_n / np.maximum(script_n.sum(axis=1, keepdims=True), 1)
-    return Model(langs, logp, {s: (share[:, i] >= RARE).tolist() for i, s in enumerate(SCRIPT_NAMES)})
+    base = (1 - STRANGE) * char_n / np.maximum(char_n.sum(axis=1, keepdims=True), 1) + STRANGE / 256
+    return Model(langs, logp, {s: (share[:, i] >= RARE).tolist() for i, s in enumerate(SCRIPT_NAMES)}, np.log(base).astype(np.float32))
 
 
 def viterbi(scores: np.ndarray, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
@@ -171,6 +190,7 @@ class Labeller:
         self.memo: dict[str, int] = {"": 0}
         self.scores = np.zeros((1, len(self.model.langs)), np.float32)
         self.size = np.zeros(1, np.int64)
+        self.known = np.zeros(1, bool)
 
     def look_up(self, words: list[str]) -> np.ndarray:
         memo = self.memo
@@ -178,13 +198,15 @@ class Labeller:
         cores = list(set(new.values()).difference(memo))
         if cores:
             memo.update(zip(cores, range(len(self.size), len(self.size) + len(cores))))
-            self.scores = np.concatenate([self.scores, self.model.scores(cores)])
+            scores, known = self.model.judged(cores)
+            self.scores = np.concatenate([self.scores, scores])
+            self.known = np.append(self.known, known)
             self.size = np.append(self.size, np.fromiter(map(len, cores), np.int64, len(cores)))
         memo.update((w, memo[c]) for w, c in new.items())
         return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
 
-    def label(self, texts: list[str | None], penalty: float) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
-        """Words, their languages (index) and their letters, for each text."""
+    def label(self, texts: list[str | None], penalty: float) -> list[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
+        """Words, their languages (index), their letters and those that count for their language, for each text."""
         if len(self.memo) > MEMO:
             self.reset()
         split = [(t or "").split() for t in texts]
@@ -193,7 +215,8 @@ class Labeller:
         ids = self.look_up([w for words in split for w in words])
         lang = viterbi(self.scores, ids, ends - lengths, lengths, penalty)
         size = self.size[ids]
-        return [(w, lang[e - len(w) : e], size[e - len(w) : e]) for w, e in zip(split, ends.tolist())]
+        own = np.where(self.known[ids], size, 0)
+        return [(w, lang[e - len(w) : e], size[e - len(w) : e], own[e - len(w) : e]) for w, e in zip(split, ends.tolist())]
 
 
 def spans(words: list[str], lang: np.ndarray) -> list[tuple[int, int, int]]:
@@ -204,7 +227,7 @@ def spans(words: list[str], lang: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH) -> DataFrame:
-    """(doc_id, lang_pred, score, spans): score is the share of letters in spans of lang_pred; spans: (first word, word after, language)."""
+    """(doc_id, lang_pred, score, spans): score is the share of letters that count for lang_pred in its spans; spans: (first word, word after, language)."""
     fields = "doc_id long, lang_pred string, score double, spans array<struct<first:int,after:int,lang:string>>"
     span = pa.struct([("first", pa.int32()), ("after", pa.int32()), ("lang", pa.string())])
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(span))])
@@ -214,11 +237,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for b in batches:
             for i, j, texts in some(b.column(1)):
                 langs, shares, runs = [], [], []
-                for words, lang, size in labeller.label(texts, penalty) if labeller else [([], np.zeros(0, int), np.zeros(0, int))] * (j - i):
-                    by = np.bincount(lang, size, minlength=len(model.langs)) if len(words) else np.zeros(1)
+                for words, lang, size, own in labeller.label(texts, penalty) if labeller else [([], *[np.zeros(0, int)] * 3)] * (j - i):
+                    by = np.bincount(lang, own, minlength=len(model.langs)) if len(words) else np.zeros(1)
                     best = int(by.argmax())
                     langs.append(model.langs[best] if by[best] else "und")
-                    shares.append(float(by[best] / by.sum()) if by[best] else 0.0)
+                    shares.append(float(by[best] / size.sum()) if by[best] else 0.0)
                     runs.append([{"first": a, "after": z, "lang": model.langs[k]} for a, z, k in spans(words, lang)] if by[best] else [])
                 yield batch(schema, doc_id=b.column(0).slice(i, j - i), lang_pred=langs, score=shares, spans=pa.array(runs, schema.field("spans").type))
         labeller = None
@@ -235,9 +258,9 @@ def keep_languages(docs: DataFrame, model: Model, least_share: float, text_col:
         for b in batches:
             keep, named = [False] * b.num_rows, [None] * b.num_rows
             for i, _, texts in some(b.column(text_col)) if labeller else ():
-                for k, (words, lang, size) in enumerate(labeller.label(texts, penalty), i):
-                    by = np.bincount(lang, size, minlength=len(model.langs)) if len(words) else np.zeros(1)
-                    if by.max() and by.max() >= least_share * by.sum():
+                for k, (words, lang, size, own) in enumerate(labeller.label(texts, penalty), i):
+                    by = np.bincount(lang, own, minlength=len(model.langs)) if len(words) else np.zeros(1)
+                    if by.max() and by.max() >= least_share * size.sum():
                         keep[k], named[k] = True, model.langs[int(by.argmax())]
             at = b.schema.get_field_index(lang_col)
             b = b.set_column(at, b.schema.field(at), pc.coalesce(b.column(at), pa.array(named, pa.string()).cast(b.schema.field(at).type)))
