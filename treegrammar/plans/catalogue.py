@@ -92,6 +92,30 @@ _events("events_optional", f"element log {{ element signup {{ empty }}?, ({_ANY}
 _events("events_interleave", "element log { element error { empty }? & element signup { empty }? & element purchase { empty }? & (element view { empty } | element click { empty })* }", "count(*) FILTER (event_type = 'error') <= 1 AND count(*) FILTER (event_type = 'signup') <= 1 AND count(*) FILTER (event_type = 'purchase') <= 1")
 
 
+def event_logs(spark, sf_dir) -> DataFrame:
+    """A user's whole log."""
+    return rendered(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.concat(F.lit("<"), "event_type", F.lit("/>")), "log")
+
+
+def _logs(name: str, schema: str, condition: str) -> None:
+    query(name, f"SELECT user_id, {condition} AS valid FROM events GROUP BY user_id")(lambda spark, sf_dir: validate(event_logs(spark, sf_dir), compile_text(schema), "user_id").select("user_id", "valid"))
+
+
+def _up_to(n: int, item: str) -> str:
+    return f"({item}, " * (n - 1) + f"{item}?" + ")?" * (n - 1)
+
+
+#: The grammars of the three above over whole logs, which few logs can meet, and looser ones that some meet.
+_E, _S = "element error { empty }", "element signup { empty }"
+_AT_MOST = "count(*) FILTER (event_type = 'error') <= {0} AND count(*) FILTER (event_type = 'signup') <= {0} AND count(*) FILTER (event_type = 'purchase') <= {0}"
+_logs("events_log_choice_star", f"element log {{ ({_ANY})* }}", "bool_and(event_type IN ('view', 'click', 'purchase'))")
+_logs("events_log_optional", f"element log {{ {_S}?, ({_ANY} | {_E})* }}", f"regexp_full_match({_WORD}, 's?[xe]*')")
+_logs("events_log_interleave", f"element log {{ {_E}? & {_S}? & element purchase {{ empty }}? & (element view {{ empty }} | element click {{ empty }})* }}", _AT_MOST.format(1))
+_logs("events_log_choice_star_loose", f"element log {{ ({_E}?, {_E}?, ({_ANY} | {_S}))*, {_E}?, {_E}? }}", f"NOT contains({_WORD}, 'eee')")
+_logs("events_log_optional_loose", f"element log {{ {_S}?, ({_ANY} | {_E}), ({_ANY} | {_E} | {_S})* }}", f"regexp_full_match({_WORD}, 's?[xe][xes]*')")
+_logs("events_log_interleave_loose", f"element log {{ {_up_to(16, _E)} & {_up_to(16, _S)} & {_up_to(16, 'element purchase { empty }')} & (element view {{ empty }} | element click {{ empty }})* }}", _AT_MOST.format(16))
+
+
 def customer_docs(spark, sf_dir) -> DataFrame:
     seg = F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit(' seg="'), escaped(F.col("c_mktsegment")), F.lit('"'))).otherwise("")
     extra = F.when(F.col("c_custkey") % 5 == 0, ' extra="1"').otherwise("")
