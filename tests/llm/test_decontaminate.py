@@ -77,3 +77,12 @@ def test_every_item_within_its_budget_is_found(spark):
     again = [(r.doc_id, r.item_id, r.distance) for r in dc.contaminated(df, bench).collect()]
     dc.BLOCK_CHARS = kept
     assert sorted(set(again), key=str) == sorted(set(got), key=str)
+
+
+def test_short_items_must_occur_unchanged_at_word_bounds(spark):
+    items = [(1, "Who wrote  Hamlet?", 0), (2, "two", 0), (3, "art of war", 0), (4, "", 0)]
+    docs = [(1, "q: who wrote\nhamlet? a: ...", 0, 0, "e"), (2, "who wrote hamlet", 0, 0, "e"), (3, "network twork", 0, 0, "e"), (4, "network, (TWO) of", 0, 0, "e"), (5, "smart of war, then art of warm", 0, 0, "e"), (6, "start of war; the art of war.", 0, 0, "e"), (7, None, 0, 0, "e")]
+    df, bench = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, ITEMS)
+    got = sorted((r.doc_id, r.item_id, r.distance) for r in dc.contaminated(df, bench).collect())
+    assert got == [(1, 1, 0), (4, 2, 0), (6, 3, 0)]
+    assert sorted(r.doc_id for r in dc.clean(df, bench).collect()) == [2, 3, 5, 7]

@@ -4,11 +4,12 @@ Items and documents are compared in lower case with single blanks.  An item of n
 occur with up to k = floor(n * budget) edits; cut into k + 1 pieces, at least one piece then occurs unchanged.  All pieces
 are searched at once (Aho-Corasick); each hit names a window of the document in which the item would lie, overlapping
 windows of an item are joined, and Myers' bit-parallel distance gives the least number of edits of the item against any
-substring of the window.  An item that no substring matches within k is not reported.
+substring of the window.  An item that no substring matches within k is not reported.  Items of fewer than min_words words
+must occur unchanged, with no letter or digit that goes on before or after them.
 
 Items are broadcast in blocks of at most BLOCK_CHARS characters; each further block is one more pass over the documents.
 
-Defined results: null or empty texts and items match nothing, nor do items of fewer than min_words words; repeated items or
+Defined results: null or empty texts and items match nothing; repeated items or
 documents are reported each (a repeated item id once, with its least distance); empty tables give an empty result; other
 columns are ignored.
 """
@@ -41,6 +42,18 @@ def pieces(item: str, k: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(edge, edge[1:])]
 
 
+def whole(item: str, text: str) -> int:
+    """Where the item's first occurrence at word bounds ends, 0 if there is none."""
+    at = text.find(item)
+    while at >= 0:
+        end = at + len(item)
+        before, after = text[at - 1 : at] if at else "", text[end : end + 1]
+        if not (before.isalnum() and item[0].isalnum()) and not (after.isalnum() and item[-1].isalnum()):
+            return end
+        at = text.find(item, at + 1)
+    return 0
+
+
 class Myers:
     """Least edits of a pattern against the substrings of texts, by columns of the edit matrix held as bits."""
 
@@ -77,13 +90,14 @@ class Myers:
 class Matcher:
     """Searches documents for a block of items: (item_id, text), normalised."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, min_words: int = MIN_WORDS):
         import ahocorasick
 
         by_text: dict[str, list[int]] = {}
         for i, text in items:
             by_text.setdefault(text, []).append(i)
-        self.items = [(ids, text, budget(text, rate)) for text, ids in by_text.items()]
+        self.short = [text.count(" ") + 1 < min_words for text in by_text]
+        self.items = [(ids, text, 0 if short else budget(text, rate)) for (text, ids), short in zip(by_text.items(), self.short)]
         self.myers: list[Myers | None] = [None] * len(self.items)
         found: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text, k) in enumerate(self.items):
@@ -121,6 +135,11 @@ class Matcher:
         out = []
         for n, spans in self.windows(text).items() if text else ():
             ids, item, k = self.items[n]
+            if self.short[n]:
+                end = whole(item, text)
+                if end:
+                    out += [(i, 0, end) for i in sorted(set(ids))]
+                continue
             m = self.myers[n] = self.myers[n] or Myers(item)
             best, end = min((d, a + e) for a, b in spans for d, e in [m.least(text[a:b])])
             if best <= k:
@@ -128,13 +147,13 @@ class Matcher:
         return out
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, min_words: int):
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str):
     """The items in blocks of bounded size, fetched one block at a time."""
     rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null")
     block, size = [], 0
     for r in rows.toLocalIterator():
         text = normal(r.t)
-        if text.count(" ") + 1 < min_words:
+        if not text:
             continue
         if block and size + len(text) > BLOCK_CHARS:
             yield block
@@ -152,11 +171,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("end", pa.int64())])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for block in item_blocks(benchmark, item_col, item_text_col, min_words):
+    for block in item_blocks(benchmark, item_col, item_text_col):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
-            matcher = Matcher(sent.value, rate)
+            matcher = Matcher(sent.value, rate, min_words)
             for b in batches:
                 found = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for m in matcher.search(t)]
                 if found:
@@ -170,11 +189,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = BUDGET, min_words: int = MIN_WORDS) -> DataFrame:
     """docs without those that hold an item."""
-    for block in item_blocks(benchmark, item_col, item_text_col, min_words):
+    for block in item_blocks(benchmark, item_col, item_text_col):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
-            matcher = Matcher(sent.value, rate)
+            matcher = Matcher(sent.value, rate, min_words)
             for b in batches:
                 yield b.filter(pa.array([not matcher.search(t) for t in b.column(text_col).to_pylist()], pa.bool_()))
 
