@@ -17,3 +17,13 @@ def test_a_log_is_all_of_a_users_events(spark):
     assert len(got) == 6 and all(len(v) == users for v in got.values())
     assert not any(got["events_log_interleave"])
     assert 0 < sum(got["events_log_interleave_loose"]) < users
+
+
+def test_texts_with_controls_and_nulls_are_validated(spark, tmp_path):
+    texts = [None, "", "plain & <b>", "a\r\nb\rc", "x\x01y", "x\ufffey", "x\x0cy", "a" * 1500, "a" * 1501, "\r\n" * 1500, "\r\n" * 1501, "\r" * 1500, "\r" * 1501, "é\t" * 750, "\U0001f600" * 1501]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted((r.doc_id, r.valid) for r in QUERIES["entities_in_all_text"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(ORACLES["entities_in_all_text"]).fetchall())
+    assert [v for _, v in got] == [False, True, True, True, False, False, False, True, False, True, False, True, False, True, False]

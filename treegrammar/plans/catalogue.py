@@ -159,6 +159,13 @@ def entities_in_text(spark, sf_dir):
     return validate(docs.select("doc_id", xml.alias("xml")), compile_text('element doc { xsd:string { maxLength = "1500" } }')).select("doc_id", "valid")
 
 
+@query("entities_in_all_text", "SELECT doc_id, text IS NOT NULL AND NOT regexp_matches(coalesce(text, ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{FFFE}\\x{FFFF}]') AND coalesce(length(replace(text, chr(13) || chr(10), chr(10))) <= 1500, false) AS valid FROM documents")
+def entities_in_all_text(spark, sf_dir):
+    """The same for every row: null and ill-formed texts are not valid, CR LF is one character."""
+    xml = F.concat(F.lit("<doc>"), escaped(F.col("text")), F.lit("</doc>"))
+    return validate(table(spark, sf_dir, "documents").select("doc_id", xml.alias("xml")), compile_text('element doc { xsd:string { maxLength = "1500" } }')).select("doc_id", "valid")
+
+
 @query("ns_scope_lookup", "SELECT n_nationkey, n_regionkey % 2 = 0 AND n_nationkey % 3 <> 0 AS valid, CASE WHEN n_nationkey % 3 = 0 THEN 'undefined_namespace_prefix' WHEN n_regionkey % 2 <> 0 THEN 'element-start' END AS error_kind FROM nation")
 def ns_scope_lookup(spark, sf_dir):
     """The prefix is declared on a closed sibling only for every third nation; the inner default namespace is the region's."""
