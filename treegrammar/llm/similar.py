@@ -5,7 +5,8 @@ first n - ceil(least * n) + 1 of the one and of the other have a member in commo
 Every text's prefix is dealt by shingle.  The order puts shingles that a sample of the texts repeats last, which keeps common
 passages out of the prefixes; any order gives the same pairs.
 
-Candidates are verified by exact similarity in two rounds.  First each text of a shingle is held against the shingle's
+Each text carries the parity of its shingles in 512 slots: two texts differ in at least as many shingles as parities, which drops
+most pairs of a shingle at sight and never one that is similar.  What is left is verified by exact similarity in two rounds.  First each text of a shingle is held against the shingle's
 smallest text of fitting size, and against the least text of its SimHash component: that joins large groups without looking
 at all their pairs.  Then all texts of a shingle that are not yet in one component are held against each other.
 
@@ -25,8 +26,9 @@ from treegrammar.llm import simhash
 from treegrammar.llm.common import batch, cut, partitions
 from treegrammar.llm.tokens import some
 
-SAMPLE, SLOTS, OFTEN = 20_000, 1 << 20, 3  # texts whose shingles are counted, slots of the counts, count from which a slot is common
+SAMPLE, SLOTS, OFTEN = 4000, 1 << 22, 4  # texts whose shingles are counted, slots of the counts, count from which a slot is common
 PAIRS = 1 << 18  # pairs given out at once
+PARITIES = tuple(f"m{i}" for i in range(8))  # of 64 slots each
 
 
 def shingle_set(text: str | None, words: int, seed: int) -> np.ndarray:
@@ -47,6 +49,17 @@ def prefix(shingles: np.ndarray, common: np.ndarray, least: float) -> np.ndarray
     return shingles[order[: n - math.ceil(least * n - 1e-9) + 1]]
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    odd = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % 512, minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def may_be(n: np.ndarray, m: np.ndarray, i: int, j: np.ndarray, least: float) -> np.ndarray:
+    """Of the rows j, those that sizes and parities leave for row i."""
+    apart = np.bitwise_count((m[j] ^ m[i]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+    return j[apart <= (1 - least) / (1 + least) * (n[i].astype(np.int64) + n[j]) + 1e-9]
+
+
 def common_slots(texts: DataFrame, words: int, seed: int) -> np.ndarray:
     """Counts of a bounded sample's shingles by slot, where they are not rare."""
     n = texts.count()
@@ -54,16 +67,14 @@ def common_slots(texts: DataFrame, words: int, seed: int) -> np.ndarray:
     schema = pa.schema([("slot", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
-        seen = np.zeros(SLOTS, np.int64)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                np.add.at(seen, (shingle_set(t, words, seed) % np.uint64(SLOTS)).astype(np.int64), 1)
-        at = np.flatnonzero(seen)
-        yield batch(schema, slot=at, n=seen[at])
-
-    found = sample.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(f"n >= {OFTEN}").toPandas()
-    out = np.zeros(SLOTS, np.int64)
-    out[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+            for _, _, part in some(b.column(0)):
+                at, n = np.unique(np.concatenate([shingle_set(t, words, seed) % np.uint64(SLOTS) for t in part]), return_counts=True)
+                yield batch(schema, slot=at.astype(np.int64), n=n)
+
+    found = sample.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(f"n >= {OFTEN}").toArrow()
+    out = np.zeros(SLOTS, np.uint16)
+    out[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), 65535)
     return out
 
 
@@ -96,10 +107,10 @@ def gathered(pieces, schema: pa.Schema):
 
 
 def shared_tokens(texts: DataFrame, words: int, least: float, seed: int) -> DataFrame:
-    """(token, row, n): prefix shingles that more than one text has."""
+    """(token, row, n, parities): prefix shingles that more than one text has."""
     spark = texts.sparkSession
-    sent = spark.sparkContext.broadcast(np.minimum(common_slots(texts, words, seed), 65535).astype(np.uint16))
-    schema = pa.schema([("token", pa.int64()), ("row", pa.int64()), ("n", pa.int32())])
+    sent = spark.sparkContext.broadcast(common_slots(texts, words, seed))
+    schema = pa.schema([("token", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), *((m, pa.int64()) for m in PARITIES)])
 
     def emit(batches):
         def pieces():
@@ -108,14 +119,14 @@ def shared_tokens(texts: DataFrame, words: int, least: float, seed: int) -> Data
                     for row, t in zip(b.column(0).slice(i, len(part)).to_pylist(), part):
                         s = shingle_set(t, words, seed)
                         p = prefix(s, sent.value, least)
-                        yield p.view(np.int64), np.full(len(p), row), np.full(len(p), len(s), np.int32)
+                        yield p.view(np.int64), np.full(len(p), row), np.full(len(p), len(s), np.int32), *(np.full(len(p), m) for m in parities(s).view(np.int64))
 
         yield from gathered(pieces(), schema)
 
     def keep(batches):
-        yield from gathered(buckets(batches, ("row", "n")), schema)
+        yield from gathered(buckets(batches, ("row", "n", *PARITIES)), schema)
 
-    fields = "token long, row long, n int"
+    fields = "token long, row long, n int, " + ", ".join(f"{m} long" for m in PARITIES)
     return texts.select("row", "text").mapInArrow(emit, fields).repartition(partitions(spark), "token").mapInArrow(keep, fields)
 
 
@@ -127,11 +138,12 @@ def led(shared: DataFrame, least: float) -> DataFrame:
 
     def run(batches):
         def pieces():
-            for _, row, n in buckets(batches, ("row", "n")):
-                a = 0
+            for _, row, n, *m in buckets(batches, ("row", "n", *PARITIES)):
+                m, a = np.stack(m, 1), 0
                 while a < len(row) - 1:
                     z = a + int(fits(n[a], n[a:], least).sum())
-                    yield np.minimum(row[a], row[a + 1 : z]), np.maximum(row[a], row[a + 1 : z])
+                    other = row[may_be(n, m, a, np.arange(a + 1, z), least)]
+                    yield np.minimum(row[a], other), np.maximum(row[a], other)
                     a = max(z, a + 1)
 
         yield from gathered(pieces(), PAIR)
@@ -141,16 +153,18 @@ def led(shared: DataFrame, least: float) -> DataFrame:
 
 def apart(shared: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """(a, b): all pairs of a token's texts that are in different components and fit in size."""
-    rows = shared.join(roots.select(F.col("node").alias("row"), "root"), "row", "left").select("token", "row", "n", F.coalesce("root", "row").alias("root"))
+    rows = shared.join(roots.select(F.col("node").alias("row"), "root"), "row", "left").select("token", "row", "n", F.coalesce("root", "row").alias("root"), *PARITIES)
 
     def run(batches):
         def pieces():
-            for _, row, n, root in buckets(batches, ("row", "n", "root")):
+            for _, row, n, root, *m in buckets(batches, ("row", "n", "root", *PARITIES)):
                 if (root == root[0]).all():
                     continue
+                m = np.stack(m, 1)
                 for i in range(len(row) - 1):
                     z = i + int(fits(n[i], n[i:], least).sum())
-                    other = row[i + 1 : z][root[i + 1 : z] != root[i]]
+                    other = np.arange(i + 1, z)
+                    other = row[may_be(n, m, i, other[root[i + 1 : z] != root[i]], least)]
                     if len(other):
                         yield np.minimum(row[i], other), np.maximum(row[i], other)
 
@@ -159,8 +173,19 @@ def apart(shared: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     return rows.repartition(partitions(shared.sparkSession), "token").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs whose sets are so similar."""
+def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float, seed: int) -> DataFrame:
+    """The pairs whose sets are so similar; sets are made only for texts of pairs."""
+    spark = texts.sparkSession
+    pairs = cut(spark, pairs.distinct(), "pairs")
+    rows = cut(spark, pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "rows")
+    schema = pa.schema([("row", pa.int64()), ("sh", pa.binary())])
+
+    def make(batches):
+        for b in batches:
+            for i, j, part in some(b.column(1)):
+                yield batch(schema, row=b.column(0).slice(i, j - i), sh=[shingle_set(t, words, seed).tobytes() for t in part])
+
+    sets = cut(spark, texts.join(rows, "row", "left_semi").select("row", "text").mapInArrow(make, "row long, sh binary"), "sets")
 
     def run(batches):
         for b in batches:
@@ -171,7 +196,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 good.append(both >= least * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], schema=PAIR).filter(pa.array(good, pa.bool_()))
 
-    joined = pairs.distinct().join(sets.select(F.col("row").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("sh").alias("y")), "b")
+    joined = pairs.join(sets.select(F.col("row").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("sh").alias("y")), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -179,17 +204,9 @@ def similar_texts(texts: DataFrame, words: int = 5, least: float = 0.8, seed: in
     """(node, root) for every row of texts (row, text; a row each) that is similar to another: root names the component."""
     spark: SparkSession = texts.sparkSession
     shared = cut(spark, shared_tokens(texts, words, least, seed), "shared")
-    schema = pa.schema([("row", pa.int64()), ("sh", pa.binary())])
-
-    def run(batches):
-        for b in batches:
-            for i, j, part in some(b.column(1)):
-                yield batch(schema, row=b.column(0).slice(i, j - i), sh=[shingle_set(t, words, seed).tobytes() for t in part])
-
-    sets = cut(spark, texts.join(shared.select("row").distinct(), "row", "left_semi").select("row", "text").mapInArrow(run, "row long, sh binary"), "sets")
     near = simhash.near_duplicates(texts, "row", "text", words, seed)
     near = near.where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
-    first = cut(spark, verified(led(shared, least).union(near), sets, least), "alike")
+    first = cut(spark, verified(led(shared, least).union(near), texts, words, least, seed), "alike")
     roots = simhash.components(spark, first)
-    second = verified(apart(shared, roots, least), sets, least)
+    second = verified(apart(shared, roots, least), texts, words, least, seed)
     return simhash.components(spark, first.union(second))
