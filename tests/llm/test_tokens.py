@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -60,6 +61,18 @@ def test_flat_files_are_counted(spark):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_op5_on_empty_and_repeated_rows(spark, tmp_path):
+    import pyarrow as pa
+
+    for n, rows in enumerate(([], [(1, "a b"), (1, "a b"), (None, None), (2, "")])):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        d, t = zip(*rows) if rows else ([], [])
+        pq.write_table(pa.table({"doc_id": pa.array(d, pa.int64()), "text": pa.array(t, pa.string()), "n_tokens": pa.array([0] * len(rows), pa.int64())}), folder / "documents.parquet")
+        got = tokens.op5_token_counts(spark, str(folder)).collect()
+        assert sorted(map(tuple, got), key=str) == sorted([(d, len((t or "").split())) for d, t in rows], key=str)
+
+
 @pytest.mark.parametrize("block", [1, 3, 1000])
 def test_documents_cross_blocks_and_files(spark, tmp_path, block):
     rnd = np.random.default_rng(3)
@@ -76,3 +89,31 @@ def test_documents_cross_blocks_and_files(spark, tmp_path, block):
     want.append((len(want), start, len(stream) - start, False))
     got = tokens.separator_scan(files, 0, 2, block).select("doc", "start", "n_tokens", "ended").collect()
     assert sorted(map(tuple, got)) == want
+
+
+def test_every_letter_before_marks():
+    """Letters whose composed lower case is more than letters must not be taken apart from what follows them."""
+    path = tokens.vocabulary("word_bpe_49k.json")
+    own, t = tokens.Pieces(path, False), tokenizer(path)
+    letters = [c for c in map(chr, range(0x80, 0x30000)) if c.isalpha() and not ("㐀" < c < "鿿" or "가" < c < "힣" or c > "\U00020000")]
+    pieces = [f"{a}{c}{m}" for c in letters for a, m in (("", "."), ("b", ",.."))]
+    for i in range(0, len(pieces), 2000):
+        part = pieces[i : i + 2000]
+        got = [np.frombuffer(x, "<u2").tolist() for x in own.ids(part)]
+        assert got == [e.ids for e in t.encode_batch(part, add_special_tokens=False)]
+
+
+@given(st.text(st.sampled_from("aBİक़ড়ਲ਼́é.,'s <|>\n\t　123"), max_size=30))
+@settings(max_examples=300, deadline=None)
+def test_odd_texts(text):
+    path = tokens.vocabulary("word_bpe_49k.json")
+    assert np.frombuffer(tokens.pieces(path, False).ids([text])[0], "<u2").tolist() == tokenizer(path).encode(text, add_special_tokens=False).ids
+
+
+def test_memo_forgets_what_is_old():
+    m = tokens.Memo(4)
+    for i in range(20):
+        for k in m.missing({"often", i}):
+            m.young[k] = str(k)
+        assert m.young["often"] == "often" and len(m.young) + len(m.old) <= 8
+    assert m.missing({0}) == [0]

@@ -2,7 +2,7 @@
 
 Both operators tokenise whole texts with a tokenizers vocabulary.  Vocabularies of the kind used here treat every run of
 white space as one dropped separator, so a text's ids are the ids of its pieces between blanks, and each worker keeps the
-pieces it has met (the memo is emptied when full; results do not depend on it).
+pieces it has met (those not met again for long are forgotten; results do not depend on it).
 
 Defined results: a null text is an empty one (only the end id); null ids sort first; rows with one id stand in the order
 of their token ids; an empty table gives no files and an empty result; other columns are ignored.
@@ -14,6 +14,8 @@ import re
 import struct
 import zlib
 from functools import cache
+from itertools import chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql.window import Window
 
 from treegrammar.llm.common import batch, cut, filesystem, forget, give_back, make_dir, partitions, put_file, read, scratch
 
-MEMO, WORDS = 300_000, 450_000  # pieces and words of letters kept by a worker
+MEMO, WORDS = 400_000, 500_000  # pieces and words of letters that a worker keeps, about
 #: What the tokenizer looks at apart within a piece of ASCII without apostrophes.
 PARTS = re.compile(r"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
 BLOCK_IDS = 1 << 20  # ids after which the writer closes a block
@@ -39,6 +41,22 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Memo:
+    """A dict of bounded size in two generations: what is looked up again outlives what is not."""
+
+    def __init__(self, most: int):
+        self.half, self.young, self.old = most // 2, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys that must be learned; all others are in young afterwards."""
+        if len(self.young) > self.half:
+            self.young, self.old = {}, self.young
+        new, old = keys.difference(self.young), self.old
+        again = new.intersection(old)
+        self.young.update((k, old[k]) for k in again)
+        return list(new.difference(again))
+
+
 class Pieces:
     """Ids of texts as little-endian bytes, remembered piece by piece."""
 
@@ -48,8 +66,7 @@ class Pieces:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.memo, self.parts = Memo(MEMO), Memo(WORDS)
         #: Ids that end a word: in a list of words, each word's ids run up to the next of them.
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -60,46 +77,59 @@ class Pieces:
 
     def words(self, words: list[str]) -> None:
         """Remembers words of letters, many to a call; singly where the tokenizer sees other words."""
-        size = self.dtype.itemsize
+        size, known = self.dtype.itemsize, self.parts.young
         for i in range(0, len(words), 1000):
             part = words[i : i + 1000]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
-            ends = np.flatnonzero(self.ends[ids]) + 1
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * size
             if len(ends) != len(part):
-                self.parts.update((w, self.one(w)) for w in part)
+                known.update((w, self.one(w)) for w in part)
                 continue
-            raw, start = ids.tobytes(), 0
-            for w, end in zip(part, ends.tolist()):
-                self.parts[w] = raw[start * size : end * size]
-                start = end
+            raw, ends = ids.tobytes(), ends.tolist()
+            known.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+
+    def seen_as(self, words: list[str]) -> list[str]:
+        """The words as the tokenizer composes and lowers them."""
+        if not words or self.tokenizer.normalizer is None:
+            return words
+        seen = self.tokenizer.normalizer.normalize_str(" ".join(words)).split(" ")
+        return seen if len(seen) == len(words) else [self.tokenizer.normalizer.normalize_str(w) for w in words]
 
-    def learn(self, new: set[str]) -> None:
+    def learn(self, new: list[str]) -> None:
         """Remembers pieces.  Their words of letters (ASCII ones in lower case, as the tokenizer lowers them) are looked up once."""
-        known, parts, split = self.memo, self.parts, []
-        for p in new:
-            if p.isascii():
-                split.append((p, PARTS.findall(p.lower()) if "'" not in p and "<|" not in p else None))
-            else:
-                core = p.rstrip(".,")
-                split.append((p, [core, p[len(core) :]] if core.isalpha() and core != p else [p] if core.isalpha() else None))
-        words = {w for _, ws in split if ws for w in ws}.difference(parts)
-        if len(parts) + len(words) > WORDS:
-            parts.clear()
-            words = {w for _, ws in split if ws for w in ws}
-        self.words([w for w in words if w.isalpha()])
-        parts.update((w, self.one(w)) for w in words if not w.isalpha())
-        known.update((p, b"".join([parts[w] for w in ws]) if ws is not None else self.one(p)) for p, ws in split)
+        cores = [p.rstrip(".,") for p in new]
+        letters = list(map(str.isalpha, cores))
+        ascii_ = list(map(str.isascii, new))
+        other = [k for k, (a, b) in enumerate(zip(ascii_, letters)) if b and not a]
+        for k, w in zip(other, self.seen_as([cores[k] for k in other])):
+            letters[k] = w.isalpha()
+        simple = [k for k, b in enumerate(letters) if b]  # a word of letters and its marks
+        names = [new[k] for k in simple]
+        words = [cores[k].lower() if ascii_[k] else cores[k] for k in simple]
+        marks = [p[len(cores[k]) :] for k, p in zip(simple, names)]
+        rest = [p for p, a, b in zip(new, ascii_, letters) if not b]
+        split = [p for p in rest if p.isascii() and "'" not in p and "<|" not in p]
+        rest = set(rest).difference(split)
+        several = [PARTS.findall(p.lower()) for p in split]
+        wanted = {*words, *marks, *chain.from_iterable(several)}
+        wanted.discard("")
+        missing = self.parts.missing(wanted)
+        parts = self.parts.young
+        parts[""] = b""
+        self.words([w for w in missing if w.isalpha()])
+        parts.update((w, self.one(w)) for w in missing if not w.isalpha())
+        known, look = self.memo.young, parts.__getitem__
+        known.update(zip(names, map(add, map(look, words), map(look, marks))))
+        known.update(zip(split, [b"".join(map(look, ws)) for ws in several]))
+        known.update((p, self.one(p)) for p in rest)
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known, new = self.memo, set()
-        for pieces in split:
-            new.update(set(pieces).difference(known))
-        if len(known) + len(new) > MEMO:
-            known.clear()
-            new = {p for pieces in split for p in pieces}
-        self.learn(new)
-        return [b"".join([known[p] for p in pieces]) for pieces in split]
+        new = self.memo.missing(set(chain.from_iterable(split)))
+        if new:
+            self.learn(new)
+        look = self.memo.young.__getitem__
+        return [b"".join(map(look, pieces)) for pieces in split]
 
 
 @cache
@@ -365,4 +395,5 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = write_flat(read(spark, sf_dir, "documents"), vocab, end_id, scratch(spark, "flat-tokens"))
     files = names.groupBy("file").agg(F.first("path").alias("path"), F.first("n").alias("n"))
     scan = separator_scan(files, end_id, Pieces(vocab, True).dtype.itemsize)
-    return scan.join(names.select("file", "nth", "doc_id"), ["file", "nth"]).select("doc_id", "n_tokens")
+    named = names.select("file", "nth", "doc_id").hint("merge")  # both sides have a row a document
+    return scan.join(named, ["file", "nth"]).select("doc_id", "n_tokens")
