@@ -96,3 +96,29 @@ def test_texts(spark):
         got[r["source"]] += len((r["text"] or "").split())
     goal = filled({s: sum(map(len, w)) for s, w in words.items()})
     assert all(abs(got[s] - goal[s]) <= 16 for s in goal)
+
+
+def test_shards_are_filled_by_a_permutation_of_all_slots(spark, mixed):
+    at, pieces = mixed
+    plan = {}
+    for r in at:
+        if r["source_size"]:
+            want = min(round(r["target"]), 2 * r["source_size"])
+            passes, rest = divmod(want, r["source_size"])
+            plan[r["rank"]] = passes * -(-r["source_size"] // 16) + -(-rest // 16)
+    n = sum(plan.values())
+    per = 500 // 16
+    place = [r.p for r in spark.range(n).select(F.expr(mixing.permuted("id", f"{n}L", "7, -1L, -1L")).alias("p")).collect()]
+    want, g = defaultdict(int), 0
+    for rank in sorted(plan):
+        for _ in range(plan[rank]):
+            want[rank, place[g] // per] += 1
+            g += 1
+    got = defaultdict(set)
+    for p in pieces:
+        got[p["rank"], p["shard"]].add((p["epoch"], p["block"]))
+    assert {k: len(v) for k, v in got.items()} == dict(want)
+    sizes = defaultdict(int)
+    for (_, shard), k in want.items():
+        sizes[shard] += k
+    assert all(sizes[s] == per for s in range(n // per))

@@ -18,9 +18,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and the master is local (local-cluster has workers with folders of their own, but one machine)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="treegrammar-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -52,6 +54,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name where a path of fields is read."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1 ... in place of names that functions over batches may not take; toDF(*df.columns) undoes it."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only; other letters keep their case."""
     return F.translate(c, UPPER, LOWER)

@@ -3,13 +3,14 @@
 Each source's words form one stream (documents in a fixed pseudorandom order), packed into blocks of block_words; the last
 block of a stream may be short.  Targets come from weights by water filling under a cap.  A source whose target is t
 passes e = floor(t / stream) whole times through its blocks and then takes the rest from one more pass, its last block cut.
-Each pass has its own pseudorandom permutation of block indices (a mixed-radix Feistel network with cycle walking).  Every
-slot of a source falls into one output shard; counting the draws gives the multinomial source counts of each shard, whose
+Each pass has its own pseudorandom permutation of block indices (a mixed-radix Feistel network with cycle walking).  All output
+shards but the last have the same number of slots, filled by sources at random without replacement: a permutation of all slots of
+the mix is cut into shards, and counting gives each shard's source counts (multinomial, given the sources' totals), whose
 running sums hand each shard its range of the source's slots.  Slots meet blocks in a join on (source, block).
 
 Defined results: a null text has no words; documents without words take nothing; null sources form one source, ordered
-last; repeated rows are separate documents; an empty table gives an empty result; other columns are ignored.  A stream
-may have up to 2**31 blocks (a larger one fails with a message: raise block_words).
+last; repeated rows are separate documents; an empty table gives an empty result; other columns are ignored by mix() and kept as they are, whatever
+their names, by mixed_texts() (which has no row for a document that the mix takes no word of).  A stream may have up to 2**31 blocks (a larger one fails with a message: raise block_words).
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from treegrammar.llm.common import WORD, cut, forget, partitions, read
+from treegrammar.llm.common import WORD, cut, forget, partitions, quoted, read
 
 WEIGHTS = (5, 2, 1)
 BUCKETS = 1024  # pieces of a source whose sizes are summed apart, so that no source is ordered in one task
@@ -75,14 +76,18 @@ def slots(goals: DataFrame, block_words: int, shard_words: int, seed: int) -> Da
     plan = plan.withColumns({"full": F.expr(f"rest div {block_words}"), "cut": F.expr(f"rest % {block_words}")})
     plan = plan.withColumn("slots", F.col("passes") * F.col("blocks") + F.col("full") + F.when(F.col("cut") > 0, 1).otherwise(0))
     plan = plan.where("slots > 0").withColumn("blocks", F.when(F.col("blocks") < 1 << 31, F.col("blocks")).otherwise(F.raise_error(F.lit("more than 2**31 blocks in a source: raise block_words"))))
-    plan = cut(spark, plan.withColumn("shards", F.ceil(F.sum("want").over(Window.partitionBy()) / shard_words).cast("long")), "mix-plan")
+    before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)  # one row a source
+    plan = plan.withColumns({"ahead": F.coalesce(F.sum("slots").over(before), F.lit(0)), "all_slots": F.sum("slots").over(Window.partitionBy())})
+    plan = cut(spark, plan, "mix-plan")
+    per_shard = max(1, shard_words // block_words)
 
     def each(df: DataFrame, count: str, name: str) -> DataFrame:
         """One row for each of 0 .. count - 1, dealt evenly whatever the largest count."""
         chunks = df.withColumn("c", F.explode(F.expr(f"sequence(0L, ({count} - 1) div {CHUNK})"))).repartition(partitions(spark), *[c for c in ("rank", "shard") if c in df.columns], "c")
         return chunks.withColumn(name, F.explode(F.expr(f"sequence(c * {CHUNK}, least({count}, (c + 1) * {CHUNK}) - 1)"))).drop("c")
 
-    drawn = each(plan.select("rank", "slots", "shards"), "slots", "draw").select("rank", F.pmod(F.xxhash64(F.lit(seed), "rank", "draw"), F.col("shards")).alias("shard"))
+    drawn = each(plan.select("rank", "slots", "ahead", "all_slots"), "slots", "draw").withColumn("at", F.col("ahead") + F.col("draw"))
+    drawn = drawn.select("rank", F.expr(f"({permuted('at', 'all_slots', f'{seed}, -1L, -1L')}) div {per_shard}").alias("shard"))
     counted = drawn.groupBy("rank", "shard").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counted = counted.withColumn("first", F.coalesce(F.sum("n").over(ahead), F.lit(0))).join(plan.select("rank", "blocks", "passes", "full", "cut"), "rank")
@@ -112,15 +117,17 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs as the mix holds them, same columns: one row for each document and pass it is taken in, its text cut to the words taken (unchanged if all are)."""
     at, pieces = mix(docs, id_col, text_col, source_col, **how)
     one = pieces.groupBy("rank", "offset", "epoch").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("first", "words"))).alias("ranges"))
-    keys = at.where("size > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "rank", "offset", "size")
-    twin = Window.partitionBy("_id", "_hash").orderBy("rank", "offset")  # repeated rows only
-    keys = keys.withColumn("_twin", F.row_number().over(twin)).join(one, ["rank", "offset"])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.withColumn("_hash", F.xxhash64(text)).withColumn("_twin", F.row_number().over(Window.partitionBy(id_col, "_hash").orderBy(F.asc_nulls_last(source_col))))
-    joined = rows.join(keys, rows[id_col].eqNullSafe(keys["_id"]) & (rows["_hash"] == keys["_hash"]) & (rows["_twin"] == keys["_twin"]))
-    part = F.expr(f"array_join(flatten(transform(ranges, r -> slice(regexp_extract_all({text_col}, '[^\\\\x20\\\\x09-\\\\x0D]+', 0), cast(r.first + 1 as int), cast(r.words as int)))), ' ')")
-    mixed = F.when(F.col("taken") == F.col("size"), F.col(text_col)).otherwise(part)
-    return joined.withColumn("_text", mixed).select(*(F.col("_text").alias(text_col) if c == text_col else rows[c] for c in docs.columns))
+    twins = Window.partitionBy("id", "hash").orderBy("rank", "offset")  # repeated rows only
+    keys = at.where("size > 0").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "rank", "offset", "size")
+    keys = keys.withColumn("twin", F.row_number().over(twins)).join(one, ["rank", "offset"]).alias("k")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), F.col(source_col).cast("string").alias("source"))
+    rows = rows.withColumn("twin", F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.asc_nulls_last("source")))).alias("r")
+    joined = rows.join(keys, F.col("r.id").eqNullSafe(F.col("k.id")) & (F.col("r.hash") == F.col("k.hash")) & (F.col("r.twin") == F.col("k.twin")))
+    joined = joined.select("r.row", "k.taken", "k.size", "k.ranges", F.col("r.row").getField(text_col).cast("string").alias("text"))
+    part = F.expr("array_join(flatten(transform(ranges, r -> slice(regexp_extract_all(text, '[^\\\\x20\\\\x09-\\\\x0D]+', 0), cast(r.first + 1 as int), cast(r.words as int)))), ' ')")
+    cut_text = F.when(F.col("taken") == F.col("size"), F.col("text")).otherwise(part)
+    return joined.select(F.col("row").withField(quoted(text_col), cut_text).alias("row")).select("row.*")
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
