@@ -75,8 +75,9 @@ def test_every_item_within_its_budget_is_found(spark):
     assert dc.contaminated(df, bench.limit(0)).collect() == [] == dc.contaminated(df.limit(0), bench).collect()
     dc.BLOCK_CHARS, kept = 500, dc.BLOCK_CHARS
     again = [(r.doc_id, r.item_id, r.distance) for r in dc.contaminated(df, bench).collect()]
+    assert {r.doc_id for r in dc.clean(df, bench).collect()} == {d[0] for d in docs} - bad
     dc.BLOCK_CHARS = kept
-    assert sorted(set(again), key=str) == sorted(set(got), key=str)
+    assert sorted(again, key=str) == sorted(got, key=str) and sorted(set(again), key=str) == sorted(set(got), key=str)
 
 
 def test_short_items_must_occur_unchanged_at_word_bounds(spark):

@@ -7,20 +7,24 @@ windows of an item are joined, and Myers' bit-parallel distance gives the least
 substring of the window.  An item that no substring matches within k is not reported.  Items of fewer than min_words words
 must occur unchanged, with no letter or digit that goes on before or after them.
 
-Items are broadcast in blocks of at most BLOCK_CHARS characters; each further block is one more pass over the documents.
+Items are dealt into blocks of about BLOCK_CHARS characters, written to the shared folder: none passes through the driver.  A task
+builds one automaton at a time; of several blocks, it holds its documents (one input partition, as Arrow) and runs through the
+blocks, so documents are read once whatever the number of items.
 
-Defined results: null or empty texts and items match nothing; repeated items or
-documents are reported each (a repeated item id once, with its least distance); empty tables give an empty result; other
-columns are ignored.
+Defined results: null or empty texts and items match nothing, nor do items without an id; repeated documents are reported each, a
+repeated item id once for each document, with its least distance; empty tables give an empty result; other columns are ignored by
+contaminated() and kept as they are by clean(), whatever their names.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treegrammar.llm.common import batch, read
+from treegrammar.llm.common import batch, filesystem, numbered, read, scratch
 
 BUDGET = 0.07  # edits a character of the item
 MIN_WORDS = 8
@@ -132,73 +136,83 @@ class Matcher:
     def search(self, raw: str | None) -> list[tuple[int, int, int]]:
         """(item_id, distance, end in the normalised text) of each item within its budget."""
         text = normal(raw)
-        out = []
+        out: dict[int, tuple[int, int]] = {}
         for n, spans in self.windows(text).items() if text else ():
             ids, item, k = self.items[n]
             if self.short[n]:
                 end = whole(item, text)
                 if end:
-                    out += [(i, 0, end) for i in sorted(set(ids))]
+                    out.update((i, min((0, end), out.get(i, (1, 0)))) for i in ids)
                 continue
             m = self.myers[n] = self.myers[n] or Myers(item)
             best, end = min((d, a + e) for a, b in spans for d, e in [m.least(text[a:b])])
             if best <= k:
-                out += [(i, best, end) for i in sorted(set(ids))]
-        return out
+                out.update((i, min((best, end), out.get(i, (k + 1, 0)))) for i in ids)
+        return [(i, *out[i]) for i in sorted(out)]
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str):
-    """The items in blocks of bounded size, fetched one block at a time."""
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[str]:
+    """Folders of the written blocks (i, t) of items: an id is in one block only."""
+    spark = benchmark.sparkSession
     rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null")
-    block, size = [], 0
-    for r in rows.toLocalIterator():
-        text = normal(r.t)
-        if not text:
-            continue
-        if block and size + len(text) > BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-        block.append((r.i, text))
-        size += len(text)
-    if block:
-        yield block
+    chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    n = 1 + chars // BLOCK_CHARS
+    path = scratch(spark, "items")
+    rows.withColumn("block", F.pmod(F.xxhash64("i"), F.lit(n))).repartition("block").write.partitionBy("block").parquet(path)
+    return [f"{path}/block={r.block}" for r in spark.read.schema("i long, t string, block long").parquet(path).select("block").distinct().collect()]  # one row a block
+
+
+def block_of(folder: str) -> list[tuple[int, str]]:
+    where, path = filesystem(folder)
+    rows = pq.read_table(path, filesystem=where, columns=["i", "t"], partitioning=None).to_pydict()
+    return [(i, t) for i, t in zip(rows["i"], map(normal, rows["t"])) if t]
+
+
+def searched(batches, column: int | str, blocks: list[str], rate: float, min_words: int):
+    """(place of the batch, batch, matcher's finds for each of its rows), block by block."""
+    batches = batches if len(blocks) < 2 else list(batches)
+    for folder in blocks:
+        matcher = Matcher(block_of(folder), rate, min_words)
+        for k, b in enumerate(batches):
+            yield k, b, [matcher.search(t) for t in b.column(column).to_pylist()]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = BUDGET, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, item_id, distance, end) of every item that a document holds within its edit budget."""
-    spark = docs.sparkSession
-    fields = "doc_id long, item_id long, distance int, end long"
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("end", pa.int64())])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = None
-    for block in item_blocks(benchmark, item_col, item_text_col):
-        sent = spark.sparkContext.broadcast(block)
+    blocks = item_blocks(benchmark, item_col, item_text_col)
 
-        def run(batches, sent=sent):
-            matcher = Matcher(sent.value, rate, min_words)
-            for b in batches:
-                found = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for m in matcher.search(t)]
-                if found:
-                    d, i, k, e = zip(*found)
-                    yield batch(schema, doc_id=d, item_id=i, distance=k, end=e)
+    def run(batches):
+        for _, b, finds in searched(batches, 1, blocks, rate, min_words):
+            found = [(d, *m) for d, ms in zip(b.column(0).to_pylist(), finds) for m in ms]
+            if found:
+                d, i, k, e = zip(*found)
+                yield batch(schema, doc_id=d, item_id=i, distance=k, end=e)
 
-        part = rows.mapInArrow(run, fields)
-        out = part if out is None else out.union(part)
-    return out if out is not None else spark.createDataFrame([], fields)
+    return rows.mapInArrow(run, "doc_id long, item_id long, distance int, end long")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = BUDGET, min_words: int = MIN_WORDS) -> DataFrame:
     """docs without those that hold an item."""
-    for block in item_blocks(benchmark, item_col, item_text_col):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches, sent=sent):
-            matcher = Matcher(sent.value, rate, min_words)
-            for b in batches:
-                yield b.filter(pa.array([not matcher.search(t) for t in b.column(text_col).to_pylist()], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    blocks = item_blocks(benchmark, item_col, item_text_col)
+    if not blocks:
+        return docs
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        kept: dict[int, tuple[pa.RecordBatch, np.ndarray]] = {}  # of several blocks; of one, a batch goes out at once
+        for k, b, finds in searched(batches, at, blocks, rate, min_words):
+            clear = np.array([not f for f in finds], bool)
+            if len(blocks) == 1:
+                yield b.filter(pa.array(clear))
+            else:
+                kept[k] = b, clear & kept[k][1] if k in kept else clear
+        for b, clear in kept.values():
+            yield b.filter(pa.array(clear))
+
+    plain = numbered(docs)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

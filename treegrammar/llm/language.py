@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treegrammar.llm.common import batch, give_back, held, read
+from treegrammar.llm.common import batch, give_back, held, numbered, read
 from treegrammar.llm.tokens import some
 
 #: First code points of script ranges, in order (fixed values of the Unicode block layout); a range ends where the next begins.
@@ -253,22 +253,24 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def keep_languages(docs: DataFrame, model: Model, least_share: float, text_col: str = "text", lang_col: str = "lang", penalty: float = SWITCH) -> DataFrame:
     """docs without the documents that have no language, or none with least_share of their letters; a null lang takes the prediction."""
 
+    text_at, at = docs.columns.index(text_col), docs.columns.index(lang_col)
+
     def run(batches):
         labeller = Labeller(model) if model.langs else None
         for b in batches:
             keep, named = [False] * b.num_rows, [None] * b.num_rows
-            for i, _, texts in some(b.column(text_col)) if labeller else ():
+            for i, _, texts in some(b.column(text_at)) if labeller else ():
                 for k, (words, lang, size, own) in enumerate(labeller.label(texts, penalty), i):
                     by = np.bincount(lang, own, minlength=len(model.langs)) if len(words) else np.zeros(1)
                     if by.max() and by.max() >= least_share * size.sum():
                         keep[k], named[k] = True, model.langs[int(by.argmax())]
-            at = b.schema.get_field_index(lang_col)
             b = b.set_column(at, b.schema.field(at), pc.coalesce(b.column(at), pa.array(named, pa.string()).cast(b.schema.field(at).type)))
             yield b.filter(pa.array(keep, pa.bool_()))
         labeller = None
         give_back()
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = numbered(docs)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
