@@ -1,4 +1,5 @@
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -29,8 +30,9 @@ def test_pieces_are_the_whole_texts_ids(text):
     assert got == tokenizer(path).encode(text, add_special_tokens=False).ids
 
 
-def tokenizer(path, known={}):
-    return known.setdefault(path, Tokenizer.from_file(path))
+@cache
+def tokenizer(path):
+    return Tokenizer.from_file(path)
 
 
 def test_files_hold_every_document(spark, monkeypatch, tmp_path):

@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from treegrammar.llm.common import batch, cut, filesystem, forget, give_back, make_dir, partitions, put_file, read, scratch
 
-MEMO, WORDS = 400_000, 500_000  # pieces and words of letters that a worker keeps, about
+MEMO, WORDS = 600_000, 800_000  # pieces and words of letters that a worker keeps, about
 #: What the tokenizer looks at apart within a piece of ASCII without apostrophes.
 PARTS = re.compile(r"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
 BLOCK_IDS = 1 << 20  # ids after which the writer closes a block
