@@ -85,3 +85,16 @@ def test_stage_on_the_test_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = survivors([(r.doc_id, r.text) for r in docs.collect()])
     assert sorted(r.doc_id for r in cp.drop_near_copies(spark, docs, SF).collect()) == want
+
+
+def test_long_parities_never_exceed_the_difference():
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    for n in (0, 1, 3, 200, 511, 512, 513, 3000):
+        for m in (n, n * 5 // 4, n // 2):
+            a = np.unique(rnd.integers(0, 2**62, n).astype(np.uint64))
+            b = np.unique(np.append(a[: m // 2], rnd.integers(0, 2**62, m - m // 2).astype(np.uint64)))
+            apart = len(np.setxor1d(a, b))
+            got = similar.least_apart(similar.long_parities(a), similar.long_parities(b))
+            assert got <= apart and (apart < 100 or got > 0.25 * apart)

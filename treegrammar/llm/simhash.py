@@ -275,10 +275,9 @@ def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> D
     return stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, radius: int = 3, blocks: int | None = None) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: component_id is the least id that fingerprints at most radius bits apart reach."""
-    spark = docs.sparkSession
-    rows = cut(spark, fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
+def grouped(rows: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of a written table (doc_id, fp): component_id is the least id that fingerprints at most radius bits apart reach."""
+    spark = rows.sparkSession
     codes = cut(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "codes")
     reach = components(spark, links(codes.select("fp"), radius, blocks))
     rooted = codes.join(reach, codes["fp"] == reach["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -287,6 +286,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, rows["fp"] == named["code"]).select("doc_id", "fp", "component_id")
 
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, radius: int = 3, blocks: int | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of docs."""
+    return grouped(cut(docs.sparkSession, fingerprints(docs, id_col, text_col, words, seed), "fingerprints"), radius, blocks)
+
+
 def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
