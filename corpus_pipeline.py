@@ -23,15 +23,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of texts that share 0.8 of their five-word shingles: the one with the least id (null ids last); repeated rows are one document."""
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns({"_row": F.xxhash64("doc_id", text), "_text": F.xxhash64(text)})
-    texts = cut(spark, keyed.select(F.col("_text").alias("row"), text.cast("string").alias("text")).dropDuplicates(["row"]), "texts")
-    groups = similar.similar_texts(texts, LIKE_WORDS, LIKE_SHARE)
-    named = keyed.select("_row", "_text", "doc_id").distinct().join(groups, F.col("_text") == F.col("node"), "left")
-    first = named.groupBy(F.coalesce("root", "_text").alias("component")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
-    kept = keyed.join(first.select(F.col("first._row").alias("_keep")), F.col("_row") == F.col("_keep"))
-    return kept.dropDuplicates(["_row"]).select(*docs.columns)
+    """Keeps one document of each group of texts that share 0.8 of their five-word shingles: the one with the least id (null ids last); repeated rows are one document.
+
+    A row is known by its id and two hashes of its text.  Texts that share the first hash only are told apart by the second and stay.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    doc = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))  # not null
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), doc.alias("doc"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit("again"), text).alias("h2"), text.alias("text"))
+    keys = cut(spark, keyed.select("id", "doc", "h", "h2").distinct(), "rows")
+    groups = similar.similar_texts(keyed.select(F.col("h").alias("row"), "text"), LIKE_WORDS, LIKE_SHARE)
+    clash = keys.groupBy("h").agg(F.min("h2").alias("low"), F.max("h2").alias("high")).where("low <> high").select(F.col("h").alias("two"))
+    named = keys.join(groups, F.col("h") == F.col("node"), "left").join(clash, F.col("h") == F.col("two"), "left")
+    component = [F.coalesce("root", "h").alias("component"), F.when(F.col("two").isNotNull(), F.col("h2")).alias("own")]
+    first = named.groupBy(*component).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "h2", "doc")).alias("first"))
+    keep = first.select("first.doc", "first.h", "first.h2")
+    return keyed.drop("text").join(keep, ["doc", "h", "h2"]).dropDuplicates(["doc", "h", "h2"]).select("row.*")
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
