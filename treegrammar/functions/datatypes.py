@@ -1,8 +1,9 @@
 """Datatypes: for each a Python check and a Spark column with the same answer.
 
 A datatype is (library, name, facets).  ``check(value)`` serves the general validator, ``column(c)`` is an ordinary column
-expression for whole tables.  In compat mode facets behave as they do in common use of this grammar family (patterns are
-searched, digit facets and double bounds have no effect, positiveInteger takes zero); strict mode follows XML Schema.
+expression for whole tables.  A value must match all of a type's patterns (read as XML Schema patterns).  Further libraries are
+added with ``register_library``.  In compat mode facets behave as they do in common use of this grammar family (patterns are
+searched as they are, the last one alone, digit facets and double bounds have no effect, positiveInteger takes zero); strict mode follows XML Schema.
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from decimal import Decimal
+from typing import NamedTuple, Protocol
+
+import regex
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,6 +57,82 @@ DECIMAL = "[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)"
 DOUBLE = "[+-]?(inf|infinity|nan|([0-9]+\\.?[0-9]*|\\.[0-9]+)(e[+-]?[0-9]+)?)"
 
 
+class UserType(Protocol):
+    """What a library's datatypes and values must offer; they are hashable and sent to the executors."""
+
+    def check(self, s: str, *resolve) -> bool: ...
+
+    def column(self, c: Column) -> Column: ...
+
+
+class Library(NamedTuple):
+    datatype: Callable[[str, list[tuple[str, str]]], UserType]  # name, facets; raises SchemaError
+    value: Callable[[str, str], UserType]  # name, the pattern's text
+
+
+_LIBRARIES: dict[str, Library] = {}
+
+
+def register_library(uri: str, datatype: Callable[[str, list[tuple[str, str]]], UserType], value: Callable[[str, str], UserType]) -> None:
+    """Makes a datatype library known by its URI to schemas that are compiled from now on."""
+    if uri in (BUILTIN, XSD):
+        raise ValueError("the built-in libraries can't be replaced")
+    _LIBRARIES[uri] = Library(datatype, value)
+
+
+#: What XML Schema patterns write shorter: characters that begin a name, characters of names, digits, blanks and what words are made of.
+_SHORT = {"i": "\\p{L}_:", "c": f"{NAME_MORE}:", "d": "\\p{Nd}", "s": " \\t\\n\\r"}
+
+
+def xsd_pattern(pattern: str, java: bool) -> str:
+    """An XML Schema pattern for Java's dialect or for the regex module's: ^ and $ stand for themselves, classes may be subtracted, \\i and \\c are names' characters."""
+    out, depth, i = [], 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\" and i + 1 < len(pattern):
+            e = pattern[i + 1]
+            i += 2
+            if e.lower() in _SHORT:
+                inner = _SHORT[e.lower()]
+                out.append((f"[^{inner}]" if java or not depth else f"[^{inner}]") if e.isupper() else inner if depth else f"[{inner}]")
+            elif e in "wW":
+                out.append(f"[{'^' if e == 'w' else ''}\\p{{P}}\\p{{Z}}\\p{{C}}]")
+            elif e in "pP" and pattern[i : i + 3] == "{Is":
+                out.append(f"\\{e}{{In")
+                i += 3
+            else:
+                out.append("\\" + e)
+            continue
+        if c == "[":
+            depth += 1
+            out.append("[")
+        elif c == "]":
+            depth -= 1
+            out.append("]")
+        elif c == "-" and depth and pattern[i + 1 : i + 2] == "[":
+            end = pattern.index("]", i)
+            inner = xsd_pattern(pattern[i + 1 : end + 1], java)
+            out.append(f"&&[^{inner[1:]}" if java and inner[1] != "^" else f"&&[{inner[2:]}" if java else f"--{inner}")
+            i = end + 1
+            continue
+        elif c in "^$" and not (c == "^" and depth and out[-1] == "["):
+            out.append("\\" + c)
+        elif c == "." and not depth:
+            out.append("[^\\n\\r]")
+        elif java and depth and c == "&":
+            out.append("\\&")
+        elif depth and c in "|~&" and pattern[i + 1 : i + 2] == c:
+            out.append("\\" + c)
+        else:
+            out.append(c)
+        i += 1
+    return "".join(out)
+
+
+def compiled_pattern(pattern: str) -> regex.Pattern:
+    return regex.compile(xsd_pattern(pattern, False), regex.V1)
+
+
 def full(pattern: str) -> str:
     return f"\\A(?:{pattern})\\z"
 
@@ -73,12 +153,22 @@ class Datatype:
     def facet(self, name: str) -> str | None:
         return next((v for k, v in reversed(self.facets) if k == name), None)
 
+    def patterns(self) -> list[str]:
+        """Those that hold: all, in compat mode the last."""
+        found = [v for k, v in self.facets if k == "pattern"]
+        return found[-1:] if self.compat else found
+
     def normal(self, value: str) -> str:
         return normalize_whitespace(value) if self.name in ("normalizedString", "token", "NMTOKENS") and self.library else value
 
     def check(self, value: str) -> bool:
         return checker(self)(value)
 
+    def limits(self) -> dict[str, object]:
+        """Facets by name as typed values: bounds as numbers, lengths and digits as whole numbers, patterns as a list."""
+        out: dict[str, object] = {k: number(self.name, v) if k in BOUNDS else int(v) for k, v in self.facets if k != "pattern"}
+        return out | ({"pattern": self.patterns()} if self.patterns() else {})
+
     def column(self, c: Column) -> Column:
         """True where the value is valid; false for null."""
         return F.coalesce(c.isNotNull() & _column(self, c), F.lit(False))
@@ -92,6 +182,8 @@ def compile_datatype(library: str, name: str, facets: list[tuple[str, str]], com
         if facets:
             raise SchemaError("ParamNotAllowed", f"{name} takes no parameters")
         return Datatype(library, name)
+    if library in _LIBRARIES:
+        return _LIBRARIES[library].datatype(name, facets)
     if library != XSD:
         raise SchemaError("UnsupportedDatatypeLibrary", f"unknown datatype library {library}")
     if name not in WHOLE and name not in STRINGS and name not in ("decimal", "double"):
@@ -107,12 +199,12 @@ def compile_datatype(library: str, name: str, facets: list[tuple[str, str]], com
         seen[key] = value
         try:
             if key == "pattern":
-                py(value)
+                py(value) if compat else compiled_pattern(value)
             elif key in BOUNDS:
                 number(name, value)
             elif not re.fullmatch("[0-9]+", value):
                 raise ValueError(value)
-        except (re.error, ValueError, ArithmeticError):
+        except (re.error, regex.error, ValueError, ArithmeticError):
             kind = "InvalidPattern" if key == "pattern" else "InvalidFloat" if name == "double" else "InvalidInt"
             raise SchemaError(kind, f"{value!r} is no value of {key}") from None
     if ("minInclusive" in seen and "minExclusive" in seen) or ("maxInclusive" in seen and "maxExclusive" in seen) or ("length" in seen and ("minLength" in seen or "maxLength" in seen)):
@@ -132,6 +224,8 @@ def number(name: str, text: str):
             raise ValueError(text)
         return x
     if name == "decimal":
+        if not re.fullmatch(DECIMAL, text):
+            raise ValueError(text)
         return Decimal(text)
     if not re.fullmatch(SIGNED, text):
         raise ValueError(text)
@@ -152,10 +246,8 @@ def _checker(d: Datatype) -> Callable[[str], bool]:
     if d.library == BUILTIN:
         return lambda s: True
     tests: list[Callable[[str], bool]] = []
-    pattern = d.facet("pattern")
-    if pattern is not None:
-        found = py(pattern)
-        tests.append((lambda s: bool(found.search(s))) if d.compat else (lambda s: bool(found.fullmatch(s))))
+    for pattern in d.patterns():
+        tests.append(lambda s, found=py(pattern): bool(found.search(s))) if d.compat else tests.append(lambda s, found=compiled_pattern(pattern): bool(found.fullmatch(s)))
     if d.name in WHOLE or d.name in ("decimal", "double"):
         lexical = py(DOUBLE if d.name == "double" else DECIMAL if d.name == "decimal" else SIGNED if WHOLE[d.name][0] != 0 else UNSIGNED, re.I | re.A)
         low, high = WHOLE.get(d.name, (None, None))
@@ -206,19 +298,30 @@ def _bound(x: Column, key: str, b: Column) -> Column:
     return {"minInclusive": x >= b, "minExclusive": x > b, "maxInclusive": x <= b, "maxExclusive": x < b}[key]
 
 
-def _signed_order(c: Column, value: int, key: str) -> Column:
-    """Compares a whole number of any length, as text: sign, then digits without leading zeros, by length and then by character."""
-    digits = F.regexp_replace(c, "\\A[+-]?0*", "")
-    minus = c.startswith("-") & (digits != "")
-    other = str(abs(value)).lstrip("0")
-    size = F.length(digits)
-    bigger = (size > len(other)) | ((size == len(other)) & (digits > other))
-    same = digits == other
-    if value >= 0:
-        above, equal = ~minus & bigger, (~minus | F.lit(value == 0)) & same
-    else:
+def _parts(c: Column) -> tuple[Column, Column, Column]:
+    """(is it below zero, whole digits, digits of the fraction) of a number as text, without idle zeros."""
+    whole = F.regexp_extract(c, "\\A[+-]?0*([0-9]*)", 1)
+    part = F.regexp_replace(F.regexp_extract(c, "\\.([0-9]*)", 1), "0+\\z", "")
+    return c.startswith("-") & ((whole != "") | (part != "")), whole, part
+
+
+def _order(c: Column, value: int | Decimal, key: str) -> Column:
+    """Compares a number of any length, as text: by sign, length and digits of the whole part, then the fraction's digits.  key: a bound, or equal."""
+    minus, whole, part = _parts(c)
+    sign, digits, exponent = Decimal(value).as_tuple()
+    text = "".join(map(str, digits)) + "0" * max(exponent, 0)
+    cut = len(text) + min(exponent, 0)
+    own, rest = (text[:cut] if cut > 0 else "").lstrip("0"), (("0" * -cut if cut < 0 else "") + text[max(cut, 0) :] if exponent < 0 else "").rstrip("0")
+    below = bool(sign) and bool(own or rest)
+    size = F.length(whole)
+    alike = whole == own
+    bigger = (size > len(own)) | ((size == len(own)) & (whole > own)) | (alike & (part > rest))
+    same = alike & (part == rest)
+    if below:
         above, equal = ~minus | (~bigger & ~same), minus & same
-    return {"minInclusive": above | equal, "minExclusive": above, "maxInclusive": ~above, "maxExclusive": ~above & ~equal}[key]
+    else:
+        above, equal = ~minus & bigger, ~minus & same
+    return {"minInclusive": above | equal, "minExclusive": above, "maxInclusive": ~above, "maxExclusive": ~above & ~equal, "equal": equal}[key]
 
 
 def _column(d: Datatype, c: Column) -> Column:
@@ -226,9 +329,8 @@ def _column(d: Datatype, c: Column) -> Column:
         return F.lit(True)
     v = normalize_ws(c) if d.name in ("normalizedString", "token", "NMTOKENS") else c
     out = F.lit(True)
-    pattern = d.facet("pattern")
-    if pattern is not None:
-        out = out & v.rlike(pattern if d.compat else full(pattern))
+    for pattern in d.patterns():
+        out = out & v.rlike(pattern if d.compat else full(xsd_pattern(pattern, True)))
     if d.name in WHOLE:
         low, high = WHOLE[d.name]
         out = out & v.rlike(full(SIGNED if low != 0 else UNSIGNED))
@@ -243,15 +345,14 @@ def _column(d: Datatype, c: Column) -> Column:
         else:
             limits += [("minInclusive", low)] * (low is not None) + [("maxInclusive", high)] * (high is not None)
             for k, b in limits:
-                out = out & _signed_order(v, b, k)
+                out = out & _order(v, b, k)
     elif d.name == "decimal":
         out = out & v.rlike(full(DECIMAL))
         for k, b in d.facets:
             if k in BOUNDS:
-                out = out & F.coalesce(_bound(v.try_cast("decimal(38,12)"), k, F.lit(b).cast("decimal(38,12)")), F.lit(False))
+                out = out & _order(v, number("decimal", b), k)
         if not d.compat:
-            part = F.regexp_replace(F.regexp_extract(v, "\\.([0-9]*)", 1), "0+\\z", "")
-            whole = F.regexp_extract(v, "\\A[+-]?0*([0-9]*)", 1)
+            _, whole, part = _parts(v)
             if (n := d.facet("fractionDigits")) is not None:
                 out = out & (F.length(part) <= int(n))
             if (n := d.facet("totalDigits")) is not None:
@@ -313,15 +414,39 @@ class Value:
             return local == own and ((resolve(prefix) if resolve else None) or "") == self.namespace
         return self.key(s) == self.key(self.value)
 
-    def column(self, c: Column) -> Column:
-        exact = (self.library, self.name) in ((BUILTIN, "string"), (XSD, "string"))
-        same = c == self.value if exact else normalize_ws(c) == normalize_whitespace(self.value)
-        return F.coalesce(same, F.lit(False))
+    def column(self, c: Column, prefixes: dict[str, str] | None = None) -> Column:
+        """True where check() is. prefixes: what stands for a QName's prefixes (the empty one too) wherever the column comes from."""
+        return F.coalesce(self._same(c, prefixes or {}), F.lit(False))
+
+    def _same(self, c: Column, prefixes: dict[str, str]) -> Column:
+        if (self.library, self.name) in ((BUILTIN, "string"), (XSD, "string")):
+            return c == self.value
+        v, own = normalize_ws(c), normalize_whitespace(self.value)
+        if self.library != XSD:
+            return v == own
+        if self.name == "QName":
+            prefix = F.regexp_extract(v, "\\A(.*):", 1)
+            space = F.lit("")
+            for p, uri in prefixes.items():
+                space = F.when(prefix == p, uri).otherwise(space)
+            return (F.substring_index(v, ":", -1) == own.rpartition(":")[2]) & (space == self.namespace)
+        mine = self.key(self.value)
+        if isinstance(mine, bool):
+            return v.isin("true", "1") if mine else v.isin("false", "0")
+        if isinstance(mine, int):
+            return v.rlike(full(SIGNED)) & _order(v, mine, "equal")
+        if isinstance(mine, Decimal):
+            return v.rlike(full(DECIMAL)) & _order(v, mine, "equal")
+        if isinstance(mine, float):  # nan is no value's equal
+            return F.lit(False) if mine != mine else v.rlike("(?i)" + full(DOUBLE)) & (v.try_cast("double") == mine) & ~F.isnan(v.try_cast("double"))
+        return v == own
 
 
 def compile_value(library: str, name: str, value: str, namespace: str = "") -> Value:
     if library == BUILTIN and name in ("string", "token"):
         return Value(library, name, value)
+    if library in _LIBRARIES:
+        return _LIBRARIES[library].value(name, value)
     if library != XSD:
         raise SchemaError("UnsupportedDatatypeLibrary", f"unknown datatype library {library}")
     if name != "QName":

@@ -13,6 +13,7 @@ from functools import cache
 from xml.parsers import expat
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -149,7 +150,7 @@ def pool_of(digest: str, data: bytes) -> Pool:
 
 def validate(docs: DataFrame, schema: CompiledSchema, id_col: str = "doc_id", xml_col: str = "xml", keep: tuple[str, ...] = ()) -> DataFrame:
     """id_col, the columns of keep, and the result of each document. Works on streams as on tables."""
-    data = pickle.dumps(schema)
+    data = cloudpickle.dumps(schema)  # types of a user's library may be anything
     digest = hashlib.sha256(data).hexdigest()
     rows = docs.select(id_col, *keep, F.col(xml_col).cast("string").alias("_xml"))
     out = rows.drop("_xml").schema
