@@ -5,7 +5,9 @@ import os
 import duckdb
 import pytest
 
-from treegrammar.plans.catalogue import ORACLES, QUERIES
+from treegrammar.plans import catalogue, schema_queries
+
+QUERIES, ORACLES = catalogue.QUERIES | schema_queries.QUERIES, catalogue.ORACLES | schema_queries.ORACLES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

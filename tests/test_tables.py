@@ -75,3 +75,19 @@ def test_command_line(tmp_path):
     assert run("s.rnc", "1.xml").returncode == 0 and run("bad.rnc", "1.xml").returncode == 1
     out = run("s.rnc", "1.xml", "2.xml")
     assert out.returncode == 2 and "2.xml:2:2: element-start not expected here; expected Element b" in out.stderr
+
+
+def test_functions_of_spark_sql(spark):
+    from treegrammar.functions.sql import parts, register_tokens, register_valid
+
+    register_valid(spark, compile_text("element a { attribute k { xsd:int }, text }"))
+    register_tokens(spark)
+    docs = ["<a k='1'>x<![CDATA[<]]><!-- c -->y</a>", "<a/>", None, "<p:a xmlns='urn:d' q='1'>t</p:a", ""]
+    spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, xml string").createOrReplaceTempView("some_docs")
+    assert [r.v for r in spark.sql("SELECT rng_valid(xml) AS v FROM some_docs ORDER BY i").collect()] == [True, False, False, False, False]
+    got = {}
+    for r in spark.sql("SELECT i, t.* FROM some_docs, LATERAL rng_tokens(xml) AS t ORDER BY i, n").collect():
+        got.setdefault(r.i, []).append(tuple(r)[1:])
+    assert got == {i: parts(d) for i, d in enumerate(docs) if parts(d)}
+    assert [p[2:6] for p in got[0]] == [("element", "", "a", None), ("attribute", "", "k", "1"), ("text", None, None, "x<y"), ("end", "", "a", None)]
+    assert got[3][0][2:5] == ("element", None, "a") and got[3][-1][2] == "error" and [p[2] for p in got[4]] == ["error"]

@@ -1,4 +1,4 @@
-"""Queries that take all rows, where an older one of the same kind cuts or leaves out some."""
+"""Queries take all rows: whole logs, texts of any kind, orders without items."""
 
 import os
 
@@ -14,7 +14,8 @@ SF = "/root/testdata/sf0.001"
 def test_a_log_is_all_of_a_users_events(spark):
     users = spark.read.parquet(f"{SF}/events.parquet").select("user_id").distinct().count()
     got = {n: [r.valid for r in QUERIES[n](spark, SF).collect()] for n in QUERIES if n.startswith("events_log_")}
-    assert len(got) == 6 and all(len(v) == users for v in got.values())
+    got |= {n: [r.valid for r in QUERIES[n](spark, SF).collect()] for n in ("events_choice_star", "events_optional", "events_interleave")}
+    assert len(got) == 9 and all(len(v) == users for v in got.values())
     assert not any(got["events_log_interleave"])
     assert 0 < sum(got["events_log_interleave_loose"]) < users
 
@@ -27,3 +28,10 @@ def test_texts_with_controls_and_nulls_are_validated(spark, tmp_path):
     got = sorted((r.doc_id, r.valid) for r in QUERIES["entities_in_all_text"](spark, str(tmp_path)).collect())
     assert got == sorted(con.execute(ORACLES["entities_in_all_text"]).fetchall())
     assert [v for _, v in got] == [False, True, True, True, False, False, False, True, False, True, False, True, False, True, False]
+
+
+def test_orders_without_items_are_not_valid(spark):
+    orders, items = spark.read.parquet(f"{SF}/orders.parquet"), spark.read.parquet(f"{SF}/lineitem.parquet")
+    bare = {r.o_orderkey for r in orders.join(items, orders.o_orderkey == items.l_orderkey, "left_anti").collect()}
+    got = {r.o_orderkey: r.error_kind for r in QUERIES["first_error"](spark, SF).collect()}
+    assert bare and len(got) == orders.count() and {k for k, e in got.items() if e == "element-close"} == bare

@@ -23,7 +23,7 @@ def main(args: list[str]) -> int:
     bad = 0
     for path in args[2:]:
         with open(path, encoding="utf-8") as f:
-            valid, kind, message, _, line, col, expected = validate_text(pool, f.read())
+            valid, kind, message, _, line, col, expected, *_ = validate_text(pool, f.read())
         if not valid:
             bad = 2
             print(f"{path}:{line}:{col}: {message}" + (f"; expected {expected}" if expected else ""), file=sys.stderr)

@@ -12,7 +12,9 @@ import sys
 from treegrammar.functions.text import is_whitespace
 from treegrammar.plans.model import CompiledSchema
 
-MEMO = 200_000  # derivatives by text or attribute value that a pool keeps
+#: What a pool keeps: characters of the texts and attribute values whose derivatives are remembered (of those over LONG only the last), and
+#: names; a pool with more patterns than STATES starts anew with the next document.
+MEMO, LONG, NAMES, STATES = 16 << 20, 1 << 10, 200_000, 1_000_000
 
 sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
 
@@ -31,6 +33,9 @@ class Pool:
         self.ended: dict[int, int] = {}
         self.texts: dict[tuple, int] = {}
         self.atts: dict[tuple, int] = {}
+        self.held = 0  # characters of texts and atts
+        self.longs: dict[tuple, int] = {}
+        self.last_long: str | None = None
         self.resolve = None  # prefixes in scope, for QName values
         self.start = self.rule(schema.start)
 
@@ -133,8 +138,35 @@ class Pool:
             return self.choice(*(self.then(q, f) for q in node[1]))
         return self.NONE
 
+    def remembered(self, memo: dict[tuple, int], key: tuple, size: int, f) -> int:
+        """f(*key), from memo unless prefixes matter; of long texts only the last one's are kept."""
+        if self.resolve:
+            return f(*key)
+        if size > LONG:
+            if self.last_long is not key[-1]:
+                self.longs.clear()
+                self.last_long = key[-1]
+            if key not in self.longs:
+                self.longs[key] = f(*key)
+            return self.longs[key]
+        out = memo.get(key)
+        if out is None:
+            if self.held > MEMO:
+                self.texts.clear()
+                self.atts.clear()
+                self.held = 0
+            out = memo[key] = f(*key)
+            self.held += size + 64
+        return out
+
+    def worn(self) -> bool:
+        """Has it met so many patterns that a new pool is due?"""
+        return len(self.nodes) > STATES
+
     def open(self, p: int, ns: str, local: str) -> int:
         key = (p, ns, local)
+        if len(self.opened) > NAMES:
+            self.opened.clear()
         if key not in self.opened:
             self.opened[key] = self._open(p, ns, local)
         return self.opened[key]
@@ -159,12 +191,7 @@ class Pool:
         return self.NONE
 
     def att(self, p: int, ns: str, local: str, value: str) -> int:
-        if len(self.atts) > MEMO:
-            self.atts.clear()
-        key = (p, ns, local, value)
-        if key not in self.atts or self.resolve:
-            self.atts[key] = self._att(p, ns, local, value)
-        return self.atts[key]
+        return self.remembered(self.atts, (p, ns, local, value), len(value), self._att)
 
     def _att(self, p: int, ns: str, local: str, value: str) -> int:
         node = self.nodes[p]
@@ -203,12 +230,7 @@ class Pool:
         return self.closed[p]
 
     def text(self, p: int, s: str) -> int:
-        if len(self.texts) > MEMO:
-            self.texts.clear()
-        key = (p, s)
-        if key not in self.texts or self.resolve:
-            self.texts[key] = self._text(p, s)
-        return self.texts[key]
+        return self.remembered(self.texts, (p, s), len(s), self._text)
 
     def _text(self, p: int, s: str) -> int:
         node = self.nodes[p]

@@ -21,8 +21,8 @@ from treegrammar.functions.text import is_whitespace
 from treegrammar.operators.pool import Pool
 from treegrammar.plans.model import XML_NS, CompiledSchema
 
-FIELDS = "valid boolean, error_kind string, message string, start long, line int, col int, expected string"
-_SCHEMA = pa.schema([("valid", pa.bool_()), ("error_kind", pa.string()), ("message", pa.string()), ("start", pa.int64()), ("line", pa.int32()), ("col", pa.int32()), ("expected", pa.string())])
+FIELDS = "valid boolean, error_kind string, message string, start long, line int, col int, expected string, element string, attributes array<string>"
+_SCHEMA = pa.schema([("valid", pa.bool_()), ("error_kind", pa.string()), ("message", pa.string()), ("start", pa.int64()), ("line", pa.int32()), ("col", pa.int32()), ("expected", pa.string()), ("element", pa.string()), ("attributes", pa.list_(pa.string()))])
 _UNDEFINED_ENTITY = expat.errors.codes[expat.errors.XML_ERROR_UNDEFINED_ENTITY]
 
 
@@ -44,6 +44,7 @@ class Run:
         self.scopes: list[dict[str, str]] = [{"xml": XML_NS, "": ""}]
         self.text: list[str] = []
         self.leaf = False  # has the open element had no child yet
+        self.path: list[tuple[str, list[str]]] = []  # open elements with their attributes, as they are written
         self.parser = expat.ParserCreate()
         self.parser.ordered_attributes = True
         self.parser.StartElementHandler, self.parser.EndElementHandler, self.parser.CharacterDataHandler = self.open, self.close, self.text.append
@@ -81,6 +82,7 @@ class Run:
         else:
             self.scopes.append(self.scopes[-1])
         pool = self.pool
+        self.path.append((raw, [k for k, _ in pairs]))
         ns, local = self.name(raw, False)
         before, self.state = self.state, pool.open(self.state, ns, local)
         if self.state == pool.NONE:
@@ -112,6 +114,7 @@ class Run:
         if self.state == pool.NONE:
             self.fail("element-close", "element-close not expected here", 0, before)
         self.scopes.pop()
+        self.path.pop()
 
     def all(self, xml: str) -> None:
         try:
@@ -124,16 +127,16 @@ class Run:
 
 
 def validate_text(pool: Pool, xml: str | None) -> tuple:
-    """(valid, error_kind, message, start, line, col, expected) of one document. A null document is invalid with kind null."""
+    """One document's result: FIELDS. element and attributes are those that were open at the error. A null document is invalid with kind null."""
     if xml is None:
-        return (False, "null", "no document", None, None, None, None)
+        return (False, "null", "no document", *[None] * 6)
     run = Run(pool)
     pool.resolve = (lambda prefix: run.scopes[-1].get(prefix)) if uses_qnames(pool) else None
     try:
         run.all(xml)
     except Failure as e:
-        return (False, e.kind, e.message, e.start, e.line, e.col, e.expected)
-    return (True, None, None, None, None, None, None)
+        return (False, e.kind, e.message, e.start, e.line, e.col, e.expected, *(run.path[-1] if run.path else (None, None)))
+    return (True, *[None] * 8)
 
 
 def uses_qnames(pool: Pool) -> bool:
@@ -159,6 +162,9 @@ def validate(docs: DataFrame, schema: CompiledSchema, id_col: str = "doc_id", xm
     def run(batches):
         pool = pool_of(digest, data)
         for b in batches:
+            if pool.worn():
+                pool_of.cache_clear()
+                pool = pool_of(digest, data)
             found = [validate_text(pool, x) for x in b.column(b.num_columns - 1).to_pylist()]
             columns = zip(*found) if found else [[]] * len(_SCHEMA)
             arrays = [pa.array(list(c), f.type) for c, f in zip(columns, _SCHEMA)]

@@ -19,7 +19,7 @@ def escaped(c: Column) -> Column:
 
 
 def rendered(rows: DataFrame, key: str, order: list[str], item: Column, tag: str, attributes: Column | None = None) -> DataFrame:
-    """(key, xml): an element for each key that holds its rows' items in order; ties in order are broken by the item itself."""
+    """(key, xml): an element for each key that holds its rows' items in order; ties in order are broken by the item itself, and null items leave nothing."""
     columns = [key, F.struct(*order, item.alias("x")).alias("i")]
     one = rows.select(*columns, *([attributes.alias("a")] if attributes is not None else []))
     head = F.first("a") if attributes is not None else F.lit("")
@@ -28,8 +28,8 @@ def rendered(rows: DataFrame, key: str, order: list[str], item: Column, tag: str
 
 
 def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(o_orderkey, xml): an order with its line items."""
+    """(o_orderkey, xml): every order with its line items, if it has any."""
     orders, items = spark.read.parquet(f"{sf_dir}/orders.parquet"), spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    rows = items.join(orders.select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = orders.select("o_orderkey", "o_orderstatus").join(items, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     item = F.concat(F.lit('<item n="'), F.col("l_linenumber").cast("string"), F.lit('"><flag>'), escaped(F.col("l_returnflag")), F.lit("</flag><qty>"), F.col("l_quantity").cast("bigint").cast("string"), F.lit("</qty></item>"))
     return rendered(rows, "o_orderkey", ["l_linenumber"], item, "order", F.concat(F.lit(' status="'), escaped(F.col("o_orderstatus")), F.lit('"')))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from treegrammar.errors import SchemaError
@@ -57,8 +58,12 @@ def outcome(kind: str, resources: dict[str, str], valid: list[str], invalid: lis
 
 
 def run_suite(spark: SparkSession, text: str) -> DataFrame:
-    """The cases with their outcomes; cases run on the executors."""
-    from pyspark.sql import functions as F
-
+    """The cases with their outcomes; cases run on the executors, a batch of them at a time."""
     table = spark.createDataFrame(cases(text), FIELDS)
-    return table.withColumn("outcome", F.udf(outcome, "string")("kind", "resources", "valid", "invalid"))
+
+    def run(batches):
+        for b in batches:
+            found = [outcome(r["kind"], dict(r["resources"]), r["valid"], r["invalid"]) for r in b.to_pylist()]
+            yield b.append_column("outcome", pa.array(found, pa.string()))
+
+    return table.mapInArrow(run, f"{FIELDS}, outcome string")
