@@ -42,14 +42,41 @@ def test_tree_blocks_what_its_labels_say(spark):
     df = spark.createDataFrame([(i, u, "x", "y", 1) for i, u in enumerate(rows)], SCHEMA)
     got = {r.page_id: r for r in urls.filter_urls(df, rules=rules).collect()}
     by_url = {u: got[i] for i, u in enumerate(rows)}
-    assert by_url["http://c.org/en/3.html"].verdict == "allow" and by_url["http://c.org/en/3.html"].template == "/en/*.html"
+    assert by_url["http://c.org/en/3.html"].verdict == "allow" and by_url["http://c.org/en/3.html"].template == "/en/*.html/"
     assert by_url["http://a.net/es/story-4"].purity > 0.9 > 0.2 > by_url["http://a.net/de/4"].purity
-    assert by_url["http://a.net/it/1"].verdict == "block"  # as most of its host
+    assert by_url["http://a.net/it/1"].verdict == by_url["http://b.com/en/1"].verdict == "allow"  # most of the host is blocked, but this branch holds no label
+
+
+def test_siblings_merge_only_if_they_are_alike(spark):
+    pages = [f"http://n.net/{lang}/p{i}" for lang in ("es", "fr", "en", "de") for i in range(40)]  # es and fr are blocked by rule
+    pages += [f"http://n.net/ok/p{i}" for i in range(40)] + [f"http://n.net/half/{k}/p{i}" for k in ("no", "yes") for i in range(40)]
+    pages += [f"http://n.net/end{i % 4}x" for i in range(8)] + [f"http://n.net/rare/{i}" for i in range(3)] + [f"http://n.net/bad/{i}" for i in range(6)]
+    rules = (*urls.RULES, ("allow", "n.net", "/ok/"), ("block", "n.net", "/half/no/"), ("block", "n.net", "/bad/"))
+    got = {u: r for u, r in zip(pages, sorted(urls.filter_urls(spark.createDataFrame([(i, u, "x", "y", 1) for i, u in enumerate(pages)], SCHEMA), rules=rules).collect(), key=lambda r: r.page_id))}
+    at = lambda u: got["http://n.net/" + u].template
+    assert at("es/p1") == at("fr/p2") == at("bad/1") == "/bad|es|fr/*/" and at("en/p1") == at("de/p2") == "/de|en/*/"
+    assert at("ok/p1") == "/ok/*/" and at("half/no/p1") == "/half/no/*/" and at("half/yes/p1") == "/half/yes/*/"
+    assert got["http://n.net/half/yes/p1"].verdict == "allow" == got["http://n.net/rare/1"].verdict and got["http://n.net/bad/1"].rule
+    assert got["http://n.net/es/p1"].purity > got["http://n.net/half/no/p1"].purity * 0.9 > 0.5 > got["http://n.net/ok/p1"].purity
+
+
+def test_variable_segments_share_their_labels(spark):
+    """Titles are never the same twice: those without a label are judged by those with one."""
+    pages = [f"http://v.org/news/{'spam-' if i % 3 else 'odd-'}title-{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)] + ["http://v.org/about"]
+    rules = (("block", "v.org", "/news/spam-"),)
+    got = sorted(urls.filter_urls(spark.createDataFrame([(i, u, "x", "y", 1) for i, u in enumerate(pages)], SCHEMA), rules=rules).collect(), key=lambda r: r.page_id)
+    assert all(r.verdict == "block" and r.template == "/news/*/" for r in got[:-1]) and got[-1].verdict == "allow"
+
+
+def test_deep_paths_end_in_one_segment(spark):
+    deep = "/".join("abcdefghij")
+    got = urls.filter_urls(spark.createDataFrame([(i, f"http://d.org/{deep}", "x", "y", 1) for i in range(3)], SCHEMA)).collect()
+    assert {r.template for r in got} == {f"/{deep}/$"}
 
 
 def test_sql_agrees(spark):
     con = duckdb.connect()
-    table = [(i, u, "x", "y", 1) for i, u in enumerate(URLS * 3 + [f"http://h{i % 3}.net/{'es' if i % 2 else 'x'}/a{i}/p-{i % 4}.html" for i in range(200)])]
+    table = [(i, u, "x", "y", 1) for i, u in enumerate(URLS * 3 + [f"http://m.net/{('es', 'fr', 'en', 'de', 'it', 'x1', 'rare' + str(i % 90))[i % 7]}/{'deep/er/path/of/many/' * (i % 3)}{'t-' + 'ab'[i % 2] * (i % 11)}" for i in range(700)] + [f"http://h{i % 3}.net/{'es' if i % 2 else 'x'}/a{i}/p-{i % 4}.html" for i in range(200)])]
     con.execute("create table pages (page_id bigint, url varchar)")
     con.executemany("insert into pages values (?, ?)", [r[:2] for r in table])
     want = con.execute(f"select page_id, host, path, rule, verdict, template from ({urls.ORACLE})").fetchall()
