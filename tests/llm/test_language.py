@@ -40,6 +40,23 @@ def test_viterbi_is_the_best_path():
         assert value(got[s : s + n].tolist(), words) == pytest.approx(best, abs=1e-4)
 
 
+def test_long_documents_are_walked_in_runs(monkeypatch):
+    rnd = np.random.default_rng(2)
+    scores = rnd.normal(size=(40, 4)).astype(np.float32) * 3
+    lengths = np.array([3, 90, 0, 700, 41, 40])
+    ids = rnd.integers(0, 40, lengths.sum())
+    starts = np.cumsum(lengths) - lengths
+    want = language.viterbi(scores, ids, starts, lengths, 4.0)
+    monkeypatch.setattr(language, "LONG", 40)
+    for run in (1, 7, 40, 699):
+        monkeypatch.setattr(language, "RUN", run)
+        got = language.viterbi(scores, ids, starts, lengths, 4.0)
+        assert (got == want).mean() > 0.999  # floats are added in another order
+        for s, n in zip(starts, lengths):
+            value = lambda p: scores[ids[s : s + n], p].sum() - 4.0 * (np.diff(p) != 0).sum()
+            assert value(got[s : s + n].astype(int)) == pytest.approx(value(want[s : s + n].astype(int)), abs=1e-2)
+
+
 def test_spans_scripts_and_odd_rows(spark):
     docs = spark.createDataFrame(corpus(), SCHEMA)
     model = language.learn(docs, F.lit(True))

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from treegrammar.llm import topk
 
@@ -34,3 +35,25 @@ def test_against_brute_force(spark, monkeypatch):
     few = spark.createDataFrame(rows[:3], SCHEMA)
     assert len(topk.top_k(few, few, 5).collect()) == 6
     assert topk.top_k(df.limit(0), df.limit(0)).collect() == []
+
+
+def test_what_64_bits_cannot_hold_is_an_error(spark):
+    fits = [(1, [2.0**20, 1.0]), (2, [2.0**20, -1.0]), (50, [1.0, 1.0])]
+    for bad in ([2.0**60, 0.0], [1e300, 0.0], [2.0**45, 2.0**45]):
+        df = spark.createDataFrame([*fits, (100, bad), (101, bad)], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="too large|64 bits"):
+            topk.top_k(df, df.where("vec_id % 50 = 0")).collect()
+    df = spark.createDataFrame(fits, "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id = 50")).collect()] == [(1, 2**36 + 2**16), (2, 2**36 - 2**16)]
+
+
+def test_blocks_of_few_values(spark, monkeypatch):
+    monkeypatch.setattr(topk, "VALUES", 40)
+    rnd = np.random.default_rng(3)
+    rows = [(i, rnd.normal(size=7).tolist()) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = {i: np.floor(np.array(v) * 256).astype(int) for i, v in rows}
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id % 50 = 0")).collect()}
+    for a in (0, 50, 100):
+        best = sorted((-int(q[a] @ q[b]), b) for b in q if b != a)[:5]
+        assert [got[a, k + 1] for k in range(5)] == [(b, -s) for s, b in best]

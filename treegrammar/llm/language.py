@@ -45,6 +45,7 @@ SCRIPT_NAMES = sorted(set(_NAME))
 DIMS = 1 << 15  # trigram buckets
 CHARS, STRANGE = 1 << 12, 0.1  # slots of characters; share of the background that goes to all characters alike, as if there were 256
 MEMO = 200_000
+LONG, RUN = 4096, 512  # words of a document that is cut into runs, and of a run
 SWITCH, FLOOR, RARE = 6.0, -30.0, 0.01  # penalty of a switch; score of a language that does not use the word's script; share of a language's letters from which it uses a script
 TRAIN_ROWS = 6000
 MARKS = ".,;:!?|\"'()[]{}<>*#%&$-_/0123456789"
@@ -152,32 +153,80 @@ def learn(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str
     return Model(langs, logp, {s: (share[:, i] >= RARE).tolist() for i, s in enumerate(SCRIPT_NAMES)}, np.log(base).astype(np.float32))
 
 
+class Walk:
+    """Viterbi over many runs of words at a time, a word of each at a step, longest runs first."""
+
+    def __init__(self, scores: np.ndarray, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, penalty: float, value: np.ndarray):
+        """scores: of distinct words; ids: a word each, runs one after another; value: what each language is worth before a run. value is then the worth at the runs' ends."""
+        k = scores.shape[1]
+        self.order = np.argsort(-lengths, kind="stable")
+        self.starts, lengths = starts[self.order], lengths[self.order]
+        self.came = np.zeros((len(ids), k), np.uint8 if k < 256 else np.uint16)
+        self.active = np.searchsorted(-lengths, -np.arange(1, int(lengths.max(initial=0)) + 1), side="right")  # runs that have a word t
+        value = value[self.order]
+        for t, n in enumerate(self.active.tolist()):
+            at = self.starts[:n] + t
+            v = value[:n]
+            best = v.argmax(axis=1)
+            top = np.take_along_axis(v, best[:, None], 1) - penalty
+            switch = v < top
+            self.came[at] = np.where(switch, best[:, None], np.arange(k))
+            value[:n] = np.where(switch, top, v) + scores[ids[at]]
+        self.value = np.empty_like(value)
+        self.value[self.order] = value
+
+    def back(self, last: np.ndarray) -> np.ndarray:
+        """The language of every word if the runs end with the languages last."""
+        out = np.zeros(len(self.came), self.came.dtype)
+        state = last[self.order].astype(self.came.dtype)
+        for t in range(len(self.active) - 1, -1, -1):
+            at = self.starts[: self.active[t]] + t
+            s = state[: self.active[t]]
+            out[at] = s
+            state[: self.active[t]] = self.came[at, s]
+        return out
+
+
 def viterbi(scores: np.ndarray, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
-    """Best language of every word.  scores: of distinct words; ids: a word each, documents one after another.  All documents take a step at a time, longest first."""
+    """Best language of every word of documents that stand one after another in ids. Documents over LONG words are cut into runs, so that the time depends on all words and not on the longest document."""
     k = scores.shape[1]
-    order = np.argsort(-lengths, kind="stable")
-    starts, lengths = starts[order], lengths[order]
-    came = np.zeros((len(ids), k), np.uint8 if k < 256 else np.uint16)
-    out = np.zeros(len(ids), came.dtype)
-    active = np.searchsorted(-lengths, -np.arange(1, int(lengths.max(initial=0)) + 1), side="right")  # documents that have a word t
-    value = np.zeros((len(starts), k), np.float32)
-    for t, n in enumerate(active.tolist()):
-        at = starts[:n] + t
-        v = value[:n]
-        best = v.argmax(axis=1)
-        top = np.take_along_axis(v, best[:, None], 1) - penalty
-        switch = v < top
-        came[at] = np.where(switch, best[:, None], np.arange(k))
-        value[:n] = np.where(switch, top, v) + scores[ids[at]]
-    state = value.argmax(axis=1)
-    for t in range(len(active) - 1, -1, -1):
-        at = starts[: active[t]] + t
-        s = state[: active[t]]
-        out[at] = s
-        state[: active[t]] = came[at, s]
+    out = np.zeros(len(ids), np.uint8 if k < 256 else np.uint16)
+    short = lengths <= LONG
+    if short.any():
+        n = lengths[short]
+        take = np.repeat(starts[short] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        walk = Walk(scores, ids[take], np.cumsum(n) - n, n, penalty, np.zeros((len(n), k), np.float32))
+        out[take] = walk.back(walk.value.argmax(axis=1))
+    for start, n in zip(starts[~short].tolist(), lengths[~short].tolist()):
+        out[start : start + n] = long_viterbi(scores, ids[start : start + n], penalty)
     return out
 
 
+def long_viterbi(scores: np.ndarray, ids: np.ndarray, penalty: float) -> np.ndarray:
+    """The same for one document: every run of RUN words is walked once for each language that may stand before it, and the runs are joined by their end values."""
+    k, n = scores.shape[1], -(-len(ids) // RUN)
+    length = np.minimum(RUN, len(ids) - np.arange(n) * RUN)
+    each = np.repeat(length, k)
+    starts = np.cumsum(each) - each
+    take = np.repeat(np.repeat(np.arange(n) * RUN, k) - starts, each) + np.arange(each.sum())
+    before = np.tile(np.where(np.eye(k, dtype=bool), np.float32(0), np.float32(-1e30)), (n, 1))
+    before[:k] = 0  # nothing stands before the first run
+    walk = Walk(scores, ids[take], starts, each, penalty, before)
+    ends = walk.value.reshape(n, k, k).astype(np.float64)
+    worth, best = ends[0, 0], np.zeros((n, k), np.int64)
+    for i in range(1, n):
+        ways = worth[:, None] + ends[i]
+        best[i] = ways.argmax(axis=0)
+        worth = ways.max(axis=0)
+    last = np.zeros(n, np.int64)
+    last[-1] = worth.argmax()
+    for i in range(n - 1, 0, -1):
+        last[i - 1] = best[i, last[i]]
+    path = walk.back(np.repeat(last, k))
+    lane = np.append(0, last[:-1]) + np.arange(n) * k
+    return np.concatenate([path[starts[j] : starts[j] + each[j]] for j in lane])
+
+
 class Labeller:
     """Words' scores, remembered; one for each task."""
 

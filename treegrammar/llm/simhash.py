@@ -26,6 +26,7 @@ from treegrammar.llm.common import batch, cut, forget, partitions, read
 
 SLICE = 1 << 16  # shingles whose bits are unpacked at once
 FANOUT = 8
+GROUPS = 1 << 18  # rows of segment values that a worker takes at once
 FRONTIER = 1 << 20  # pairs of a query and a node looked at at once
 
 
@@ -221,21 +222,31 @@ def links(codes: DataFrame, radius: int = 3, blocks: int | None = None, expected
         blocks = next((b for b in range(radius + 1, radius + 3) if n <= 256 << (64 * (b - radius) // b)), radius + 3)
     masks = [m - (1 << 64) if m >> 63 else m for m in segments(radius, blocks)]
     dealt = codes.select(F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("k", "v"), "fp")
-    dealt = dealt.repartition(partitions(spark), "k", "v")
+    dealt = dealt.repartition(partitions(spark), "k", "v").sortWithinPartitions("k", "v")  # a worker holds whole segment values, GROUPS rows of them at a time
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def whole(batches):
+        """Arrays k, v, fp that end where a segment value ends."""
+        held, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append([b.column(c).to_numpy() for c in ("k", "v", "fp")])
+                n += b.num_rows
+            if n >= GROUPS:
+                k, v, fp = map(np.concatenate, zip(*held))
+                cut_at = int(np.flatnonzero((k != k[-1]) | (v != v[-1]))[-1] + 1) if (k[0], v[0]) != (k[-1], v[-1]) else 0
+                if cut_at:
+                    yield k[:cut_at], v[:cut_at], fp[:cut_at]
+                held, n = [[k[cut_at:], v[cut_at:], fp[cut_at:]]], len(k) - cut_at
+        if held:
+            yield tuple(map(np.concatenate, zip(*held)))
+
     def run(batches):
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        rows = pa.Table.from_batches(batches)
-        k, v, fp = (rows.column(c).to_numpy() for c in ("k", "v", "fp"))
-        order = np.lexsort((v, k))
-        k, v, fp = k[order], v[order], fp[order]
-        key = np.cumsum(np.append(0, (k[1:] != k[:-1]) | (v[1:] != v[:-1])))
-        many = np.bincount(key)[key] > 1
-        a, b = forest(key[many], fp[many].view(np.uint64), radius)
-        yield batch(schema, a=a.view(np.int64), b=b.view(np.int64))
+        for k, v, fp in whole(batches):
+            key = np.cumsum(np.append(0, (k[1:] != k[:-1]) | (v[1:] != v[:-1])))
+            many = np.bincount(key)[key] > 1
+            a, b = forest(key[many], fp[many].view(np.uint64), radius)
+            yield batch(schema, a=a.view(np.int64), b=b.view(np.int64))
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 

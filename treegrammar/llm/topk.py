@@ -9,8 +9,8 @@ blocks of rows (the queries are a stated set), and each query keeps k rows a blo
 
 Defined results: vectors that are null, empty or hold a null or non-finite component take no part, nor do rows without an
 id; rows with the same id count as the query's own and are no candidates for it, and a repeated query id is answered once
-for its least vector; repeated candidate rows each count; vectors of another length than the query's are no candidates; an
-empty table gives an empty result; other columns are ignored.
+for its least vector; repeated candidate rows each count; vectors of another length than the query's are no candidates; components or
+scores that 64 bits cannot hold are an error; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ from pyspark.sql.window import Window
 
 from treegrammar.llm.common import batch, cut, read
 
-ROWS, QUERIES, TOGETHER = 1 << 16, 64, 128  # rows of a block, queries of a block, query blocks of a set
+ROWS, QUERIES, TOGETHER = 1 << 16, 64, 128  # rows of a block at most, queries of a block, query blocks of a set
+VALUES = 1 << 22  # components of a block at most
+SALTS = 16  # all vectors may have one length: blocks are dealt further
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
@@ -36,7 +38,7 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) ->
 
 
 def blocked(rows: DataFrame, size: int, together: int = 1) -> DataFrame:
-    """(block, dims, width, ids, data): rows packed into blocks of up to size rows of one length, components in the fewest bytes that hold them. block names every run of together blocks of a task."""
+    """(block, dims, width, ids, data): rows packed into blocks of up to size rows and VALUES components of one length, components in the fewest bytes that hold them. block names every run of together blocks of a task."""
     schema = pa.schema([("block", pa.string()), ("dims", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())])
 
     def run(batches):
@@ -55,12 +57,15 @@ def blocked(rows: DataFrame, size: int, together: int = 1) -> DataFrame:
             ids, v = b.column(0).to_numpy(), b.column(1)
             flat, at = v.flatten().to_numpy(), np.append(0, np.cumsum(v.value_lengths().to_numpy()))
             length = np.diff(at)
+            if len(flat) and (flat.max() >= 1 << 62 or flat.min() <= -(1 << 62)):
+                raise OverflowError("a component is too large for whole numbers of 64 bits")
             for d in np.unique(length).tolist():
                 which = np.flatnonzero(length == d)
-                for i in range(0, len(which), size):
-                    part = which[i : i + size]
+                most = max(1, min(size, VALUES // d))
+                for i in range(0, len(which), most):
+                    part = which[i : i + most]
                     have = sum(len(x) for x, _ in held.get(d, []))
-                    if have + len(part) > size:
+                    if have + len(part) > most:
                         yield pack(d)
                     held.setdefault(d, []).append((ids[part], flat[(at[part][:, None] + np.arange(d)).ravel()]))
         for d in list(held):
@@ -125,6 +130,9 @@ class BitSliced:
 
     def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows but the query's own, ties to the smaller id."""
+        span = [max(abs(int(a)), abs(int(b))) for a, b in zip(self.low, self.high)]
+        if sum(a * abs(q) for a, q in zip(span, query.tolist())) >= 1 << 62:
+            raise OverflowError("a score is too large for whole numbers of 64 bits")
         total = self.total(query)
         open_ = self.bitmap((self.ids != query_id).astype(np.uint8))
         sure, left = np.zeros(self.words, np.uint64), k
@@ -167,9 +175,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
                     out.append(batch(schema, query_id=np.full(len(ids), q), vec_id=ids, score=score))
         return pa.Table.from_batches(out, schema)
 
-    # a block of rows is sent once for each set of queries, a query once to each block of rows
-    held = rows.join(asked.select("dims", "set").distinct(), "dims")
-    sets = asked.toDF("set", "dims", "q_width", "q_ids", "q_data").join(rows.select("dims", "block"), "dims").toDF("dims", "q_set", "width", "ids", "data", "q_block")
+    # a block of rows is sent once for each set of queries, a query once to each block of rows; few names meet many blocks
+    def met(many: DataFrame, few: DataFrame, *by: str) -> DataFrame:
+        salt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+        return many.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALTS))).join(few.select("*", salt), ["dims", "salt"]).drop("salt")
+
+    held = met(rows, asked.select("dims", "set").distinct(), "block")
+    sets = met(asked, rows.select("dims", "block"), "ids").select(F.col("dims").alias("q_dims"), F.col("set").alias("q_set"), "width", "ids", "data", F.col("block").alias("q_block")).withColumnRenamed("q_dims", "dims")
     found = held.groupBy("block", "set").cogroup(sets.groupBy("q_block", "q_set")).applyInArrow(run, "query_id long, vec_id long, score long")
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

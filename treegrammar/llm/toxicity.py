@@ -1,14 +1,15 @@
 """Toxicity by a chain of classifiers.
 
 Categories are predicted in a fixed order.  Each has a linear (logistic) model over hashed words, a word counted once a
-document, and over the log-odds of all earlier categories.  The earlier categories' inputs are out-of-fold predictions
+document, and over the probabilities of all earlier categories.  The earlier categories' inputs are out-of-fold predictions
 while a later model is trained, so that it meets them as wrong as they will be; in prediction they come from the models
 fitted on all training rows.  The categories here are the label columns of the labels table: low quality, then toxic.
 
-Training takes a bounded sample: at most about ``train_rows`` labelled documents, those with the least hash of their id.
+Training takes a bounded sample: at most about ``train_rows`` labelled documents, those with the least hash of their id; the sample alone
+is sent to the tasks that read documents.
 
 Defined results: null and empty texts have no words and get the models' bias; labels that are null in any category or have
-no document are not learned from, repeated ones count each; without labels all probabilities are 0.5 and nothing is
+no document are not learned from, repeated ones of a document count once (different ones each), of documents with one id the least text; without labels all probabilities are 0.5 and nothing is
 flagged; repeated documents are judged each; other columns are ignored.
 """
 
@@ -90,7 +91,7 @@ def fit(rows: np.ndarray, cols: np.ndarray, n: int, earlier: np.ndarray, y: np.n
 
 
 def chain(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> list[Linear]:
-    """One model a category (column of labels), each trained with the out-of-fold log-odds of those before it."""
+    """One model a category (column of labels), each trained with the out-of-fold probabilities of those before it."""
     n = len(labels)
     earlier = np.zeros((n, 0))
     models = []
@@ -104,7 +105,7 @@ def chain(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, fold: np.ndarr
             at[train] = np.arange(len(train))
             use = at[rows] >= 0
             m = fit(at[rows[use]], cols[use], len(train), earlier[train], y[train])
-            out[test] = m.odds(rows, cols, n, earlier)[test]
+            out[test] = sigmoid(m.odds(rows, cols, n, earlier))[test]
         earlier = np.column_stack([earlier, out])
     return models
 
@@ -112,12 +113,13 @@ def chain(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, fold: np.ndarr
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> list[Linear]:
     """Fits the chain; categories: name -> column of labels, true for members."""
     one = labels.select(F.col(id_col).alias("i"), *(c.cast("int").alias(f"c{k}") for k, c in enumerate(categories.values())))
-    one = one.dropna().withColumn("h", F.xxhash64(F.col("i").cast("string")))
+    one = one.dropna().distinct().withColumn("h", F.xxhash64(F.col("i").cast("string")))
     n = one.count()
     if n > train_rows:
         one = one.where(F.col("h") < int((train_rows / n - 0.5) * 2**64))
     names = [f"c{k}" for k in range(len(categories))]
-    rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("text")).join(one, F.col("d") == F.col("i")).select("text", "h", *names)
+    rows = docs.select(F.col(id_col).alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(one), F.col("d") == F.col("i"))
+    rows = rows.groupBy("d", "h", *names).agg(F.min("text").alias("text")).select("text", "h", *names)
     schema = pa.schema([("b", pa.list_(pa.int32())), ("h", pa.int64()), *((c, pa.int32()) for c in names)])
 
     def run(batches):
@@ -145,10 +147,10 @@ def predict(docs: DataFrame, models: list[Linear], names: list[str], id_col: str
         words = Words()
         for b in batches:
             sums = np.array([weights[:, words.buckets(t)].sum(axis=1, dtype=np.float64) for t in b.column(1).to_pylist()]).reshape(-1, len(models))
-            odds = np.zeros((b.num_rows, 0))
+            chance = np.zeros((b.num_rows, 0))
             for k, m in enumerate(models):
-                odds = np.column_stack([odds, sums[:, k] + odds @ m.earlier + m.bias])
-            yield batch(schema, doc_id=b.column(0), **{f"p_{c}": sigmoid(odds[:, k]) for k, c in enumerate(names)})
+                chance = np.column_stack([chance, sigmoid(sums[:, k] + chance @ m.earlier + m.bias)])
+            yield batch(schema, doc_id=b.column(0), **{f"p_{c}": chance[:, k] for k, c in enumerate(names)})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"p_{c} double" for c in names))
 
