@@ -7,9 +7,13 @@ texts repeats last, which keeps common passages out of the prefixes; any order g
 
 Each text has a sketch, a row in a table of its own: its size, its SimHash fingerprint and the parity of its shingles in 512 slots,
 and in as many slots as it has shingles.  Two texts differ in at least as many shingles as parities, which drops most pairs before
-their sets are fetched and never one that is similar; the long parities, 48 times smaller than the sets, do that for long texts.  What is left is verified by exact similarity in two rounds.  First each text meets one leader: the least, of those that
-the parities leave, among the smallest texts of fitting size of its shingles and the least text of its SimHash component.  That
-joins large groups without looking at all their pairs.  Then texts of a shingle that are not yet in one component are held against each other.
+their sets are fetched and never one that is similar; the long parities, 48 times smaller than the sets, do that for long texts.  Sets
+are made only for texts that a bitmap of fixed size lets through, so no text is shuffled.
+
+What is left is verified by exact similarity in rounds, each among texts that are not yet in one component.  First each text meets one
+leader (of its SimHash component, and of the smallest texts of fitting size in its shingles the one met most often).  Then, in PROBES rounds, texts meet a
+neighbour in a random order of some of their shingles, a few for each text.  That joins large groups without looking at all their pairs.
+At last all texts of a shingle that are still in different components are held against each other, so no pair is missed.
 
 Texts are named by row; rows with the same name must hold the same text and count once.
 
@@ -32,6 +36,8 @@ from treegrammar.llm.tokens import some
 
 SAMPLE, SLOTS, OFTEN = 4000, 1 << 22, 4  # texts whose shingles are counted, slots of the counts, count from which a slot is common
 PAIRS = 1 << 18  # pairs given out at once
+BITS = 1 << 24  # of the bitmap of texts whose sets are wanted
+PROBED, PROBES = 8, 3  # one of how many tokens is looked at in a round, and rounds
 SET_BYTES = 6  # of each hash in the sets that are sent to be compared
 PARITIES = tuple(f"m{i}" for i in range(8))  # of 64 slots each
 
@@ -195,9 +201,8 @@ def shared_tokens(texts: DataFrame, words: int, least: float, seed: int) -> Data
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def led(shared: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """(a, b): each text b with a text a that it may be like: of its SimHash component, or of a token the smallest one that its size fits."""
-    spark = shared.sparkSession
+def led(shared: DataFrame, near: DataFrame, least: float) -> DataFrame:
+    """(a, b): each text b with the one that leads most of its tokens (the smallest text that its size fits), and with its SimHash component's least text (near)."""
 
     def run(batches):
         def pieces():
@@ -210,16 +215,38 @@ def led(shared: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
 
         yield from gathered(pieces(), PAIR)
 
-    pairs = shared.repartition(partitions(spark), "token").mapInArrow(run, "a long, b long")
-    near = simhash.grouped(sketches.select(F.col("row").alias("doc_id"), "fp")).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
-    return plausible(pairs.union(near), sketches, least).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    pairs = shared.repartition(partitions(shared.sparkSession), "token").mapInArrow(run, "a long, b long")
+    pairs = pairs.groupBy("a", "b").count().groupBy("b").agg(F.max(F.struct("count", "a")).alias("top"))
+    return pairs.select("top.a", "b").union(near)
+
+
+def parted(shared: DataFrame, sketches: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of tokens whose texts are in different components, with root and parities."""
+    rows = shared.join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    mixed = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    return rows.join(mixed, "token", "left_semi").join(sketches.select("row", *PARITIES), "row").select("token", "row", "n", "root", *PARITIES)
+
+
+def probed(shared: DataFrame, sketches: DataFrame, roots: DataFrame, least: float, round_: int) -> DataFrame:
+    """(a, b): neighbours of different components in a random order of every PROBED-th token's texts."""
+    rows = parted(shared.where(F.pmod(F.xxhash64("token"), F.lit(PROBED)) == round_), sketches, roots)
+
+    def run(batches):
+        def pieces():
+            for token, row, n, root, *m in buckets(batches, ("row", "n", "root", *PARITIES)):
+                order = np.argsort((row ^ token[0]) * np.int64(0x2545F4914F6CDD1D), kind="stable")
+                row, n, root, m = row[order], n[order].astype(np.int64), root[order], np.stack(m, 1)[order]
+                apart = np.bitwise_count((m[1:] ^ m[:-1]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                keep = (root[1:] != root[:-1]) & (apart <= (1 - least) / (1 + least) * (n[1:] + n[:-1]) + 1e-9) & fits(np.minimum(n[1:], n[:-1]), np.maximum(n[1:], n[:-1]), least)
+                yield np.minimum(row[1:], row[:-1])[keep], np.maximum(row[1:], row[:-1])[keep]
+
+        yield from gathered(pieces(), PAIR)
+
+    return rows.repartition(partitions(shared.sparkSession), "token").mapInArrow(run, "a long, b long")
 
 
 def apart(shared: DataFrame, sketches: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """(a, b): all pairs of a token's texts that are in different components and fit in size and parities."""
-    rows = shared.join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    mixed = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")  # components differ
-    rows = rows.join(mixed, "token", "left_semi").join(sketches.select("row", *PARITIES), "row")
 
     def run(batches):
         def pieces():
@@ -234,7 +261,7 @@ def apart(shared: DataFrame, sketches: DataFrame, roots: DataFrame, least: float
 
         yield from gathered(pieces(), PAIR)
 
-    return rows.repartition(partitions(shared.sparkSession), "token").mapInArrow(run, "a long, b long")
+    return parted(shared, sketches, roots).repartition(partitions(shared.sparkSession), "token").mapInArrow(run, "a long, b long")
 
 
 def plausible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
@@ -252,19 +279,35 @@ def plausible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "a_n", "a_odd", "b_n", "b_odd").mapInArrow(run, "a long, b long")
 
 
+def bitmap(rows: DataFrame) -> np.ndarray:
+    """A bit for each of BITS slots that the rows fall into: at most BITS / 64 numbers come to the driver."""
+    at = F.pmod("row", F.lit(BITS))
+    found = rows.select((at / 64).cast("long").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(row, {BITS}) % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(BITS // 64, np.int64)
+    out[found["w"].to_numpy()] = found["b"].to_numpy()
+    return out
+
+
+def asked(batches, bits: np.ndarray):
+    """The rows of batches (row, ..) that the bitmap lets through."""
+    for b in batches:
+        at = np.mod(b.column(0).to_numpy(), BITS)
+        yield b.filter(pa.array(bits[at // 64] >> (at % 64) & 1 == 1))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float, seed: int) -> DataFrame:
     """The pairs whose sets (SET_BYTES of each hash) are so similar; sets are made only for texts of pairs."""
     spark = texts.sparkSession
     pairs = cut(spark, pairs, "pairs")
-    rows = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    sent = spark.sparkContext.broadcast(bitmap(pairs.select(F.col("a").alias("row")).union(pairs.select("b"))))
     schema = pa.schema([("row", pa.int64()), ("sh", pa.binary())])
 
     def make(batches):
-        for row, t in new_texts(batches):
+        for row, t in new_texts(asked(batches, sent.value)):
             s = np.unique(shingle_set(t, words, seed) >> np.uint64(64 - 8 * SET_BYTES))
             yield batch(schema, row=[row], sh=[s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes()])
 
-    sets = cut(spark, texts.select("row", "text").join(rows, "row", "left_semi").mapInArrow(make, "row long, sh binary").dropDuplicates(["row"]), "sets")
+    sets = cut(spark, texts.select("row", "text").mapInArrow(make, "row long, sh binary").dropDuplicates(["row"]), "sets")
 
     def unpack(raw: bytes) -> np.ndarray:
         wide = np.zeros((len(raw) // SET_BYTES, 8), np.uint8)
@@ -291,9 +334,19 @@ def similar_texts(texts: DataFrame, words: int = 5, least: float = 0.8, seed: in
     spark: SparkSession = texts.sparkSession
     sketches = cut(spark, sketched(texts, words, seed), "sketches")
     shared = cut(spark, shared_tokens(texts, words, least, seed), "shared")
-    first = verified(led(shared, sketches, least), texts, words, least, seed)
-    roots = simhash.components(spark, first)
-    second = verified(plausible(apart(shared, sketches, roots, least), sketches, least), texts, words, least, seed)
-    out = simhash.components(spark, first.union(second))
+    near = simhash.grouped(sketches.select(F.col("row").alias("doc_id"), "fp")).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+    alike = verified(plausible(led(shared, near, least), sketches, least), texts, words, least, seed)
+    roots = simhash.components(spark, alike)
+    for k in range(PROBES):
+        more = verified(plausible(probed(shared, sketches, roots, least, k), sketches, least), texts, words, least, seed)
+        if more.isEmpty():
+            continue
+        alike = alike.union(more)
+        roots = simhash.components(spark, alike)
+    rest = verified(plausible(apart(shared, sketches, roots, least), sketches, least), texts, words, least, seed)
+    if rest.isEmpty():
+        forget(shared)
+        return roots
+    out = simhash.components(spark, alike.union(rest))
     forget(shared)
     return out
