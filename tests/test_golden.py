@@ -1,5 +1,7 @@
 """Schemas and documents with their known answers."""
 
+import time
+
 import pytest
 
 from treegrammar.errors import SchemaError
@@ -68,6 +70,17 @@ def test_many_alternatives_stay_few_states():
     assert len(pool.nodes) < 3000
 
 
+def test_alternating_repetitions_stay_few_states():
+    """Each rule offers either of two rules below it, one of them repeated."""
+    n = 9
+    rules = "".join(f" a{k} = a{k - 1} | b{k - 1}+ b{k} = b{k - 1} | a{k - 1}+" for k in range(1, n + 1))
+    schema = compile_text(f"start = element root {{ a{n} | b{n} }} a0 = element a {{ empty }} b0 = element b {{ empty }}{rules}")
+    pool, began = Pool(schema), time.time()
+    for inner, valid in (("<b/>" * 3, True), ("<a/>" * 50, True), ("<a/><b/>" * 9, True), ("<a/><c/>", False), ("", False)):
+        assert validate_text(pool, f"<root>{inner}</root>")[0] is valid
+    assert time.time() - began < 5
+
+
 def test_any_other_namespace():
     schema = "namespace none = '' default namespace home = 'urn:home' element trip { attribute lasts { xsd:duration }?, attribute * - (home:* | none:*) { text } }"
     s = compile_text(schema)
