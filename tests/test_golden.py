@@ -150,6 +150,9 @@ def test_includes_overrides_and_combination():
     ("ParamNotAllowed", {"m": "element a { string { length = '1' } }"}),
     ("ElementInAttribute", {"m": "element a { attribute b { element c { empty } } }"}),
     ("DatatypesPrefixRedefined", {"m": "datatypes xsd = 'urn:x' element a { empty }"}),
+    ("InvalidName", {"m": "element a { attribute (b | xmlns) { text } }"}),
+    ("InvalidName", {"m": "element * - (a | *) { empty }"}),
+    ("InvalidName", {"m": "namespace p = 'u' element p:* - (p:a | p:*) { empty }"}),
     ("Parse", {"m": "element a {"}),
     ("Io", {"m": "include 'gone'"}),
 ])

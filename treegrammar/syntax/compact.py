@@ -233,6 +233,8 @@ class Reader:
             self.at += 1
             if word in ("element", "attribute"):
                 names = self.name_class()
+                if word == "attribute" and self.is_xmlns(names):
+                    raise SchemaError("InvalidName", "an attribute can't be named xmlns", self.file, span)
                 return (t.Element if word == "element" else t.Attribute)(names, self.braced(), span)
             if word == "list":
                 return t.ListOf(self.braced(), span)
@@ -275,24 +277,40 @@ class Reader:
 
     # ---- name classes
 
-    def name_class(self):
-        out = self.one_class()
+    @staticmethod
+    def is_xmlns(names) -> bool:
+        stack = [names]
+        while stack:
+            n = stack.pop()
+            if isinstance(n, t.NcAlt):
+                stack += vars(n).values()
+            elif isinstance(n, t.NcName) and n.name.local == "xmlns" and not n.name.prefix:
+                return True
+        return False
+
+    def name_class(self, inside: str = ""):
+        """inside: what kind of class (*, or ns:*) this is an exception of."""
+        out = self.one_class(inside)
         while self.take("|"):
-            out = t.NcAlt(out, self.one_class())
+            out = t.NcAlt(out, self.one_class(inside))
         return out
 
-    def one_class(self):
+    def one_class(self, inside: str = ""):
         self.annotations()
         span = self.span()
         if self.take("("):
-            out = self.name_class()
+            out = self.name_class(inside)
             self.need(")")
         elif self.take("*"):
-            out = t.NcAny(self.one_class() if self.take("-") else None)
+            if inside:
+                raise SchemaError("InvalidName", "* can't be excepted", self.file, span)
+            out = t.NcAny(self.one_class("*") if self.take("-") else None)
         elif self.kind() == "nsname":
+            if inside == "ns":
+                raise SchemaError("InvalidName", "a namespace can't be excepted from one", self.file, span)
             prefix = self.word()[:-2]
             self.at += 1
-            out = t.NcNs(prefix, self.one_class() if self.take("-") else None, None, span)
+            out = t.NcNs(prefix, self.one_class("ns") if self.take("-") else None, None, span)
         elif self.kind() == "cname":
             prefix, _, local = self.word().partition(":")
             self.at += 1
