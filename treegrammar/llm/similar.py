@@ -37,7 +37,7 @@ from treegrammar.llm.tokens import some
 SAMPLE, SLOTS, OFTEN = 4000, 1 << 22, 4  # texts whose shingles are counted, slots of the counts, count from which a slot is common
 PAIRS = 1 << 18  # pairs given out at once
 BITS = 1 << 24  # of the bitmap of texts whose sets are wanted
-PROBED, PROBES = 8, 3  # one of how many tokens is looked at in a round, and rounds
+PROBED, PROBES = 3, 1  # one of how many tokens is looked at in a round, and rounds
 SET_BYTES = 6  # of each hash in the sets that are sent to be compared
 PARITIES = tuple(f"m{i}" for i in range(8))  # of 64 slots each
 
