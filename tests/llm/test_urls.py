@@ -54,7 +54,7 @@ def test_siblings_merge_only_if_they_are_alike(spark):
     rules = (*urls.RULES, ("allow", "n.net", "/ok/"), ("block", "n.net", "/half/no/"), ("block", "n.net", "/bad/"))
     got = {u: r for u, r in zip(pages, sorted(urls.filter_urls(spark.createDataFrame([(i, u, "x", "y", 1) for i, u in enumerate(pages)], SCHEMA), rules=rules).collect(), key=lambda r: r.page_id))}
     at = lambda u: got["http://n.net/" + u].template
-    assert at("es/p1") == at("fr/p2") == at("bad/1") == "/bad|es|fr/*/" and at("en/p1") == at("de/p2") == "/de|en/*/"
+    assert at("es/p1") == at("fr/p2") == at("bad/1") == "/bad|es|fr/*/" and at("en/p1") == at("de/p2") == at("rare/1") == "/*|de|en/*/"
     assert at("ok/p1") == "/ok/*/" and at("half/no/p1") == "/half/no/*/" and at("half/yes/p1") == "/half/yes/*/"
     assert got["http://n.net/half/yes/p1"].verdict == "allow" == got["http://n.net/rare/1"].verdict and got["http://n.net/bad/1"].rule
     assert got["http://n.net/es/p1"].purity > got["http://n.net/half/no/p1"].purity * 0.9 > 0.5 > got["http://n.net/ok/p1"].purity

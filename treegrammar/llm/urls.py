@@ -84,10 +84,10 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
 
 
 def salted(big: DataFrame, small: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
-    """Their join on keys; rows of big with one key are dealt by the columns by."""
+    """Their join on keys; rows of big with one key are dealt by the columns by. Both sides grow with the input: neither is broadcast."""
     big = big.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)))
     small = small.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return big.join(small, [*keys, "salt"]).drop("salt")
+    return big.join(small.hint("merge"), [*keys, "salt"]).drop("salt")
 
 
 def grown(at: DataFrame, level: int) -> DataFrame:
