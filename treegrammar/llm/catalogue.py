@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from treegrammar.llm import decontaminate, language, mixing, scoring, simhash, tokens, topk, toxicity, urls
+from treegrammar.llm import bytepairs, decontaminate, language, mixing, scoring, simhash, tokens, topk, toxicity, urls
 
 QUERIES = {
     "op1_lm_score": scoring.op1_lm_score,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash_neardup": simhash.op10_simhash_neardup,
+    "op11_bpe_codec": bytepairs.op11_bpe_codec,
 }
 
 ORACLES = {
