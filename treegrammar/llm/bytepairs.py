@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treegrammar.llm.common import batch, cut, forget, give_back, read
+from treegrammar.llm.common import batch, cut, give_back, partitions, read
 
 CHUNK, SLICE = 32 << 20, 2 << 20  # bytes of text of a chunk and of what is split at once
 TOGETHER = 1 << 19  # words that are put together, and rows that are packed, at once
@@ -301,7 +301,8 @@ def encoded_texts(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_i
     spark, table = docs.sparkSession, Ranks(ranks)
     chunks = cut(spark, chunked(docs, id_col, text_col), "word-chunks")
     uses = chunks.select("chunk", F.posexplode("words").alias("n", "word"))
-    known = uses.select("word").distinct().select("word", table.encode(F.col("word")).alias("ids"))
+    known = uses.select("word").repartition(partitions(spark), "word").distinct()  # a number of its own: few bytes, much work
+    known = known.select("word", table.encode(F.col("word")).alias("ids"))
     known = cut(spark, known, "encoded-words")
     known = known.select("word", "ids", table.decode(F.col("ids")).alias("decoded"))
     found = packed(uses.join(known.hint("merge"), "word"))
