@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from treegrammar.llm import bytepairs, decontaminate, language, mixing, scoring, simhash, tokens, topk, toxicity, urls
+from treegrammar.llm import bytepairs, clusters, codes, decontaminate, language, mixing, scoring, simhash, tokens, topk, toxicity, urls
 
 QUERIES = {
     "op1_lm_score": scoring.op1_lm_score,
@@ -14,9 +14,13 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash_neardup": simhash.op10_simhash_neardup,
     "op11_bpe_codec": bytepairs.op11_bpe_codec,
+    "op12_vector_codes": codes.op12_vector_codes,
+    "op13_sort_means": clusters.op13_sort_means,
 }
 
 ORACLES = {
     "op4_url_filter": urls.ORACLE,
     "op7_exact_topk": topk.ORACLE,
+    "op12_vector_codes": codes.ORACLE,
+    "op13_sort_means": clusters.ORACLE,
 }
