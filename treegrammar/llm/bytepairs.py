@@ -1,10 +1,11 @@
 """Byte-level BPE: ranked merges folded over the bytes of distinct words by Spark's higher-order functions, and decoding.
 
 Texts are split into words (each match of the tokenizer's pattern) a chunk of documents at a time: a chunk keeps its
-documents as numbers of its own distinct words.  The distinct words of all chunks are encoded once: `aggregate` folds a
-word's pieces, in each step joining the leftmost pair of the least rank, with ranks looked up in a literal map (an array of
-small maps by crc32, because a map is searched from end to end).  Decoding looks ids up in a literal array and concatenates
-the binary pieces.  Encoded words meet their chunks again by a join on the word, where a word has one row a chunk at most.
+documents as numbers of its own distinct words.  The distinct words of all chunks (of CHUNKS_TOGETHER tasks at a time, so
+that no list of a word's chunks grows without end) are encoded once: `aggregate` folds a word's pieces, in each step joining
+the leftmost pair of the least rank, with ranks looked up in a literal map (an array of small maps by crc32, because a map
+is searched from end to end).  Decoding looks ids up in a literal array and concatenates the binary pieces.  Encoded words go
+back to their chunks, which lie in a table bucketed by chunk and are not moved.
 
 Defined results: a null text is an empty one (no ids); a null id is kept; repeated rows are each encoded; an empty table
 gives an empty result; other columns are ignored.  A word's fold takes time with the square of its own length, which is
@@ -25,10 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treegrammar.llm.common import batch, cut, give_back, partitions, read
+from treegrammar.llm.common import Buckets, batch, give_back, partitions, read
 
 CHUNK, SLICE = 32 << 20, 2 << 20  # bytes of text of a chunk and of what is split at once
 TOGETHER = 1 << 19  # words that are put together, and rows that are packed, at once
+CHUNKS_TOGETHER = 4096  # tasks whose chunks share a word's encoding
 BUCKETS = 1 << 14  # maps that share the ranks
 NONE = (1 << 31) - 1  # rank of what is no token
 EDGE = "."  # stands before and after a word's pieces and is part of no token
@@ -92,19 +94,20 @@ def words(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def parts(text: bytes):
     """A text in slices that end before a space after an ASCII letter or digit, where words always part."""
-    while len(text) > SLICE:
-        k = text.rfind(b" ", 1, SLICE)
-        while k > 0 and not (text[k - 1 : k].isalnum()):
-            k = text.rfind(b" ", 1, k)
-        if k <= 0:
-            k = text.find(b" ", SLICE)
+    start = 0
+    while len(text) - start > SLICE:
+        k = text.rfind(b" ", start + 1, start + SLICE)
+        while k > 0 and not text[k - 1 : k].isalnum():
+            k = text.rfind(b" ", start + 1, k)
+        if k < 0:
+            k = text.find(b" ", start + SLICE)
             while k > 0 and not text[k - 1 : k].isalnum():
                 k = text.find(b" ", k + 1)
-            if k <= 0:
+            if k < 0:
                 break
-        yield text[:k]
-        text = text[k:]
-    yield text
+        yield text[start:k]
+        start = k
+    yield text[start:]
 
 
 def slices(texts: pa.Array):
@@ -126,7 +129,7 @@ CHUNKS = "chunk long, ids array<long>, counts array<long>, codes binary, words a
 
 
 def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(chunk, ids, counts, codes, words): documents as numbers in the list of their chunk's distinct words. counts: each document's words; codes: their numbers (four bytes each, zstd)."""
+    """(chunk, ids, counts, codes, words): documents as numbers in the list of their chunk's distinct words. counts: each document's words; codes: their numbers (all lowest bytes first, then the next ones ..., zstd)."""
     schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary()), ("words", pa.list_(pa.binary()))])
 
     def run(batches):
@@ -141,7 +144,7 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 known = coded.chunk(0).dictionary
             else:
                 codes, known = np.zeros(0, "<u4"), pa.array([], pa.binary())
-            packed = pa.Codec("zstd").compress(codes.tobytes(), asbytes=True)
+            packed = pa.Codec("zstd").compress(codes.view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
             out = batch(schema, chunk=[name], ids=[ids], counts=[counts], codes=[packed], words=pa.ListArray.from_arrays(pa.array([0, len(known)], pa.int32()), known))
             name += 1
             return out
@@ -200,41 +203,49 @@ class Ranks:
         self.maps = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
         self.pieces = F.split(F.lit(" ".join(by_id)), " ")
 
-    def rank(self, hexed: Column) -> Column:
-        """A token's id, which is its rank; NONE if it is no token."""
-        bucket = F.pmod(F.crc32(hexed.cast("binary")), F.lit(BUCKETS)).cast("int")
-        return F.coalesce(F.get(self.maps, bucket)[hexed], F.lit(NONE))
+    def encode(self, word: Column) -> Column:
+        """array<int>: ids of one word (a match of the pattern)."""
+        # the literals are bound to names, so that a plan holds each of them once
+        ids = let(self.maps, lambda maps: let(self.pieces, lambda pieces: let(F.hex(word), lambda hexed: encoded(maps, pieces, hexed))))
+        return F.when(F.octet_length(word) == 0, F.array().cast("array<int>")).otherwise(ids)
 
-    def merge(self, state: Column, _: Column) -> Column:
-        """One step of the fold. state: pieces p with an edge at both ends, and the rank r of each pair of neighbours."""
-        p, r = state["p"], state["r"]
+    def decode(self, ids: Column) -> Column:
+        """The bytes of ids; null if one of them is no id of the vocabulary."""
 
-        def joined(rank: Column, k: Column) -> Column:
-            piece = F.get(self.pieces, rank)
-            near = F.array(self.rank(F.concat(F.get(p, k - 2), piece)), self.rank(F.concat(piece, F.get(p, k + 1))))
-            return F.struct(F.concat(F.slice(p, 1, k - 1), F.array(piece), F.slice(p, k + 2, F.size(p))).alias("p"), F.concat(F.slice(r, 1, k - 2), near, F.slice(r, k + 2, F.size(r))).alias("r"))
+        def joined(hexed: Column) -> Column:
+            return F.when(F.forall(hexed, lambda h: h.isNotNull()), F.unhex(F.array_join(hexed, "")))
 
-        return let(F.array_min(r), lambda rank: F.when(rank == NONE, state).otherwise(let(F.array_position(r, rank).cast("int"), lambda k: joined(rank, k))))
+        return let(F.transform(ids, lambda i: F.nullif(F.get(self.pieces, i), F.lit(""))), joined)
 
-    def encode(self, word: Column) -> Column:
-        """array<int>: ids of one word (a match of the pattern)."""
-        hexed = F.hex(word)
-        n = F.length(hexed).cast("int") / 2
-        edge = F.array(F.lit(EDGE))
 
-        def fold(h: Column) -> Column:
-            steps = F.sequence(F.lit(1), n.cast("int"))
-            each = F.concat(edge, F.transform(steps, lambda i: F.substring(h, 2 * i - 1, F.lit(2))), edge)
-            begin = let(each, lambda p: F.struct(p.alias("p"), F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: self.rank(F.concat(F.get(p, i - 1), F.get(p, i)))).alias("r")))
-            return F.aggregate(steps, begin, self.merge, lambda s: F.transform(F.slice(s["p"], 2, F.size(s["p"]) - 2), self.rank))
+def encoded(maps: Column, pieces: Column, hexed: Column) -> Column:
+    """Ids of a word's bytes: the word's own id if it is a token, else those of its pieces when no pair of neighbours is a token any more."""
 
-        whole = let(self.rank(hexed), lambda rank: F.when(rank < NONE, F.array(rank)).otherwise(fold(hexed)))
-        return F.when(n == 0, F.array().cast("array<int>")).otherwise(whole)
+    def rank(h: Column) -> Column:
+        """A token's id, which is its rank; NONE if it is no token."""
+        bucket = F.pmod(F.crc32(h.cast("binary")), F.lit(BUCKETS)).cast("int")
+        return F.coalesce(F.get(maps, bucket)[h], F.lit(NONE))
 
-    def decode(self, ids: Column) -> Column:
-        """The bytes of ids; null if one of them is no id of the vocabulary."""
-        pieces = F.transform(ids, lambda i: F.nullif(F.get(self.pieces, i), F.lit("")))
-        return F.when(F.forall(pieces, lambda h: h.isNotNull()), F.unhex(F.array_join(pieces, "")))
+    def merge(state: Column, _: Column) -> Column:
+        """One step of the fold. state: pieces p with an edge at both ends, and the rank r of each pair of neighbours."""
+
+        def joined(s: Column, k: Column) -> Column:  # k: the leftmost pair of the least rank
+            p, r = s["p"], s["r"]
+            piece = F.get(pieces, F.get(r, k - 1))
+            near = F.array(rank(F.concat(F.get(p, k - 2), piece)), rank(F.concat(piece, F.get(p, k + 1))))
+            after = F.struct(F.concat(F.slice(p, 1, k - 1), F.array(piece), F.slice(p, k + 2, F.size(p))).alias("p"), F.concat(F.slice(r, 1, k - 2), near, F.slice(r, k + 2, F.size(r))).alias("r"))
+            return F.when(F.get(r, k - 1) == NONE, s).otherwise(after)
+
+        # a fold of one element binds k without copying the state
+        return F.aggregate(F.array(F.array_position(state["r"], F.array_min(state["r"])).cast("int")), state, joined)
+
+    def fold(h: Column) -> Column:
+        steps, edge = F.sequence(F.lit(1), (F.length(h) / 2).cast("int")), F.array(F.lit(EDGE))
+        each = F.concat(edge, F.transform(steps, lambda i: F.substring(h, 2 * i - 1, F.lit(2))), edge)
+        begin = let(each, lambda p: F.struct(p.alias("p"), F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: rank(F.concat(F.get(p, i - 1), F.get(p, i)))).alias("r")))
+        return F.aggregate(steps, begin, merge, lambda s: F.transform(F.slice(s["p"], 2, F.size(s["p"]) - 2), rank))
+
+    return let(rank(hexed), lambda own: F.when(own < NONE, F.array(own)).otherwise(fold(hexed)))
 
 
 # ------------------------------------------------- documents
@@ -281,7 +292,8 @@ def put_together(known: pa.Table, chunk: pa.Table) -> pa.Table:
     row = chunk.to_batches()[0]
     doc_ids, counts = row.column("ids")[0].values, row.column("counts")[0].values.to_numpy()
     before = np.append(0, np.cumsum(counts))
-    codes = np.frombuffer(pa.Codec("zstd").decompress(row.column("codes")[0].as_py(), int(before[-1]) * 4), "<u4").astype(np.int64)
+    raw = np.frombuffer(pa.Codec("zstd").decompress(row.column("codes")[0].as_py(), int(before[-1]) * 4), np.uint8)
+    codes = np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
     out, i = [], 0
     while i < len(doc_ids):
         j = max(i + 1, int(np.searchsorted(before, before[i] + TOGETHER, side="right")) - 1)
@@ -299,15 +311,15 @@ def put_together(known: pa.Table, chunk: pa.Table) -> pa.Table:
 def encoded_texts(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>, decoded binary) of every document; decoded: the bytes of its ids."""
     spark, table = docs.sparkSession, Ranks(ranks)
-    chunks = cut(spark, chunked(docs, id_col, text_col), "word-chunks")
-    uses = chunks.select("chunk", F.posexplode("words").alias("n", "word"))
-    known = uses.select("word").repartition(partitions(spark), "word").distinct()  # a number of its own: few bytes, much work
-    known = known.select("word", table.encode(F.col("word")).alias("ids"))
-    known = cut(spark, known, "encoded-words")
-    known = known.select("word", "ids", table.decode(F.col("ids")).alias("decoded"))
-    found = packed(uses.join(known.hint("merge"), "word"))
+    tables = Buckets(spark, "chunk")
+    chunks = tables.put(chunked(docs, id_col, text_col), dealt=False)
+    uses = chunks.select(F.shiftright("chunk", 32).alias("task"), "chunk", F.posexplode("words").alias("n", "word"))
+    uses = uses.withColumn("tasks", F.floor(F.col("task") / CHUNKS_TOGETHER)).repartition(partitions(spark), "word", "tasks")  # a number of its own: few bytes, much work
+    known = uses.groupBy("word", "tasks").agg(F.collect_list(F.struct("chunk", "n")).alias("at")).select("at", table.encode(F.col("word")).alias("ids"))
+    found = packed(known.select("ids", table.decode(F.col("ids")).alias("decoded"), F.explode("at").alias("at")).select("at.*", "ids", "decoded"))
     rows = chunks.select(F.col("chunk").alias("of"), "ids", "counts", "codes")
-    return found.groupBy("chunk").cogroup(rows.groupBy("of")).applyInArrow(put_together, "doc_id long, ids array<int>, decoded binary")
+    out = found.groupBy("chunk").cogroup(rows.groupBy("of")).applyInArrow(put_together, "doc_id long, ids array<int>, decoded binary")
+    return out
 
 
 def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

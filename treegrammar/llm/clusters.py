@@ -14,8 +14,6 @@ bits cannot hold are an error.  An empty table gives an empty result; other colu
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -23,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treegrammar.llm.codes import Sums, finite, matrix, nearest_of_any_size, safe, totals, whole
-from treegrammar.llm.common import batch, cut, forget, partitions, read, scratch
+from treegrammar.llm.common import Buckets, batch, cut, read
 
 CLUSTERS, ROUNDS, DIMS, SCALE, SEED = 8, 10, 64, 1024.0, 3
 BLOCK = 1024  # vectors of a block
@@ -127,26 +125,6 @@ def settled(joined: DataFrame, order: Order, dims: int) -> DataFrame:
     return joined.select("ids", "width", "data", "had").mapInArrow(run, "vec_id long, cluster int, distance long")
 
 
-class Buckets:
-    """Tables by block in the shared folder, bucketed alike: joins between them move no rows."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.n, self.made = spark, partitions(spark), []
-
-    def put(self, df: DataFrame) -> DataFrame:
-        name, path = f"blocks_{uuid.uuid4().hex}", scratch(self.spark, "blocks")
-        df.repartition(self.n, "block").write.option("path", path).option("compression", "zstd").bucketBy(self.n, "block").saveAsTable(name)
-        self.made.append((name, path))
-        return self.spark.table(name)
-
-    def drop(self, keep: int = 0) -> None:
-        """Drops the tables but the first so many."""
-        for name, path in self.made[keep:]:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            forget(path)
-        del self.made[keep:]
-
-
 def cluster(vectors: DataFrame, k: int = CLUSTERS, rounds: int = ROUNDS, dims: int = DIMS, scale: float = SCALE, seed: int = SEED, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, list[list[int]]]:
     """((vec_id, cluster, distance) of every vector as a written table, the final centroids)."""
     spark = vectors.sparkSession
@@ -155,7 +133,7 @@ def cluster(vectors: DataFrame, k: int = CLUSTERS, rounds: int = ROUNDS, dims: i
     centroids = [r.v for r in rows.orderBy(F.asc_nulls_last(key), "v").limit(k).collect()]
     if not centroids:
         return spark.createDataFrame([], "vec_id long, cluster int, distance long"), []
-    tables = Buckets(spark)
+    tables = Buckets(spark, "block")
     blocks = tables.put(blocked(rows))
     joined = blocks.withColumn("had", F.lit(None).cast("binary"))
     for i in range(rounds):
@@ -163,10 +141,7 @@ def cluster(vectors: DataFrame, k: int = CLUSTERS, rounds: int = ROUNDS, dims: i
         joined = blocks.join(now.select("block", "had").hint("shuffle_hash"), "block")
         for (c,), (n, s) in totals(now.select(F.explode("sums").alias("s")).select("s.*"), "cluster").items():
             centroids[c] = [x // n for x in s]
-        if i:
-            name, path = tables.made.pop(1)
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
-            forget(path)
+        tables.drop(1, -1)
     out = cut(spark, settled(joined, Order(centroids), dims), "clusters")
     tables.drop()
     return out, centroids

@@ -28,9 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[str] = []  # paths of this process that have not been deleted
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; forget_all() deletes it at the latest."""
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -48,6 +52,35 @@ def forget(*tables: DataFrame | str) -> None:
         for p in {t} if isinstance(t, str) else {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(conf).delete(path, True)
+            if p in _made:
+                _made.remove(p)
+
+
+def forget_all() -> None:
+    """Deletes every written table and file of this process: for a long session, once the results of its queries have been stored elsewhere."""
+    forget(*_made)
+
+
+class Buckets:
+    """Tables in the shared folder, bucketed alike by one column: joins and groups between them by that column move no rows."""
+
+    def __init__(self, spark: SparkSession, by: str):
+        self.spark, self.by, self.n, self.made = spark, by, partitions(spark), []
+
+    def put(self, df: DataFrame, dealt: bool = True) -> DataFrame:
+        """df as a written table. dealt: rows go to one file a bucket; else each task writes its own files, which moves no rows."""
+        name, path = f"bucketed_{uuid.uuid4().hex}", scratch(self.spark, "bucketed")
+        df = df.repartition(self.n, self.by) if dealt else df
+        df.write.option("path", path).option("compression", "zstd").bucketBy(self.n, self.by).saveAsTable(name)
+        self.made.append((name, path))
+        return self.spark.table(name)
+
+    def drop(self, start: int = 0, end: int | None = None) -> None:
+        """Drops the tables of this range in the order of their making; what reads them must have been written by then."""
+        for name, path in self.made[start:end]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            forget(path)
+        del self.made[start:end]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
