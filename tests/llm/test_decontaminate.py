@@ -17,6 +17,22 @@ def least(pattern, text):
     return min(row)
 
 
+def least_bounded(pattern, text):
+    """The same among substrings that begin and end at word bounds, each compared in full."""
+    best = len(pattern)
+    at = [i for i in range(len(text) + 1) if dc.bound(text, i)]
+    for a in at:
+        row = list(range(len(pattern) + 1))
+        for j, t in enumerate(text[a : a + 2 * len(pattern)], a + 1):
+            new = [row[0] + 1]
+            for i, p in enumerate(pattern):
+                new.append(min(row[i] + (p != t), row[i + 1] + 1, new[-1] + 1))
+            row = new
+            if dc.bound(text, j):
+                best = min(best, row[-1])
+    return best
+
+
 def edited(rnd, text, edits):
     t = list(text)
     for _ in range(edits):
@@ -63,8 +79,8 @@ def test_every_item_within_its_budget_is_found(spark):
         if d == 202:
             want.append((202, 6, 0))
             continue
-        for i, t in {(i, dc.normal(t)) for i, t, _ in items if t and len(t.split()) >= dc.MIN_WORDS}:
-            k = least(t, dc.normal(text))
+        for i, t in {(i, dc.normal(t)) for i, t, _ in items if t}:
+            k = least(t, dc.normal(text)) if len(t.split()) >= dc.MIN_WORDS else least_bounded(t, dc.normal(text))
             if k <= dc.budget(t, dc.BUDGET):
                 want.append((d, i, k))
     df, bench = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, ITEMS)
@@ -80,10 +96,39 @@ def test_every_item_within_its_budget_is_found(spark):
     assert sorted(again, key=str) == sorted(got, key=str) and sorted(set(again), key=str) == sorted(set(got), key=str)
 
 
-def test_short_items_must_occur_unchanged_at_word_bounds(spark):
-    items = [(1, "Who wrote  Hamlet?", 0), (2, "two", 0), (3, "art of war", 0), (4, "", 0)]
+def test_short_items_begin_and_end_at_word_bounds(spark):
+    items = [(1, "Who wrote  Hamlet?", 0), (2, "two", 0), (3, "art of war", 0), (4, "", 0), (5, "what is the capital of sweden now", 0)]
     docs = [(1, "q: who wrote\nhamlet? a: ...", 0, 0, "e"), (2, "who wrote hamlet", 0, 0, "e"), (3, "network twork", 0, 0, "e"), (4, "network, (TWO) of", 0, 0, "e"), (5, "smart of war, then art of warm", 0, 0, "e"), (6, "start of war; the art of war.", 0, 0, "e"), (7, None, 0, 0, "e")]
+    docs += [(8, "so what is the capitall of swedn now?", 0, 0, "e"), (9, "somewhat is the capital of sweden nowhere", 0, 0, "e"), (10, "What was the capital of sweden now", 0, 0, "e")]
     df, bench = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, ITEMS)
     got = sorted((r.doc_id, r.item_id, r.distance) for r in dc.contaminated(df, bench).collect())
-    assert got == [(1, 1, 0), (4, 2, 0), (6, 3, 0)]
-    assert sorted(r.doc_id for r in dc.clean(df, bench).collect()) == [2, 3, 5, 7]
+    assert got == [(1, 1, 0), (2, 1, 1), (4, 2, 0), (6, 3, 0), (8, 5, 2), (10, 5, 2)]
+    assert sorted(r.doc_id for r in dc.clean(df, bench).collect()) == [3, 5, 7, 9]
+
+
+def test_items_of_one_to_twelve_words_against_brute_force(monkeypatch):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abe") for _ in range(rnd.randrange(1, 7)))
+    items = [(n * 10 + k, " ".join(word() for _ in range(n))) for n in range(1, 13) for k in range(4)]
+    matcher, hits = dc.Matcher(items, dc.BUDGET), 0
+    for _ in range(120):
+        t = rnd.choice(items)[1]
+        body = [word() for _ in range(rnd.randrange(0, 12))] + [edited(rnd, t, rnd.randrange(0, dc.budget(t, dc.BUDGET) + 2))]
+        text = dc.normal((" " if rnd.random() < 0.8 else "").join(body))
+        want = [(i, (least if t.count(" ") >= 7 else least_bounded)(t, text)) for i, t in items]
+        want = [(i, d) for (i, d), (_, t) in zip(want, items) if d <= dc.budget(t, dc.BUDGET)]
+        assert [(i, d) for i, d, _ in matcher.search(text)] == want
+        hits += len(want)
+    assert hits > 100
+
+
+def test_more_blocks_than_a_task_keeps(spark, monkeypatch):
+    for name, value in (("BLOCK_CHARS", 40), ("SLICE", 1000), ("MATCHERS", 2)):
+        monkeypatch.setattr(dc, name, value)
+    items = [(i, f"item number {i} of a long list of {i} benchmark items", 0) for i in range(30)]
+    docs = [(i, f"text {i} with item number {i % 40} of a long list of {i % 40} benchmark items in it", 0, 0, "e") for i in range(200)]
+    df, bench = spark.createDataFrame(docs, SCHEMA).coalesce(1), spark.createDataFrame(items, ITEMS)
+    matcher = dc.Matcher([(i, dc.normal(t)) for i, t, _ in items], dc.BUDGET)
+    want = sorted((d, i, k) for d, t, *_ in docs for i, k, _ in matcher.search(t))
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in dc.contaminated(df, bench).collect()) == want
+    assert {r.doc_id for r in dc.clean(df, bench).collect()} == {d[0] for d in docs} - {d for d, *_ in want}

@@ -57,6 +57,28 @@ def test_long_documents_are_walked_in_runs(monkeypatch):
             assert value(got[s : s + n].astype(int)) == pytest.approx(value(want[s : s + n].astype(int)), abs=1e-2)
 
 
+def test_only_texts_without_a_letter_have_no_language(spark):
+    model = language.learn(spark.createDataFrame(corpus(), SCHEMA).where("lang <> 'ru'"), F.lit(True))
+    texts = ["привет мир", "ελληνικά γλώσσα", "全ての人間", "zzqx", "ª", "12 ½ -- !", "", None, " \n", "1x"]
+    odd = spark.createDataFrame([(i, t, None, "a", 1.0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in language.identify(odd, model).collect()}
+    assert [got[i].lang_pred in ("de", "en") for i in range(10)] == [True] * 5 + [False] * 4 + [True]
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (5, 6, 7, 8)) and all(0 <= r.score <= 1 for r in got.values()) and all(got[i].score == 0 for i in (0, 1, 2))
+
+
+def test_many_languages_and_a_long_text(monkeypatch):
+    """Back pointers of few runs are held at a time; the path is that of one walk."""
+    rnd = np.random.default_rng(4)
+    scores, ids = rnd.normal(size=(50, 60)).astype(np.float32), rnd.integers(0, 50, 6000)
+    monkeypatch.setattr(language, "RUN", 100)
+    monkeypatch.setattr(language, "LANES", 100 * 60 * 60 * 2)
+    got = language.long_viterbi(scores, ids, 2.0).astype(int)
+    monkeypatch.setattr(language, "LONG", 10_000)
+    want = language.viterbi(scores, ids, np.array([0]), np.array([6000]), 2.0).astype(int)
+    value = lambda p: scores[ids, p].astype(float).sum() - 2.0 * (np.diff(p) != 0).sum()
+    assert value(got) == pytest.approx(value(want), abs=1e-2)
+
+
 def test_spans_scripts_and_odd_rows(spark):
     docs = spark.createDataFrame(corpus(), SCHEMA)
     model = language.learn(docs, F.lit(True))
@@ -94,7 +116,8 @@ def test_texts_in_no_learned_language_score_low_and_are_rejected(spark):
     rows = [(i, t, None, "a", 1.0) for i, t in enumerate([*STRANGE, " ".join(EN), " ".join(DE), " ".join(RU), " ".join(EN) + " " + STRANGE[0]])]
     odd = spark.createDataFrame(rows, SCHEMA)
     got = {r.doc_id: r for r in language.identify(odd, model).collect()}
-    assert [(got[i].lang_pred, got[i].score) for i in (0, 1)] == [("und", 0.0)] * 2 and got[2].score < 0.3
+    assert [got[i].score for i in (0, 1)] == [0.0] * 2 and got[2].score < 0.3
+    assert all(got[i].lang_pred in model.langs for i in (0, 1, 2))
     assert [got[i].lang_pred for i in (3, 4, 5)] == ["en", "de", "ru"] and all(got[i].score > 0.9 for i in (3, 4, 5))
     assert got[6].lang_pred == "en" and 0.5 < got[6].score < 0.8
     assert {r.doc_id for r in language.keep_languages(odd, model, 0.3).collect()} == {3, 4, 5, 6}

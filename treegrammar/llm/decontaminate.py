@@ -4,12 +4,12 @@ Items and documents are compared in lower case with single blanks.  An item of n
 occur with up to k = floor(n * budget) edits; cut into k + 1 pieces, at least one piece then occurs unchanged.  All pieces
 are searched at once (Aho-Corasick); each hit names a window of the document in which the item would lie, overlapping
 windows of an item are joined, and Myers' bit-parallel distance gives the least number of edits of the item against any
-substring of the window.  An item that no substring matches within k is not reported.  Items of fewer than min_words words
-must occur unchanged, with no letter or digit that goes on before or after them.
+substring of the window.  An item that no substring matches within k is not reported.  What matches an item of fewer than
+min_words words must also begin and end at word bounds: no letter or digit goes on before or after it.
 
 Items are dealt into blocks of about BLOCK_CHARS characters, written to the shared folder: none passes through the driver.  A task
-builds one automaton at a time; of several blocks, it holds its documents (one input partition, as Arrow) and runs through the
-blocks, so documents are read once whatever the number of items.
+holds the automata of MATCHERS blocks; of more blocks, it takes SLICE bytes of its documents at a time through all of them, so
+documents are read once whatever the number of items.
 
 Defined results: null or empty texts and items match nothing, nor do items without an id; repeated documents are reported each, a
 repeated item id once for each document, with its least distance; empty tables give an empty result; other columns are ignored by
@@ -18,7 +18,8 @@ contaminated() and kept as they are by clean(), whatever their names.
 
 from __future__ import annotations
 
-import numpy as np
+from functools import lru_cache
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,7 @@ from treegrammar.llm.common import batch, filesystem, numbered, read, scratch
 BUDGET = 0.07  # edits a character of the item
 MIN_WORDS = 8
 BLOCK_CHARS = 4 << 20
+SLICE, MATCHERS = 64 << 20, 4  # bytes of documents that a task holds, and blocks of items whose automata it keeps
 
 
 def normal(text: str | None) -> str:
@@ -46,16 +48,9 @@ def pieces(item: str, k: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(edge, edge[1:])]
 
 
-def whole(item: str, text: str) -> int:
-    """Where the item's first occurrence at word bounds ends, 0 if there is none."""
-    at = text.find(item)
-    while at >= 0:
-        end = at + len(item)
-        before, after = text[at - 1 : at] if at else "", text[end : end + 1]
-        if not (before.isalnum() and item[0].isalnum()) and not (after.isalnum() and item[-1].isalnum()):
-            return end
-        at = text.find(item, at + 1)
-    return 0
+def bound(text: str, at: int) -> bool:
+    """No word goes on across this place."""
+    return not (0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum())
 
 
 class Myers:
@@ -67,29 +62,41 @@ class Myers:
         for i, c in enumerate(pattern):
             self.eq[c] = self.eq.get(c, 0) | 1 << i
 
-    def least(self, text: str) -> tuple[int, int]:
-        """(distance, end): the first place where the best match ends."""
+    def scores(self, text: str, anchored: bool = False):
+        """The least edits of the pattern against what ends after each character of text; anchored: and begins with the text."""
         n, eq = self.n, self.eq
-        full, top = (1 << n) - 1, 1 << (n - 1)
+        full, top, first = (1 << n) - 1, 1 << (n - 1), int(anchored)
         pv, mv, score = full, 0, n
-        best, end = n, 0
-        for j, c in enumerate(text):
+        for c in text:
             e = eq.get(c, 0)
             d0 = (((e & pv) + pv) ^ pv) | e | mv
             ph = mv | (full & ~(d0 | pv))
             mh = pv & d0
-            if ph & top:
-                score += 1
-            elif mh & top:
-                score -= 1
-                if score < best:
-                    best, end = score, j + 1
-            ph = ph << 1 & full  # a match may begin anywhere: the first row is all zeros
+            score += 1 if ph & top else -1 if mh & top else 0
+            yield score
+            ph = (ph << 1 | first) & full  # not anchored, a match may begin anywhere: the first row is all zeros
             mh = mh << 1 & full
             pv = mh | (full & ~(d0 | ph))
             mv = ph & d0
+
+    def least(self, text: str) -> tuple[int, int]:
+        """(distance, end): the first place where the best match ends."""
+        best, end = self.n, 0
+        for j, score in enumerate(self.scores(text), 1):
+            if score < best:
+                best, end = score, j
         return best, end
 
+    def bounded(self, text: str, begin: int, end: int, k: int) -> tuple[int, int]:
+        """The same among matches within begin and end that begin and end at word bounds; (k + 1, 0) if none has at most k edits."""
+        best = (k + 1, 0)
+        for start in range(begin, end):
+            if bound(text, start):
+                for j, score in enumerate(self.scores(text[start : min(end, start + self.n + k)], True), start + 1):
+                    if score <= k and (score, j) < best and bound(text, j):
+                        best = score, j
+        return best
+
 
 class Matcher:
     """Searches documents for a block of items: (item_id, text), normalised."""
@@ -101,7 +108,7 @@ class Matcher:
         for i, text in items:
             by_text.setdefault(text, []).append(i)
         self.short = [text.count(" ") + 1 < min_words for text in by_text]
-        self.items = [(ids, text, 0 if short else budget(text, rate)) for (text, ids), short in zip(by_text.items(), self.short)]
+        self.items = [(ids, text, budget(text, rate)) for text, ids in by_text.items()]
         self.myers: list[Myers | None] = [None] * len(self.items)
         found: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text, k) in enumerate(self.items):
@@ -139,15 +146,13 @@ class Matcher:
         out: dict[int, tuple[int, int]] = {}
         for n, spans in self.windows(text).items() if text else ():
             ids, item, k = self.items[n]
-            if self.short[n]:
-                end = whole(item, text)
-                if end:
-                    out.update((i, min((0, end), out.get(i, (1, 0)))) for i in ids)
-                continue
             m = self.myers[n] = self.myers[n] or Myers(item)
-            best, end = min((d, a + e) for a, b in spans for d, e in [m.least(text[a:b])])
+            if self.short[n]:
+                best, end = min(m.bounded(text, a, b, k) for a, b in spans)
+            else:
+                best, end = min((d, a + e) for a, b in spans for d, e in [m.least(text[a:b])])
             if best <= k:
-                out.update((i, min((best, end), out.get(i, (k + 1, 0)))) for i in ids)
+                out.update((i, min((best, end), out.get(i, (best, end)))) for i in ids)
         return [(i, *out[i]) for i in sorted(out)]
 
 
@@ -169,12 +174,26 @@ def block_of(folder: str) -> list[tuple[int, str]]:
 
 
 def searched(batches, column: int | str, blocks: list[str], rate: float, min_words: int):
-    """(place of the batch, batch, matcher's finds for each of its rows), block by block."""
-    batches = batches if len(blocks) < 2 else list(batches)
-    for folder in blocks:
-        matcher = Matcher(block_of(folder), rate, min_words)
-        for k, b in enumerate(batches):
-            yield k, b, [matcher.search(t) for t in b.column(column).to_pylist()]
+    """(batch, what each block's matcher finds in its rows): for each batch, a list of finds for each of its rows."""
+    made = lru_cache(MATCHERS)(lambda folder: Matcher(block_of(folder), rate, min_words))
+
+    def through(held):
+        finds = [[[] for _ in range(b.num_rows)] for b in held]
+        for folder in blocks:
+            matcher = made(folder)
+            for b, found in zip(held, finds):
+                for one, text in zip(found, b.column(column)):
+                    one += matcher.search(text.as_py())
+        yield from zip(held, finds)
+
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= SLICE or len(blocks) <= MATCHERS:
+            yield from through(held)
+            held, size = [], 0
+    yield from through(held)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = BUDGET, min_words: int = MIN_WORDS) -> DataFrame:
@@ -184,7 +203,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     blocks = item_blocks(benchmark, item_col, item_text_col)
 
     def run(batches):
-        for _, b, finds in searched(batches, 1, blocks, rate, min_words):
+        for b, finds in searched(batches, 1, blocks, rate, min_words):
             found = [(d, *m) for d, ms in zip(b.column(0).to_pylist(), finds) for m in ms]
             if found:
                 d, i, k, e = zip(*found)
@@ -201,15 +220,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     at = docs.columns.index(text_col)
 
     def run(batches):
-        kept: dict[int, tuple[pa.RecordBatch, np.ndarray]] = {}  # of several blocks; of one, a batch goes out at once
-        for k, b, finds in searched(batches, at, blocks, rate, min_words):
-            clear = np.array([not f for f in finds], bool)
-            if len(blocks) == 1:
-                yield b.filter(pa.array(clear))
-            else:
-                kept[k] = b, clear & kept[k][1] if k in kept else clear
-        for b, clear in kept.values():
-            yield b.filter(pa.array(clear))
+        for b, finds in searched(batches, at, blocks, rate, min_words):
+            yield b.filter(pa.array([not f for f in finds], pa.bool_()))
 
     plain = numbered(docs)
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -9,8 +9,8 @@ their frequencies in the candidate's training documents); they stay in the whole
 
 Training may take a bounded sample: at most ``train_rows`` labelled documents, those with the least hash of their id.
 
-Defined results: a null text, one without letters and one whose letters count for no language are ``und`` with score 0; with no labelled documents everything is
-``und``; ties go to the language that sorts first; repeated rows are labelled each; other columns are ignored.
+Defined results: a null text and one without letters are ``und`` with score 0; a text whose letters count for no language has the language whose spans hold
+most of its letters, with score 0; with no labelled documents everything is ``und``; ties go to the language that sorts first; repeated rows are labelled each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,6 +46,7 @@ DIMS = 1 << 15  # trigram buckets
 CHARS, STRANGE = 1 << 12, 0.1  # slots of characters; share of the background that goes to all characters alike, as if there were 256
 MEMO = 200_000
 LONG, RUN = 4096, 512  # words of a document that is cut into runs, and of a run
+LANES = 1 << 23  # back pointers of a long document that are held at once
 SWITCH, FLOOR, RARE = 6.0, -30.0, 0.01  # penalty of a switch; score of a language that does not use the word's script; share of a language's letters from which it uses a script
 TRAIN_ROWS = 6000
 MARKS = ".,;:!?|\"'()[]{}<>*#%&$-_/0123456789"
@@ -203,16 +204,21 @@ def viterbi(scores: np.ndarray, ids: np.ndarray, starts: np.ndarray, lengths: np
 
 
 def long_viterbi(scores: np.ndarray, ids: np.ndarray, penalty: float) -> np.ndarray:
-    """The same for one document: every run of RUN words is walked once for each language that may stand before it, and the runs are joined by their end values."""
+    """The same for one document.  Every run of RUN words is walked once for each language that may stand before it, a few runs at a
+    time and for their end values only; these join the runs, and each is walked again from the one language that does stand before it."""
     k, n = scores.shape[1], -(-len(ids) // RUN)
     length = np.minimum(RUN, len(ids) - np.arange(n) * RUN)
-    each = np.repeat(length, k)
-    starts = np.cumsum(each) - each
-    take = np.repeat(np.repeat(np.arange(n) * RUN, k) - starts, each) + np.arange(each.sum())
-    before = np.tile(np.where(np.eye(k, dtype=bool), np.float32(0), np.float32(-1e30)), (n, 1))
-    before[:k] = 0  # nothing stands before the first run
-    walk = Walk(scores, ids[take], starts, each, penalty, before)
-    ends = walk.value.reshape(n, k, k).astype(np.float64)
+    ends = np.empty((n, k, k))
+    some_runs = max(1, LANES // (RUN * k * k))
+    for i in range(0, n, some_runs):
+        runs = np.arange(i, min(n, i + some_runs))
+        each = np.repeat(length[runs], k)
+        starts = np.cumsum(each) - each
+        take = np.repeat(np.repeat(runs * RUN, k) - starts, each) + np.arange(each.sum())
+        before = np.tile(np.where(np.eye(k, dtype=bool), np.float32(0), np.float32(-1e30)), (len(runs), 1))
+        if not i:
+            before[:k] = 0  # nothing stands before the first run
+        ends[runs] = Walk(scores, ids[take], starts, each, penalty, before).value.reshape(len(runs), k, k)
     worth, best = ends[0, 0], np.zeros((n, k), np.int64)
     for i in range(1, n):
         ways = worth[:, None] + ends[i]
@@ -222,9 +228,10 @@ def long_viterbi(scores: np.ndarray, ids: np.ndarray, penalty: float) -> np.ndar
     last[-1] = worth.argmax()
     for i in range(n - 1, 0, -1):
         last[i - 1] = best[i, last[i]]
-    path = walk.back(np.repeat(last, k))
-    lane = np.append(0, last[:-1]) + np.arange(n) * k
-    return np.concatenate([path[starts[j] : starts[j] + each[j]] for j in lane])
+    before = np.full((n, k), np.float32(-1e30))
+    before[np.arange(1, n), last[:-1]] = 0
+    before[0] = 0
+    return Walk(scores, ids, np.arange(n) * RUN, length, penalty, before).back(last)
 
 
 class Labeller:
@@ -287,11 +294,16 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             for i, j, texts in some(b.column(1)):
                 langs, shares, runs = [], [], []
                 for words, lang, size, own in labeller.label(texts, penalty) if labeller else [([], *[np.zeros(0, int)] * 3)] * (j - i):
-                    by = np.bincount(lang, own, minlength=len(model.langs)) if len(words) else np.zeros(1)
-                    best = int(by.argmax())
-                    langs.append(model.langs[best] if by[best] else "und")
-                    shares.append(float(by[best] / size.sum()) if by[best] else 0.0)
-                    runs.append([{"first": a, "after": z, "lang": model.langs[k]} for a, z, k in spans(words, lang)] if by[best] else [])
+                    if not size.sum():  # no letter
+                        langs.append("und")
+                        shares.append(0.0)
+                        runs.append([])
+                        continue
+                    by = np.bincount(lang, own, minlength=len(model.langs))
+                    best = int(by.argmax() if by.any() else np.bincount(lang, size).argmax())
+                    langs.append(model.langs[best])
+                    shares.append(float(by[best] / size.sum()))
+                    runs.append([{"first": a, "after": z, "lang": model.langs[k]} for a, z, k in spans(words, lang)])
                 yield batch(schema, doc_id=b.column(0).slice(i, j - i), lang_pred=langs, score=shares, spans=pa.array(runs, schema.field("spans").type))
         labeller = None
         give_back()
