@@ -5,9 +5,9 @@ import os
 import duckdb
 import pytest
 
-from treegrammar.plans import catalogue, schema_queries
+from treegrammar.plans import catalogue, schema_queries, tree_queries
 
-QUERIES, ORACLES = catalogue.QUERIES | schema_queries.QUERIES, catalogue.ORACLES | schema_queries.ORACLES
+QUERIES, ORACLES = catalogue.QUERIES | schema_queries.QUERIES | tree_queries.QUERIES, catalogue.ORACLES | schema_queries.ORACLES | tree_queries.ORACLES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -66,3 +66,24 @@ class Either:
 
     def __str__(self):
         return f"{self.a} | {self.b}"
+
+
+def witnesses(names) -> set[tuple[str, str]]:
+    """Names such that two classes meet if they meet in one of these: those that occur in the class, and strangers in place of its wildcards."""
+    if isinstance(names, Named):
+        return {(names.ns, names.local)}
+    if isinstance(names, NsName):
+        return {(names.ns, "\0")} | (witnesses(names.but) if names.but else set())
+    if isinstance(names, AnyName):
+        return {("\0", "\0")} | (witnesses(names.but) if names.but else set())
+    return witnesses(names.a) | witnesses(names.b)
+
+
+def overlap(a, b) -> bool:
+    """Do two classes have a name in common?"""
+    return any(a.has(*w) and b.has(*w) for w in witnesses(a) | witnesses(b))
+
+
+def endless(names) -> bool:
+    """Does the class hold names without end?"""
+    return isinstance(names, (NsName, AnyName)) or isinstance(names, Either) and (endless(names.a) or endless(names.b))

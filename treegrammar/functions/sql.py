@@ -22,8 +22,13 @@ def register_valid(spark: SparkSession, schema: CompiledSchema, name: str = "rng
 
     @F.pandas_udf("boolean")
     def valid(xml: pd.Series) -> pd.Series:
-        pool = pool_of(name, data)
-        return pd.Series([validate_text(pool, x)[0] for x in xml], dtype=bool)
+        found = []
+        for x in xml:
+            if (pool := pool_of(name, data)).worn():
+                pool_of.cache_clear()
+                pool = pool_of(name, data)
+            found.append(validate_text(pool, x)[0])
+        return pd.Series(found, dtype=bool)
 
     spark.udf.register(name, valid)
 

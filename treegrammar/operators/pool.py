@@ -31,6 +31,8 @@ class Pool:
         self.opened: dict[tuple, int] = {}
         self.closed: dict[int, int] = {}
         self.ended: dict[int, int] = {}
+        self.excused: dict[int, int] = {}
+        self.left: dict[int, int] = {}
         self.texts: dict[tuple, int] = {}
         self.atts: dict[tuple, int] = {}
         self.held = 0  # characters of texts and atts
@@ -190,10 +192,13 @@ class Pool:
             return self.then(self.open(node[1], ns, local), lambda x: self.after(x, node[2]))
         return self.NONE
 
-    def att(self, p: int, ns: str, local: str, value: str) -> int:
+    def att(self, p: int, ns: str, local: str, value: str | None) -> int:
+        """value None: whatever the value may be."""
+        if value is None:
+            return self._att(p, ns, local, value)
         return self.remembered(self.atts, (p, ns, local, value), len(value), self._att)
 
-    def _att(self, p: int, ns: str, local: str, value: str) -> int:
+    def _att(self, p: int, ns: str, local: str, value: str | None) -> int:
         node = self.nodes[p]
         kind = node[0]
         if kind == "choice":
@@ -205,7 +210,7 @@ class Pool:
         if kind == "after":
             return self.after(self.att(node[1], ns, local, value), node[2])
         if kind == "attribute":
-            return self.EMPTY if node[1].has(ns, local) and self.matches(node[2], value) else self.NONE
+            return self.EMPTY if node[1].has(ns, local) and (value is None or self.matches(node[2], value)) else self.NONE
         return self.NONE
 
     def matches(self, p: int, value: str) -> bool:
@@ -276,6 +281,33 @@ class Pool:
             self.ended[p] = out
         return self.ended[p]
 
+    # ---- recovery: what would stand if a fault had not been made
+
+    def excuse(self, p: int) -> int:
+        """After a start tag whose attributes are not all there: as if they were."""
+        if p not in self.excused:
+            node = self.nodes[p]
+            kind = node[0]
+            if kind == "choice":
+                out = self.choice(*(self.excuse(q) for q in node[1]))
+            elif kind in ("group", "interleave"):
+                out = self.pair(kind, self.excuse(node[1]), self.excuse(node[2]))
+            elif kind == "more":
+                out = self.more(self.excuse(node[1]))
+            elif kind == "after":
+                out = self.after(self.excuse(node[1]), node[2])
+            else:
+                out = self.EMPTY if kind == "attribute" else p
+            self.excused[p] = out
+        return self.excused[p]
+
+    def leave(self, p: int) -> int:
+        """After an element that ends too early: as if it were whole."""
+        if p not in self.left:
+            node = self.nodes[p]
+            self.left[p] = self.choice(*(self.leave(q) for q in node[1])) if node[0] == "choice" else node[2] if node[0] == "after" else self.NONE
+        return self.left[p]
+
     # ---- what may come next
 
     def heads(self, p: int) -> tuple[set[str], set[str], bool]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 from dataclasses import dataclass
-from functools import cache
+from functools import lru_cache
 from xml.parsers import expat
 
 import pyarrow as pa
@@ -126,6 +126,153 @@ class Run:
             self.fail("document-end", "the document ends too early", 0, self.state)
 
 
+class Recovering(Run):
+    """A run that goes on after an error.
+
+    An element that can't stand here is passed over with all it holds; an attribute or a text that can't is passed over (an
+    attribute with a wrong value is taken as a right one); missing attributes are taken as present, and an element that ends too early as whole.  What is not well-formed ends the run.
+    """
+
+    def __init__(self, pool: Pool):
+        super().__init__(pool)
+        self.found: list[tuple] = []
+        self.passed = 0  # open elements of one that is passed over
+        self.excused = False  # the open element's text was reported
+
+    def fail(self, kind: str, message: str, shift: int = 0, state: int | None = None):
+        try:
+            super().fail(kind, message, shift, state)
+        except Failure as e:
+            self.report(e)
+
+    def report(self, e: Failure) -> None:
+        self.found.append((len(self.found), e.kind, e.message, e.start, e.line, e.col, e.expected, *(self.path[-1] if self.path else (None, None))))
+
+    def name(self, raw: str, attribute: bool) -> tuple[str | None, str]:
+        prefix = raw.rpartition(":")[0]
+        if prefix and not self.scopes[-1].get(prefix):
+            self.fail("undefined_namespace_prefix", f"prefix {prefix} is not declared")
+            return None, raw
+        return super().name(raw, attribute)
+
+    def take_text(self) -> None:
+        before = self.state
+        super().take_text()
+        if self.state == self.pool.NONE:
+            self.state = before
+
+    def open(self, raw: str, flat: list[str]) -> None:
+        if self.passed:
+            self.passed += 1
+            return
+        self.take_text()
+        self.leaf = False
+        pairs = list(zip(flat[::2], flat[1::2]))
+        self.scopes.append(self.scopes[-1] | {k[6:]: v for k, v in pairs if k == "xmlns" or k.startswith("xmlns:")})
+        pool = self.pool
+        self.path.append((raw, [k for k, _ in pairs]))
+        ns, local = self.name(raw, False)
+        after = pool.NONE if ns is None else pool.open(self.state, ns, local)
+        if after == pool.NONE:
+            if ns is not None:
+                self.fail("element-start", "element-start not expected here", 1, self.state)
+            self.passed = 1
+            return
+        self.state = after
+        for key, value in pairs:
+            if key == "xmlns" or key.startswith("xmlns:"):
+                continue
+            ns, local = self.name(key, True)
+            if ns is None:
+                continue
+            after = pool.att(self.state, ns, local, value)
+            if after == pool.NONE:
+                self.fail("attribute", f"attribute {key} not expected here", 0, self.state)
+                after = pool.att(self.state, ns, local, None)
+            self.state = self.state if after == pool.NONE else after
+        after = pool.close(self.state)
+        if after == pool.NONE:
+            self.fail("element-open-end", "element-open-end not expected here", 0, self.state)
+            after = pool.close(pool.excuse(self.state))
+        self.state = after
+        self.leaf, self.excused = True, False
+
+    def close(self, _raw: str) -> None:
+        pool = self.pool
+        if self.passed:
+            self.passed -= 1
+            if not self.passed:
+                self.text.clear()
+                self.scopes.pop()
+                self.path.pop()
+            return
+        if self.leaf:
+            s = "".join(self.text)
+            self.text.clear()
+            after = pool.leaf(self.state, s)
+            self.leaf = False
+            if after == pool.NONE:
+                self.fail("text", "text not expected here", 0, self.state)
+                self.excused = True
+            else:
+                self.state = after
+        else:
+            self.take_text()
+        after = pool.end(self.state)
+        if after == pool.NONE:
+            if not self.excused:
+                self.fail("element-close", "element-close not expected here", 0, self.state)
+            after = pool.leave(self.state)
+        self.state, self.excused = after, False
+        self.scopes.pop()
+        self.path.pop()
+
+    def all(self, xml: str) -> None:
+        try:
+            self.parser.Parse(xml.encode("utf-8", "surrogatepass"), True)
+        except expat.ExpatError as e:
+            kind, what = ("undefined_entity", "undefined entity") if e.code == _UNDEFINED_ENTITY else ("xml", expat.ErrorString(e.code))
+            self.report(Failure(kind, what, self.parser.ErrorByteIndex, e.lineno, e.offset + 1))
+            return
+        if not self.found and not self.pool.nullable[self.state]:
+            self.fail("document-end", "the document ends too early", 0, self.state)
+
+
+ERRORS = FIELDS.replace("valid boolean", "n int")
+_ERRORS = pa.schema([("n", pa.int32()), *list(_SCHEMA)[1:]])
+
+
+def errors_of(pool: Pool, xml: str | None) -> list[tuple]:
+    """One document's errors in document order: ERRORS."""
+    if xml is None:
+        return [(0, "null", "no document", *[None] * 6)]
+    run = Recovering(pool)
+    pool.resolve = (lambda prefix: run.scopes[-1].get(prefix)) if uses_qnames(pool) else None
+    run.all(xml)
+    return run.found
+
+
+def all_errors(docs: DataFrame, schema: CompiledSchema, id_col: str = "doc_id", xml_col: str = "xml") -> DataFrame:
+    """id_col and ERRORS: a row for each error of each document, the first of which (n = 0) is validate()'s; valid documents have none."""
+    data = cloudpickle.dumps(schema)
+    digest = hashlib.sha256(data).hexdigest()
+    rows = docs.select(id_col, F.col(xml_col).cast("string").alias("_xml"))
+
+    def run(batches):
+        for b in batches:
+            pool = pool_of(digest, data)
+            for k, xml in enumerate(b.column(1).to_pylist()):
+                if pool.worn():
+                    pool_of.cache_clear()
+                    pool = pool_of(digest, data)
+                found = errors_of(pool, xml)
+                if found:
+                    arrays = [pa.array(list(c), f.type) for c, f in zip(zip(*found), _ERRORS)]
+                    yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[k].as_py()] * len(found), b.column(0).type), *arrays], schema=pa.schema([b.schema[0], *_ERRORS]))
+
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, {ERRORS}")
+
+
 def validate_text(pool: Pool, xml: str | None) -> tuple:
     """One document's result: FIELDS. element and attributes are those that were open at the error. A null document is invalid with kind null."""
     if xml is None:
@@ -141,11 +288,18 @@ def validate_text(pool: Pool, xml: str | None) -> tuple:
 
 def uses_qnames(pool: Pool) -> bool:
     if not hasattr(pool, "qnames"):
-        pool.qnames = "QName" in repr(pool.schema.rules)
+        pool.qnames = any(holds_qname(p) for p in pool.schema.rules)
     return pool.qnames
 
 
-@cache
+def holds_qname(p) -> bool:
+    """Is there a value of type QName in the pattern?"""
+    if not isinstance(p, tuple):
+        return getattr(p, "name", "") == "QName" and hasattr(p, "value")
+    return any(map(holds_qname, p))
+
+
+@lru_cache(8)
 def pool_of(digest: str, data: bytes) -> Pool:
     """One pool for each schema and worker."""
     return Pool(pickle.loads(data))
@@ -162,10 +316,12 @@ def validate(docs: DataFrame, schema: CompiledSchema, id_col: str = "doc_id", xm
     def run(batches):
         pool = pool_of(digest, data)
         for b in batches:
-            if pool.worn():
-                pool_of.cache_clear()
-                pool = pool_of(digest, data)
-            found = [validate_text(pool, x) for x in b.column(b.num_columns - 1).to_pylist()]
+            found = []
+            for x in b.column(b.num_columns - 1).to_pylist():
+                if pool.worn():
+                    pool_of.cache_clear()
+                    pool = pool_of(digest, data)
+                found.append(validate_text(pool, x))
             columns = zip(*found) if found else [[]] * len(_SCHEMA)
             arrays = [pa.array(list(c), f.type) for c, f in zip(columns, _SCHEMA)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *arrays], schema=pa.schema([*list(b.schema)[:-1], *_SCHEMA]))

@@ -100,15 +100,16 @@ def _up_to(n: int, item: str) -> str:
     return f"({item}, " * (n - 1) + f"{item}?" + ")?" * (n - 1)
 
 
-#: The three above, which few logs meet, under their other names, and looser ones that some meet.
 _E, _S = "element error { empty }", "element signup { empty }"
 _AT_MOST = "count(*) FILTER (event_type = 'error') <= {0} AND count(*) FILTER (event_type = 'signup') <= {0} AND count(*) FILTER (event_type = 'purchase') <= {0}"
+#: The three above under their other names, and looser grammars that some logs meet.
 _events("events_log_choice_star", f"element log {{ ({_ANY})* }}", "bool_and(event_type IN ('view', 'click', 'purchase'))")
 _events("events_log_optional", f"element log {{ {_S}?, ({_ANY} | {_E})* }}", f"regexp_full_match({_WORD}, 's?[xe]*')")
 _events("events_log_interleave", f"element log {{ {_E}? & {_S}? & element purchase {{ empty }}? & (element view {{ empty }} | element click {{ empty }})* }}", _AT_MOST.format(1))
+LOOSE_INTERLEAVE = f"element log {{ {_up_to(16, _E)} & {_up_to(16, _S)} & {_up_to(16, 'element purchase { empty }')} & (element view {{ empty }} | element click {{ empty }})* }}"
 _events("events_log_choice_star_loose", f"element log {{ ({_E}?, {_E}?, ({_ANY} | {_S}))*, {_E}?, {_E}? }}", f"NOT contains({_WORD}, 'eee')")
 _events("events_log_optional_loose", f"element log {{ {_S}?, ({_ANY} | {_E}), ({_ANY} | {_E} | {_S})* }}", f"regexp_full_match({_WORD}, 's?[xe][xes]*')")
-_events("events_log_interleave_loose", f"element log {{ {_up_to(16, _E)} & {_up_to(16, _S)} & {_up_to(16, 'element purchase { empty }')} & (element view {{ empty }} | element click {{ empty }})* }}", _AT_MOST.format(16))
+_events("events_log_interleave_loose", LOOSE_INTERLEAVE, _AT_MOST.format(16))
 
 
 def customer_docs(spark, sf_dir) -> DataFrame:
@@ -140,9 +141,11 @@ def ref_recursive(spark, sf_dir):
     return validate(table(spark, sf_dir, "nation").select("n_nationkey", xml.alias("xml")), compile_text(GEO), "n_nationkey").select("n_nationkey", "valid")
 
 
-@query("mixed_text", r"SELECT doc_id, NOT regexp_matches(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]') AND text IS NOT NULL AND regexp_full_match(lang, '[a-zA-Z]{1,8}(-[a-zA-Z0-9]{1,8})*') AS valid FROM documents")
+@query("mixed_text", r"SELECT doc_id, doc_id % 7 <> 3 AND NOT regexp_matches(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]') AND text IS NOT NULL AND regexp_full_match(lang, '[a-zA-Z]{1,8}(-[a-zA-Z0-9]{1,8})*') AS valid FROM documents")
 def mixed_text(spark, sf_dir):
-    xml = F.concat(F.lit('<doc xml:lang="'), escaped(F.col("lang")), F.lit('"><b/>'), escaped(F.col("text")), F.lit("<b/></doc>"))
+    """Every seventh document holds an element that its mixed content doesn't take."""
+    last = F.when(F.col("doc_id") % 7 == 3, F.lit("<c/></doc>")).otherwise(F.lit("<b/></doc>"))
+    xml = F.concat(F.lit('<doc xml:lang="'), escaped(F.col("lang")), F.lit('"><b/>'), escaped(F.col("text")), last)
     schema = compile_text("element doc { attribute xml:lang { xsd:language }, mixed { element b { empty }* } }")
     return validate(table(spark, sf_dir, "documents").select("doc_id", xml.alias("xml")), schema).select("doc_id", "valid")
 
@@ -168,9 +171,11 @@ def ns_scope_lookup(spark, sf_dir):
     return validate(table(spark, sf_dir, "nation").select("n_nationkey", xml.alias("xml")), schema, "n_nationkey").select("n_nationkey", "valid", "error_kind")
 
 
-@query("list_in_element", "SELECT p_partkey, len(list_filter(string_split_regex(p_name, '\\s+'), lambda x: x <> '')) = 2 AS valid FROM part")
+@query("list_in_element", "SELECT p_partkey, len(list_filter(string_split_regex(p_name || CASE WHEN p_size % 3 = 0 THEN '  ' || p_brand ELSE ' ' END, '\\s+'), lambda x: x <> '')) = 2 AS valid FROM part")
 def list_in_element(spark, sf_dir):
-    xml = F.concat(F.lit("<n>"), escaped(F.col("p_name")), F.lit("</n>"))
+    """Names of two words; a third of the parts have their brand as a third item."""
+    more = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("  "), "p_brand")).otherwise(F.lit(" "))
+    xml = F.concat(F.lit("<n>"), escaped(F.concat("p_name", more)), F.lit("</n>"))
     return validate(table(spark, sf_dir, "part").select("p_partkey", xml.alias("xml")), compile_text("element n { list { xsd:string, xsd:string } }"), "p_partkey").select("p_partkey", "valid")
 
 
