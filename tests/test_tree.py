@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from treegrammar.functions import names as nc
-from treegrammar.operators.tree import TreeGrammar, faults, validate_tree
+from treegrammar.operators.tree import TreeGrammar, faults, identity_faults, validate_tree
 from treegrammar.operators.validate import validate_one
 from treegrammar.plans.model import compile_text
 
@@ -143,6 +143,17 @@ def test_what_it_cannot_say_is_refused(schema):
         TreeGrammar(compile_text(schema))
 
 
+def test_identities(spark):
+    schema = compile_text("element a { (element p { attribute id { xsd:ID }, attribute to { xsd:IDREF | '-' }?, attribute s { text }? } | element q { xsd:IDREF })* }")
+    p = lambda **k: ("p", k, None, [])
+    q = lambda t: ("q", {}, t, [])
+    trees = [("a", {}, None, [p(id="x"), p(id=" x "), p(id="y", to="y", s="x"), p(id="z", to="w"), p(id="u", to="-"), q(" z "), q("v"), q("v"), p(id="1bad", to="2")]), ("a", {}, None, [p(id="v"), q("x")]), ("a", {}, None, [])]
+    n, a = zip(*(rows(d, t) for d, t in enumerate(trees)))
+    got = identity_faults(spark.createDataFrame(sum(n, []), NODES), spark.createDataFrame(sum(a, []), ATTRIBUTES), schema).collect()
+    assert sorted((r.doc, r.kind, r.value, r.node or "") for r in got) == [(0, "dangling-idref", "v", "r.6"), (0, "dangling-idref", "v", "r.7"), (0, "dangling-idref", "w", "r.3"), (0, "duplicate-id", "x", ""), (1, "dangling-idref", "x", "r.1")]
+    assert identity_faults(spark.createDataFrame([], NODES), None, schema).collect() == []
+
+
 def test_name_classes_meet():
     a, q, any_ = nc.Named("", "a"), nc.NsName("urn:q"), nc.AnyName()
     for x, y, want in ((a, a, True), (a, nc.Named("", "b"), False), (a, q, False), (nc.Named("urn:q", "z"), q, True), (q, nc.NsName("urn:r"), False), (any_, q, True), (nc.AnyName(nc.NsName("urn:q")), q, False), (nc.NsName("urn:q", nc.Named("urn:q", "z")), nc.Named("urn:q", "z"), False), (nc.Either(a, q), nc.NsName("urn:q", nc.Named("urn:q", "z")), True)):

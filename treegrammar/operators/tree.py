@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treegrammar.functions.names import overlap
-from treegrammar.functions.text import is_whitespace_column
+from treegrammar.functions.text import is_whitespace_column, normalize_ws
 from treegrammar.plans.model import CompiledSchema
 from treegrammar.sources.tables import cut, forget
 
@@ -435,6 +435,49 @@ def missing(good: DataFrame, present: DataFrame, grammar: TreeGrammar) -> DataFr
     return lacks.withColumns({"ns": ns.cast("string"), "local": local}).select(*out)
 
 
+def identity_faults(nodes: DataFrame, attributes: DataFrame | None, schema: CompiledSchema | TreeGrammar) -> DataFrame:
+    """(doc, node, kind, value): ID values that a document has twice (kind duplicate-id, one row a value, no node) and IDREF values that
+    are no ID of their document (kind dangling-idref, one row a reference).
+
+    Which attributes and texts are IDs or references follows from the nodes' types; values are compared with blanks collapsed.  Values
+    that are no names are none of the type's and are left to faults()."""
+    grammar = schema if isinstance(schema, TreeGrammar) else TreeGrammar(schema)
+    good = typed(nodes, grammar).where(F.col("type") != STRANGE)
+    nothing = F.lit(None).cast("string")
+
+    def use(cases: dict[int, list[tuple[Column, tuple]]], value: Column) -> Column:
+        """ID, IDREF or null: cases has for a type (condition, pattern) of its values."""
+        out = {}
+        for n, of in cases.items():
+            ways = [F.when(where & check(q)(value), F.lit(q[1].name)) for where, p in of for q in identities(p)]
+            if ways:
+                out[n] = F.coalesce(*ways)
+        return by_type(F.col("type"), out, nothing)
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    said = {n: [(F.lit(True), t.text)] for n, t in enumerate(grammar.types) if n and t.text}
+    found = good.select("doc", F.col("node").cast("string").alias("node"), use(said, text).alias("use"), normalize_ws(text).alias("value"))
+    if attributes is not None:
+        owners = good.select(F.col("doc").alias("_doc"), F.col("node").alias("_node"), "type")
+        value = F.coalesce(F.col("value").cast("string"), F.lit(""))
+        cases = {n: [(a.names.column(F.col("ns"), F.col("local")), a.value) for a in t.attributes] for n, t in enumerate(grammar.types) if n}
+        present = attributes.select("doc", "node", "ns", "local", "value").join(owners, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("node") == F.col("_node")))
+        found = found.union(present.select("doc", F.col("node").cast("string"), use(cases, value), normalize_ws(value)))
+    found = found.where("use is not null")
+    ids = found.where("use = 'ID'").groupBy("doc", "value").agg(F.count("*").alias("n"))
+    twice = ids.where("n > 1").select("doc", nothing.alias("node"), F.lit("duplicate-id").alias("kind"), "value")
+    known = ids.select(F.col("doc").alias("_doc"), F.col("value").alias("_value"))
+    lost = found.where("use = 'IDREF'").join(known, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("value") == F.col("_value")), "left_anti")
+    return twice.union(lost.select("doc", "node", F.lit("dangling-idref"), "value"))
+
+
+def identities(p: tuple) -> list[tuple]:
+    """The ID and IDREF types among the alternatives of a value."""
+    if p[0] == "choice":
+        return [q for part in p[1] for q in identities(part)]
+    return [p] if p[0] == "data" and getattr(p[1], "name", "") in ("ID", "IDREF") else []
+
+
 def validate_tree(nodes: DataFrame, attributes: DataFrame | None, schema: CompiledSchema | TreeGrammar, doc: str = "doc") -> DataFrame:
     """(doc, valid, faults): every document of the node table and how many faults it has."""
     bad = faults(nodes, attributes, schema).groupBy(F.col("doc").alias("_doc")).agg(F.count("*").alias("faults"))

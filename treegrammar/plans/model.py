@@ -62,6 +62,7 @@ class Compiler:
     def __init__(self, loader: Loader, syntax: str = "auto", compat: bool = False):
         self.loader, self.syntax, self.compat = loader, syntax, compat
         self.texts: dict[str, str] = {}
+        self.trees: dict[tuple[str, str], t.Schema] = {}
         self.rules: list[Rule] = []
 
     def compile(self, path: str) -> CompiledSchema:
@@ -87,7 +88,9 @@ class Compiler:
     def tree(self, path: str, ns: str = "") -> t.Schema:
         if path not in self.texts:
             self.texts[path] = self.loader.load(path)
-        return parse(self.texts[path], path, self.syntax, ns)
+        if (path, ns) not in self.trees:
+            self.trees[path, ns] = parse(self.texts[path], path, self.syntax, ns)
+        return self.trees[path, ns]
 
     def context(self, path: str, scope: Scope, default: str = "", includes: tuple[str, ...] = (), overridden=None) -> Context:
         return Context(path, scope, {"xml": XML_NS}, {"xsd": XSD}, default, (*includes, path), overridden)
@@ -332,12 +335,18 @@ def flat(op: str, parts: list):
     return (op, tuple(out))
 
 
-def compile_schema(path: str, loader: Loader, syntax: str = "auto", compat: bool = False) -> CompiledSchema:
-    return Compiler(loader, syntax, compat).compile(path)
+def compile_schema(path: str, loader: Loader, syntax: str = "auto", compat: bool = False, restrict: bool = False) -> CompiledSchema:
+    """restrict: a schema that breaks a rule of treegrammar.plans.restrictions is an error too."""
+    schema = Compiler(loader, syntax, compat).compile(path)
+    if restrict:
+        from treegrammar.plans.restrictions import check
 
+        check(schema)
+    return schema
 
-def compile_text(text: str, syntax: str = "auto", compat: bool = False) -> CompiledSchema:
+
+def compile_text(text: str, syntax: str = "auto", compat: bool = False, restrict: bool = False) -> CompiledSchema:
     """A schema in one string."""
     from treegrammar.sources.schemas import Memory
 
-    return compile_schema("schema", Memory(schema=text), syntax, compat)
+    return compile_schema("schema", Memory(schema=text), syntax, compat, restrict)

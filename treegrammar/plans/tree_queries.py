@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from treegrammar.operators.tree import NODE, faults, validate_tree
+from treegrammar.operators.tree import NODE, faults, identity_faults, validate_tree
 from treegrammar.plans import catalogue
 from treegrammar.plans.catalogue import table
 from treegrammar.plans.model import compile_text
@@ -132,3 +132,24 @@ def tree_recursive(spark, sf_dir):
     twice = nodes(last, "n_nationkey", F.col("id"), F.col("under"), F.lit("region"))
     keys = attributes(each, "n_nationkey", name("n"), key=key)
     return validate_tree(regions.union(nations).union(twice), keys, compile_text(catalogue.GEO), "n_nationkey").select("n_nationkey", "valid")
+
+
+PEOPLE = "element land { element person { attribute id { xsd:ID }, attribute knows { xsd:IDREF }?, element boss { xsd:IDREF }? }* }"
+
+
+@query("id_idref_faults", """WITH people AS (SELECT c_nationkey AS land, c_custkey, 'c' || (c_custkey % 997) AS id, CASE WHEN c_custkey % 2 = 0 THEN 'c' || ((c_custkey * 7) % 1100) END AS knows,
+    CASE WHEN c_custkey % 5 = 0 THEN 'c' || (c_custkey % 1009) END AS boss FROM customer)
+  SELECT land, 'duplicate-id' AS kind, id AS value, 1::BIGINT AS faults FROM people GROUP BY land, id HAVING count(*) > 1
+  UNION ALL SELECT land, 'dangling-idref', ref, count(*) FROM (SELECT land, knows AS ref FROM people WHERE knows IS NOT NULL UNION ALL SELECT land, boss FROM people WHERE boss IS NOT NULL) r
+  WHERE NOT EXISTS (SELECT 1 FROM people p WHERE p.land = r.land AND p.id = r.ref) GROUP BY land, ref""")
+def id_idref_faults(spark, sf_dir):
+    """Customers of a nation as one document: their keys repeat, and some of their references lead nowhere."""
+    key = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.concat(F.lit("p"), key.cast("string")).alias("node"))
+    code = lambda n: F.concat(F.lit("c"), n.cast("string"))
+    root = nodes(rows.select("c_nationkey").distinct(), "c_nationkey", F.lit("land"), None, F.lit("land"))
+    people = nodes(rows, "c_nationkey", F.col("node"), F.lit("land"), F.lit("person"))
+    bosses = nodes(rows.where(key % 5 == 0), "c_nationkey", F.concat(F.lit("b"), "node"), F.col("node"), F.lit("boss"), F.concat(F.lit(" "), code(key % 1009)))
+    values = attributes(rows, "c_nationkey", F.col("node"), id=code(key % 997), knows=F.when(key % 2 == 0, code((key * 7) % 1100)))
+    found = identity_faults(root.union(people).union(bosses), values, compile_text(PEOPLE))
+    return found.groupBy(F.col("doc").alias("land"), "kind", "value").agg(F.count("*").alias("faults"))
