@@ -129,7 +129,7 @@ CHUNKS = "chunk long, ids array<long>, counts array<long>, codes binary, words a
 
 
 def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(chunk, ids, counts, codes, words): documents as numbers in the list of their chunk's distinct words. counts: each document's words; codes: their numbers (all lowest bytes first, then the next ones ..., zstd)."""
+    """(chunk, ids, counts, codes, words): documents as numbers in the list of their chunk's distinct words. counts: each document's words; codes: their numbers, squeezed."""
     schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary()), ("words", pa.list_(pa.binary()))])
 
     def run(batches):
@@ -140,12 +140,14 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             nonlocal name
             if held:
                 coded = pa.chunked_array(held).unify_dictionaries()
-                codes = np.concatenate([c.indices.to_numpy() for c in coded.chunks]).astype("<u4")
-                known = coded.chunk(0).dictionary
+                codes = np.concatenate([c.indices.to_numpy() for c in coded.chunks])
+                order = np.argsort(-np.bincount(codes), kind="stable")  # frequent words get small numbers
+                place = np.empty_like(order)
+                place[order] = np.arange(len(order))
+                codes, known = place[codes], coded.chunk(0).dictionary.take(pa.array(order))
             else:
-                codes, known = np.zeros(0, "<u4"), pa.array([], pa.binary())
-            packed = pa.Codec("zstd").compress(codes.view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
-            out = batch(schema, chunk=[name], ids=[ids], counts=[counts], codes=[packed], words=pa.ListArray.from_arrays(pa.array([0, len(known)], pa.int32()), known))
+                codes, known = np.zeros(0, np.int64), pa.array([], pa.binary())
+            out = batch(schema, chunk=[name], ids=[ids], counts=[counts], codes=[squeezed(codes)], words=pa.ListArray.from_arrays(pa.array([0, len(known)], pa.int32()), known))
             name += 1
             return out
 
@@ -250,22 +252,36 @@ def encoded(maps: Column, pieces: Column, hexed: Column) -> Column:
 
 # ------------------------------------------------- documents
 
-_WORDS = pa.schema([("n", pa.int32()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """Numbers below 2^32: all lowest bytes first, then the next ones ..., zstd. Their count is not kept."""
+    return pa.Codec("zstd", compression_level=6).compress(np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
+
+
+def unsqueezed(data: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.Codec("zstd").decompress(data, 4 * n), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+
+
+PACKED = "chunk long, words long, tokens long, bytes long, at binary, counts binary, ids binary, sizes binary, decoded binary"
 
 
 def packed(found: DataFrame) -> DataFrame:
-    """(chunk, data): rows (chunk, n, ids, decoded) of a task as a few Arrow streams a chunk, so that they take little room where they are dealt out again."""
-    schema = pa.schema([("chunk", pa.int64()), ("data", pa.binary())])
+    """Rows (chunk, n, ids, decoded) of a task as a few rows a chunk, so that they take little room where they are dealt out again: steps of n, numbers of ids, ids, sizes and bytes decoded."""
+    kinds_of = {"long": pa.int64(), "binary": pa.binary()}
+    schema = pa.schema([(f.split()[0], kinds_of[f.split()[1]]) for f in PACKED.split(", ")])
 
     def pack(rows: pa.Table):
-        rows = rows.combine_chunks().sort_by("chunk")
-        chunk = rows.column("chunk").to_numpy()
+        rows = rows.combine_chunks().sort_by([("chunk", "ascending"), ("n", "ascending")]).combine_chunks()
+        chunk, n = rows.column("chunk").to_numpy(), rows.column("n").to_numpy()
+        ids, decoded = rows.column("ids").chunk(0), rows.column("decoded").chunk(0)
         edges = np.flatnonzero(np.diff(chunk, prepend=chunk[0] - 1, append=chunk[-1] + 1))
         for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, _WORDS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(rows.slice(i, j - i).select(["n", "ids", "decoded"]).cast(_WORDS))
-            yield batch(schema, chunk=[chunk[i]], data=[sink.getvalue().to_pybytes()])
+            own, raw = ids.slice(i, j - i), decoded.slice(i, j - i)
+            flat, data = own.flatten().to_numpy(), b"".join(raw.to_pylist())
+            counts, sizes = own.value_lengths().to_numpy(), pc.binary_length(raw).to_numpy()
+            yield batch(schema, chunk=[chunk[i]], words=[j - i], tokens=[len(flat)], bytes=[len(data)], at=[squeezed(np.diff(n[i:j], prepend=0))], counts=[squeezed(counts)], ids=[squeezed(flat)], sizes=[squeezed(sizes)], decoded=[pa.Codec("zstd", compression_level=6).compress(data, asbytes=True)])
 
     def run(batches):
         held, n = [], 0
@@ -279,21 +295,33 @@ def packed(found: DataFrame) -> DataFrame:
             yield from pack(pa.Table.from_batches(held))
         give_back()
 
-    return found.select("chunk", "n", "ids", "decoded").mapInArrow(run, "chunk long, data binary")
+    return found.select("chunk", "n", "ids", "decoded").mapInArrow(run, PACKED)
+
+
+def unpacked(known: pa.Table) -> tuple[pa.Array, pa.Array]:
+    """Ids and decoded bytes of a chunk's words by their number."""
+    if not known.num_rows:
+        return pa.array([], pa.list_(pa.int32())), pa.array([], pa.binary())
+    at, ids, decoded = [], [], []
+    for r in known.to_pylist():
+        n = r["words"]
+        at.append(np.cumsum(unsqueezed(r["at"], n)))
+        ends = np.append(0, np.cumsum(unsqueezed(r["counts"], n))).astype(np.int32)
+        ids.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(unsqueezed(r["ids"], r["tokens"]).astype(np.int32))))
+        ends = np.append(0, np.cumsum(unsqueezed(r["sizes"], n))).astype("<i4")
+        decoded.append(pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.Codec("zstd").decompress(r["decoded"], r["bytes"])]))
+    order = pa.array(np.argsort(np.concatenate(at), kind="stable"))
+    return pa.concat_arrays(ids).take(order), pa.concat_arrays(decoded).take(order)
 
 
 def put_together(known: pa.Table, chunk: pa.Table) -> pa.Table:
     """(doc_id, ids, decoded) of one chunk's documents."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
-    read_all = [pa.ipc.open_stream(x.as_py()).read_all() for x in known.column("data")]
-    table = pa.concat_tables(read_all).combine_chunks() if read_all else _WORDS.empty_table()
-    table = table.take(np.argsort(table.column("n").to_numpy(), kind="stable")).combine_chunks()
-    ids_of, decoded_of = (table.column(c).chunk(0) if table.num_rows else pa.array([], table.schema.field(c).type) for c in ("ids", "decoded"))
+    ids_of, decoded_of = unpacked(known)
     row = chunk.to_batches()[0]
     doc_ids, counts = row.column("ids")[0].values, row.column("counts")[0].values.to_numpy()
     before = np.append(0, np.cumsum(counts))
-    raw = np.frombuffer(pa.Codec("zstd").decompress(row.column("codes")[0].as_py(), int(before[-1]) * 4), np.uint8)
-    codes = np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    codes = unsqueezed(row.column("codes")[0].as_py(), int(before[-1]))
     out, i = [], 0
     while i < len(doc_ids):
         j = max(i + 1, int(np.searchsorted(before, before[i] + TOGETHER, side="right")) - 1)
