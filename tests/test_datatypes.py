@@ -21,6 +21,8 @@ VALUES = [
     "18446744073709551615", "18446744073709551616", "9" * 45, "-" + "9" * 45, "12\n", " 12", "1.5", "1.", ".5", "-.50", "1e3", "1E-3", "INF", "-inf", "NaN", "1d", "0x1p3", "१२", "true", "TRUE", "false",
     "2020-02-29", "2021-02-29", "2020-2-3", "-0001-01-01", "2020-12-32", "2020-01-01T10:00:00Z", "2020-01-01T10:00:00.25+02:00", "2020-01-01T10:00:00", "P", "PT", "P1Y", "P1DT", "P1DT2H3.5S", "XP1Y",
     "1" + "0" * 30, "4.9999999999999", "5.0000000000000", "0.0000000000004", "-0.0000000000004", "1" + "0" * 40 + ".2500", "1" + "0" * 40 + ".26", "12.00", "0.5", "-.0", "^", "a$", "bd", "ace", "a&b.-w",
+    "2024-01-01Z", " 2024-01-01 ", "2024-01-01+14:00", "2024-01-01+14:30", "0000-01-01", "12024-02-29", "2100-02-29", "2000-02-29", "-0004-02-29", "2024-04-31", "02024-01-01", "2024-13-41T99:99:99Z", "2024-02-29T23:59:59.5-13:59", "2024-01-01T24:00:00", "2024-01-01T24:00:01",
+    "-INF", "+INF", "Infinity", "nan", "1.e5", " 5 ", "\t-1.50\n", " true", "en-GB ", "P1Y\n", "+5", " ",
     "en", "en-GB", "toolonglanguage", "http://x.org/a?b#c", "a b", " a  b\tc ", "été", "a:b", "-a", "1a", "_x.y-z", "x" * 300, "\U0001f600", "a b",
 ]
 TYPES = [(n, []) for n in [*WHOLE, "decimal", "double", *LEXICAL, "string", "token", "normalizedString", "ID", "IDREF"]] + [
@@ -50,6 +52,20 @@ def test_columns_agree_with_checks(frame, compat):
             assert r[f"t{k}"] is want, (wanted[k], VALUES[r.i] if r.i < len(VALUES) else None)
 
 
+@pytest.mark.parametrize("kind, good, bad", [
+    ("date", "2024-01-01 2024-02-29Z 2000-02-29+14:00 12024-12-31-13:59 -0004-02-29", "2023-02-29 1900-02-29 0000-01-01 02024-01-01 2024-04-31 2024-1-1 2024-01-01+14:01 2024-01-01z 2024-00-10"),
+    ("dateTime", "2024-02-29T00:00:00 2024-12-31T23:59:59.999Z 2024-01-01T24:00:00 2024-01-01T10:00:00-05:00", "2024-13-41T99:99:99Z 2024-01-01T24:00:01 2024-01-01T10:60:00 2024-01-01T10:00 2023-02-29T10:00:00 2024-01-01 2024-01-01T10:00:60"),
+    ("double", "1 -1.5 .5 1. 1e9 1E-9 INF -INF NaN", "inf nan Infinity infinity +INF 1d 0x1p3 . e5"),
+    ("int", "1 -1 +1 007", "1.0 1e1"),
+])
+def test_strict_forms_of_xml_schema(kind, good, bad):
+    d = compile_datatype(XSD, kind, [])
+    assert [v for v in good.split() if not d.check(v)] == [] == [v for v in bad.split() if d.check(v)]
+    assert all(d.check(f" \n{v}\t") for v in good.split())
+    loose = compile_datatype(XSD, kind, [], compat=True)
+    assert not loose.check(" " + good.split()[0])
+
+
 TYPED = [("int", "5"), ("int", "+05"), ("int", "-0"), ("integer", "9" * 45), ("unsignedLong", "007"), ("positiveInteger", "1"), ("decimal", "1.5"), ("decimal", "-.50"), ("decimal", "12"), ("decimal", "0.0000000000004"), ("double", "1e3"), ("double", "INF"), ("double", "NaN"), ("double", "0"),
          ("boolean", "1"), ("boolean", "false"), ("date", "2020-02-29"), ("token", " a b "), ("NCName", "en"), ("anyURI", "a:b"), ("string", " ")]
 

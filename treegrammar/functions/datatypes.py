@@ -56,6 +56,13 @@ SIGNED, UNSIGNED = "[+-]?[0-9]+", "\\+?[0-9]+"
 DECIMAL = "[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)"
 DOUBLE = "[+-]?(inf|infinity|nan|([0-9]+\\.?[0-9]*|\\.[0-9]+)(e[+-]?[0-9]+)?)"
 
+#: Strict forms: days that exist, times of a day, zones of at most 14 hours, and the spellings of XML Schema.
+_LEAP = "-?(?!0000)(?:[1-9][0-9]*)?(?:[0-9]{2}(?:0[48]|[2468][048]|[13579][26])|(?:[02468][048]|[13579][26])00)-02-29"
+_DAY = "-?(?:[1-9][0-9]{3,}|0(?!000)[0-9]{3})-(?:(?:0[13578]|1[02])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[469]|11)-(?:0[1-9]|[12][0-9]|30)|02-(?:0[1-9]|1[0-9]|2[0-8]))"
+_ZONE = "(?:Z|[+-](?:(?:0[0-9]|1[0-3]):[0-5][0-9]|14:00))?"
+_TIME = "T(?:(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\\.[0-9]+)?|24:00:00(?:\\.0+)?)"
+STRICT = {"date": f"(?:{_DAY}|{_LEAP}){_ZONE}", "dateTime": f"(?:{_DAY}|{_LEAP}){_TIME}{_ZONE}", "double": "[+-]?(?:[0-9]+(?:\\.[0-9]*)?|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?|-?INF|NaN"}
+
 
 class UserType(Protocol):
     """What a library's datatypes and values must offer; they are hashable and sent to the executors."""
@@ -159,7 +166,16 @@ class Datatype:
         return found[-1:] if self.compat else found
 
     def normal(self, value: str) -> str:
-        return normalize_whitespace(value) if self.name in ("normalizedString", "token", "NMTOKENS") and self.library else value
+        """The value as it is checked: blanks are collapsed in all types but string (compat: only where lists and tokens need it)."""
+        return normalize_whitespace(value) if self.collapses() else value
+
+    def collapses(self) -> bool:
+        return bool(self.library) and (self.name in ("normalizedString", "token", "NMTOKENS") if self.compat else self.name != "string")
+
+    def form(self) -> str:
+        """The regular expression of a LEXICAL type or of double."""
+        key = "NCName" if self.name in ("ID", "IDREF") else self.name
+        return LEXICAL[key] if key not in STRICT else STRICT[key] if not self.compat else DOUBLE if key == "double" else LEXICAL[key]
 
     def check(self, value: str) -> bool:
         return checker(self)(value)
@@ -249,7 +265,7 @@ def _checker(d: Datatype) -> Callable[[str], bool]:
     for pattern in d.patterns():
         tests.append(lambda s, found=py(pattern): bool(found.search(s))) if d.compat else tests.append(lambda s, found=compiled_pattern(pattern): bool(found.fullmatch(s)))
     if d.name in WHOLE or d.name in ("decimal", "double"):
-        lexical = py(DOUBLE if d.name == "double" else DECIMAL if d.name == "decimal" else SIGNED if WHOLE[d.name][0] != 0 else UNSIGNED, re.I | re.A)
+        lexical = py(d.form(), (re.I if d.compat else 0) | re.A) if d.name == "double" else py(DECIMAL if d.name == "decimal" else SIGNED if WHOLE[d.name][0] != 0 else UNSIGNED, re.A)
         low, high = WHOLE.get(d.name, (None, None))
         if d.name == "positiveInteger" and not d.compat:
             low = 1
@@ -272,9 +288,9 @@ def _checker(d: Datatype) -> Callable[[str], bool]:
     elif d.name in LEXICAL or d.name in ("ID", "IDREF"):
         key = "NCName" if d.name in ("ID", "IDREF") else d.name
         if not (d.compat and d.name in ("ID", "IDREF")):
-            form = py(LEXICAL[key], re.A if key in ("date", "dateTime", "duration") else 0)
+            form = py(d.form(), re.A if key in ("date", "dateTime", "duration") else 0)
             tests.append(lambda s: bool(form.fullmatch(s)))
-        if d.name == "date":
+        if d.name == "date" and d.compat:
             tests.append(_is_date)
     least, most, exact = (d.facet(k) for k in ("minLength", "maxLength", "length"))
     if least or most or exact:
@@ -327,7 +343,7 @@ def _order(c: Column, value: int | Decimal, key: str) -> Column:
 def _column(d: Datatype, c: Column) -> Column:
     if d.library == BUILTIN:
         return F.lit(True)
-    v = normalize_ws(c) if d.name in ("normalizedString", "token", "NMTOKENS") else c
+    v = normalize_ws(c) if d.collapses() else c
     out = F.lit(True)
     for pattern in d.patterns():
         out = out & v.rlike(pattern if d.compat else full(xsd_pattern(pattern, True)))
@@ -358,7 +374,7 @@ def _column(d: Datatype, c: Column) -> Column:
             if (n := d.facet("totalDigits")) is not None:
                 out = out & (F.length(whole) + F.length(part) <= int(n))
     elif d.name == "double":
-        out = out & v.rlike("(?i)" + full(DOUBLE))
+        out = out & v.rlike(("(?i)" if d.compat else "") + full(d.form()))
         if not d.compat:
             for k, b in d.facets:
                 if k in BOUNDS:  # nan is beyond every bound
@@ -366,8 +382,8 @@ def _column(d: Datatype, c: Column) -> Column:
                     out = out & ~F.isnan(x) & _bound(x, k, F.lit(number("double", b)))
     elif d.name in LEXICAL or d.name in ("ID", "IDREF"):
         if not (d.compat and d.name in ("ID", "IDREF")):
-            out = out & v.rlike(full(LEXICAL["NCName" if d.name in ("ID", "IDREF") else d.name]))
-        if d.name == "date":
+            out = out & v.rlike(full(d.form()))
+        if d.name == "date" and d.compat:
             out = out & F.regexp_replace(v, "\\A-", "").try_cast("date").isNotNull()
     size = F.size(F.split(v, " ")) if d.name == "NMTOKENS" else F.length(v)
     for key, test in (("minLength", size.__ge__), ("maxLength", size.__le__), ("length", size.__eq__)):
