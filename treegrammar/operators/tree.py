@@ -4,7 +4,7 @@ A node is a row (doc, node, parent, pos, ns, local, text): its own key within th
 a column that orders siblings, its name, and the text it holds.  An attribute is a row (doc, node, ns, local, value).
 
 A schema becomes a deterministic tree grammar: every element pattern is a type, and a child's type follows from its parent's
-type and its own name.  Nodes are typed from the root down, a level to a join.  Then five things are checked, each a relation of
+type and its own name.  Nodes are typed from the root down, a level to a join, and written with their types in the shared folder.  Then five things are checked, each a relation of
 faulty rows:
 
 - element-start: a node whose name has no type below its parent;
@@ -350,7 +350,7 @@ def depth_of(grammar: TreeGrammar) -> int | None:
 def faults(nodes: DataFrame, attributes: DataFrame | None, schema: CompiledSchema | TreeGrammar) -> DataFrame:
     """(doc, node, kind, ns, local): every fault of every document.  ns and local are the element's, or the attribute's for attribute and element-open-end."""
     grammar = schema if isinstance(schema, TreeGrammar) else TreeGrammar(schema)
-    known = typed(nodes, grammar)
+    known = cut(nodes.sparkSession, typed(nodes, grammar), "typed-nodes")  # every check reads it
     element = [F.col("ns"), F.col("local")]
 
     def fault(rows: DataFrame, kind: str, ns: Column | None = None, local: Column | None = None) -> DataFrame:
@@ -442,7 +442,7 @@ def identity_faults(nodes: DataFrame, attributes: DataFrame | None, schema: Comp
     Which attributes and texts are IDs or references follows from the nodes' types; values are compared with blanks collapsed.  Values
     that are no names are none of the type's and are left to faults()."""
     grammar = schema if isinstance(schema, TreeGrammar) else TreeGrammar(schema)
-    good = typed(nodes, grammar).where(F.col("type") != STRANGE)
+    good = cut(nodes.sparkSession, typed(nodes, grammar).where(F.col("type") != STRANGE), "typed-nodes")
     nothing = F.lit(None).cast("string")
 
     def use(cases: dict[int, list[tuple[Column, tuple]]], value: Column) -> Column:

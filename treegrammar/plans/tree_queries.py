@@ -82,7 +82,8 @@ def _logs(name: str, schema: str, sql: str) -> None:
 
 
 _logs("tree_events_interleave", catalogue.LOOSE_INTERLEAVE, catalogue.ORACLES["events_log_interleave_loose"])
-_logs("tree_events_counts", "element log { (element view { empty } | element click { empty })+ & element purchase { empty }* & element error { empty }+ & element signup { empty }* }", "SELECT user_id, bool_or(event_type IN ('view', 'click')) AND bool_or(event_type = 'error') AND bool_and(event_type IN ('view', 'click', 'error', 'purchase', 'signup')) AS valid FROM events GROUP BY user_id")
+_SOME = "(element view { empty } | element click { empty })+ & element purchase { empty }* & element signup { empty }+ & " + catalogue._up_to(13, "element error { empty }")
+_logs("tree_events_counts", f"element log {{ {_SOME} }}", "SELECT user_id, bool_or(event_type IN ('view', 'click')) AND bool_or(event_type = 'signup') AND count(*) FILTER (event_type = 'error') <= 13 AND bool_and(event_type IN ('view', 'click', 'error', 'purchase', 'signup')) AS valid FROM events GROUP BY user_id")
 
 
 @query("tree_conversations", catalogue.ORACLES["conv_group_plus"])
