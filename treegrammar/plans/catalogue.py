@@ -107,8 +107,10 @@ _events("events_log_choice_star", f"element log {{ ({_ANY})* }}", "bool_and(even
 _events("events_log_optional", f"element log {{ {_S}?, ({_ANY} | {_E})* }}", f"regexp_full_match({_WORD}, 's?[xe]*')")
 _events("events_log_interleave", f"element log {{ {_E}? & {_S}? & element purchase {{ empty }}? & (element view {{ empty }} | element click {{ empty }})* }}", _AT_MOST.format(1))
 LOOSE_INTERLEAVE = f"element log {{ {_up_to(16, _E)} & {_up_to(16, _S)} & {_up_to(16, 'element purchase { empty }')} & (element view {{ empty }} | element click {{ empty }})* }}"
-_events("events_log_choice_star_loose", f"element log {{ ({_E}?, {_E}?, ({_ANY} | {_S}))*, {_E}?, {_E}? }}", f"NOT contains({_WORD}, 'eee')")
-_events("events_log_optional_loose", f"element log {{ {_S}?, ({_ANY} | {_E}), ({_ANY} | {_E} | {_S})* }}", f"regexp_full_match({_WORD}, 's?[xe][xes]*')")
+LOOSE_STAR = f"element log {{ ({_E}?, {_E}?, ({_ANY} | {_S}))*, {_E}?, {_E}? }}"
+LOOSE_OPTIONAL = f"element log {{ {_S}?, ({_ANY} | {_E}), ({_ANY} | {_E} | {_S})* }}"
+_events("events_log_choice_star_loose", LOOSE_STAR, f"NOT contains({_WORD}, 'eee')")
+_events("events_log_optional_loose", LOOSE_OPTIONAL, f"regexp_full_match({_WORD}, 's?[xe][xes]*')")
 _events("events_log_interleave_loose", LOOSE_INTERLEAVE, _AT_MOST.format(16))
 
 

@@ -1,4 +1,4 @@
-"""Queries over node tables built from rows: the twins of document queries, without XML text and without Python, and all faults of a document."""
+"""Queries over node tables and arrays built from rows: the twins of document queries, without XML text and without Python, and all faults of a document."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from treegrammar.operators.fold import automaton, fold_valid
 from treegrammar.operators.tree import NODE, faults, identity_faults, validate_tree
 from treegrammar.plans import catalogue
 from treegrammar.plans.catalogue import table
@@ -154,3 +155,18 @@ def id_idref_faults(spark, sf_dir):
     values = attributes(rows, "c_nationkey", F.col("node"), id=code(key % 997), knows=F.when(key % 2 == 0, code((key * 7) % 1100)))
     found = identity_faults(root.union(people).union(bosses), values, compile_text(PEOPLE))
     return found.groupBy(F.col("doc").alias("land"), "kind", "value").agg(F.count("*").alias("faults"))
+
+
+def _folds(name: str, twin: str, schema: str, root: str, rows: str, key: str, order: list[str], child: str) -> None:
+    def run(spark, sf_dir):
+        steps = automaton(compile_text(schema), root)
+        gathered = F.transform(F.array_sort(F.collect_list(F.struct(*order, child))), lambda x: x[child])
+        return table(spark, sf_dir, rows).groupBy(key).agg(gathered.alias("children")).select(key, fold_valid(F.col("children"), steps).alias("valid"))
+
+    query(name, catalogue.ORACLES[twin])(run)
+
+
+_folds("fold_conversations", "conv_group_plus", catalogue.CONV, "conv", "conversations", "conv_id", ["turn"], "role")
+_folds("fold_events_choice_star", "events_log_choice_star_loose", catalogue.LOOSE_STAR, "log", "events", "user_id", ["ts", "event_id"], "event_type")
+_folds("fold_events_optional", "events_log_optional_loose", catalogue.LOOSE_OPTIONAL, "log", "events", "user_id", ["ts", "event_id"], "event_type")
+_folds("fold_events_interleave", "events_log_interleave_loose", catalogue.LOOSE_INTERLEAVE, "log", "events", "user_id", ["ts", "event_id"], "event_type")
