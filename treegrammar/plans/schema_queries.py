@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from treegrammar.errors import SchemaError
 from treegrammar.functions.sql import register_valid, tokens
+from treegrammar.operators.scopes import raw_tokens, resolved, undefined
 from treegrammar.operators.validate import all_errors, validate
 from treegrammar.plans import catalogue, tree_queries
 from treegrammar.plans.model import compile_schema, compile_text
@@ -156,3 +157,27 @@ def document_tokens(spark, sf_dir):
     said = F.concat(F.col("kind"), F.lit(" "), F.coalesce(F.concat("ns", F.lit(":"), "local"), "value"))
     by = rows.groupBy("n_nationkey").agg(F.count("*").alias("parts"), F.max("n").alias("last"), F.array_sort(F.collect_list(F.struct("n", said.alias("s")))).alias("all"))
     return by.select("n_nationkey", "parts", "last", F.array_join(F.transform("all", lambda x: x["s"]), " ").alias("said"))
+
+
+def scope_docs(spark, sf_dir) -> DataFrame:
+    """Declarations that end with their element: the inner p is a region's, the outer one everyone's, and every fourth nation uses a prefix that is gone."""
+    key = F.col("n_nationkey")
+    inner = F.concat(F.lit('<k xmlns="urn:k" p:a="1"><p:j xmlns:p="urn:r'), F.col("n_regionkey").cast("string"), F.lit('"><p:m/></p:j><m/></k>'))
+    last = F.when(key % 4 == 0, "<q:z/>").otherwise(F.lit("<p:z/>"))
+    return catalogue.table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit('<g xmlns:p="urn:p"><i xmlns:q="urn:q"/>'), inner, last, F.lit("</g>")).alias("xml"))
+
+
+@query("ns_nearest_join", """SELECT n_nationkey, 'element :g element :i end :i element urn:k:k attribute urn:p:a element urn:r' || n_regionkey || ':j element urn:r' || n_regionkey || ':m end urn:r' || n_regionkey || ':m end urn:r' || n_regionkey || ':j '
+  || 'element urn:k:m end urn:k:m end urn:k:k ' || CASE WHEN n_nationkey % 4 = 0 THEN 'element ?:z end ?:z ' ELSE 'element urn:p:z end urn:p:z ' END || 'end :g' AS said FROM nation""")
+def ns_nearest_join(spark, sf_dir):
+    """Every name with the namespace of the nearest enclosing declaration, by a join."""
+    rows = resolved(raw_tokens(scope_docs(spark, sf_dir), "n_nationkey"), "n_nationkey")
+    said = F.concat(F.col("kind"), F.lit(" "), F.coalesce("ns", F.lit("?")), F.lit(":"), "local")
+    return rows.groupBy("n_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", said.alias("s")))), lambda x: x["s"]), " ").alias("said"))
+
+
+@query("ns_undefined", "SELECT n_nationkey, 'q' AS prefix, 2::BIGINT AS names FROM nation WHERE n_nationkey % 4 = 0")
+def ns_undefined(spark, sf_dir):
+    """The names whose prefix nothing declares, by an anti-join."""
+    lost = undefined(raw_tokens(scope_docs(spark, sf_dir), "n_nationkey"), "n_nationkey")
+    return lost.groupBy("n_nationkey", "prefix").agg(F.count("*").alias("names"))
