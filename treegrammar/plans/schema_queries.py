@@ -1,6 +1,6 @@
 """Queries over the test tables through the XML syntax, includes, externals, nested grammars and combination, and of schema errors.
 
-The SQL states the same rows from the tables; that of schema errors is the list of expected kinds.
+The SQL states the same rows from the tables.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from treegrammar.errors import SchemaError
 from treegrammar.functions.sql import register_valid, tokens
 from treegrammar.operators.scopes import raw_tokens, resolved, undefined
 from treegrammar.operators.validate import all_errors, validate
-from treegrammar.plans import catalogue, tree_queries
+from treegrammar.operators.pool import Pool
+from treegrammar.plans import catalogue, graph, tree_queries
 from treegrammar.plans.model import compile_schema, compile_text
 from treegrammar.sources.documents import escaped, order_docs
 from treegrammar.sources.schemas import Memory
@@ -129,18 +130,93 @@ BROKEN = {
 }
 
 
-def kind_of(files: dict[str, str]) -> str | None:
-    try:
-        compile_schema(next(iter(files)), Memory(files))
-    except SchemaError as e:
-        return e.kind
-    return None
+BROKEN_KINDS = list(BROKEN)
 
 
-@query("schema_error_kinds", "SELECT n::INTEGER AS n, kind FROM (VALUES " + ", ".join(f"({i}, '{k}')" for i, k in enumerate(BROKEN)) + ") AS t(n, kind)")
+@query("schema_error_kinds", f"SELECT p_partkey, kind FROM part JOIN (VALUES {', '.join(f'({i}, {catalogue.quoted(k)})' for i, k in enumerate(BROKEN))}) AS t(n, kind) ON p_partkey % {len(BROKEN)} = n")
 def schema_error_kinds(spark, sf_dir):
-    """What compiling each broken schema says."""
-    return spark.createDataFrame([(i, kind_of(f)) for i, f in enumerate(BROKEN.values())], "n int, kind string")
+    """Every part names one of the broken schemas: what compiling it on the executors says."""
+    which = catalogue.table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(BROKEN)).cast("string").alias("n"))
+
+    def kind(n: str) -> list[tuple]:
+        files = BROKEN[BROKEN_KINDS[int(n)]]
+        try:
+            compile_schema(next(iter(files)), Memory(files))
+        except SchemaError as e:
+            return [(e.kind,)]
+        return []
+
+    return graph.each(which, "kind string", kind, "p_partkey", "n")
+
+
+#: Six rules for each nation; rule i refers to one that depends on the nation, and the start to one of them.
+_RULES = 6
+
+
+def nation_schemas(spark, sf_dir) -> DataFrame:
+    key = F.col("n_nationkey")
+    rule = lambda i: F.concat(F.lit(f" r{i} = element e{i} {{ r"), ((key + 2 * i) % _RULES).cast("string"), F.lit("? }"))
+    text = F.concat(F.lit("start = r"), (key % _RULES).cast("string"), *(rule(i) for i in range(_RULES)), F.when(key % 3 == 0, F.lit(" extra = empty")).otherwise(F.lit("")))
+    return catalogue.table(spark, sf_dir, "nation").select("n_nationkey", text.alias("text"))
+
+
+_GRAPH = f"""WITH RECURSIVE edges AS (SELECT n_nationkey, 'r' || i AS rule, 'r' || ((n_nationkey + 2 * i) % {_RULES}) AS target FROM nation, range({_RULES}) t(i)),
+  reach AS (SELECT n_nationkey, 'r' || (n_nationkey % {_RULES}) AS rule FROM nation UNION SELECT e.n_nationkey, e.target FROM reach r JOIN edges e ON e.n_nationkey = r.n_nationkey AND e.rule = r.rule),
+  way AS (SELECT n_nationkey, rule, target FROM edges UNION SELECT w.n_nationkey, w.rule, e.target FROM way w JOIN edges e ON e.n_nationkey = w.n_nationkey AND e.rule = w.target) """
+
+
+@query("schema_unused", _GRAPH + "SELECT n_nationkey, rule AS name FROM edges e WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.n_nationkey = e.n_nationkey AND r.rule = e.rule) UNION ALL SELECT n_nationkey, 'extra' FROM nation WHERE n_nationkey % 3 = 0")
+def schema_unused(spark, sf_dir):
+    """Definitions that no start leads to."""
+    texts = nation_schemas(spark, sf_dir)
+    return graph.unused(graph.rules(texts, "n_nationkey"), graph.edges(texts, "n_nationkey"), "n_nationkey").select("n_nationkey", "name")
+
+
+@query("schema_recursive", _GRAPH + "SELECT n_nationkey, rule AS name FROM way WHERE rule = target")
+def schema_recursive(spark, sf_dir):
+    """Rules that lead to themselves."""
+    texts = nation_schemas(spark, sf_dir)
+    return graph.recursive(graph.rules(texts, "n_nationkey"), graph.edges(texts, "n_nationkey"), "n_nationkey").select("n_nationkey", "name")
+
+
+@query("schema_tree", f"SELECT n_nationkey, kind, (n + CASE WHEN n_nationkey % 3 = 0 AND kind IN ('Define', 'Empty') THEN 1 ELSE 0 END)::BIGINT AS nodes FROM nation, (VALUES ('Schema', 1), ('Grammar', 1), ('Define', {_RULES + 1}), ('Ref', {_RULES + 1}), ('Element', {_RULES}), ('NcName', {_RULES}), ('Name', {_RULES}), ('Repeat', {_RULES}), ('Empty', 0)) t(kind, n) WHERE kind <> 'Empty' OR n_nationkey % 3 = 0")
+def schema_tree(spark, sf_dir):
+    """The syntax trees of all schemas as one table, counted by kind of node."""
+    return graph.tree_nodes(nation_schemas(spark, sf_dir), "n_nationkey").groupBy("n_nationkey", "kind").agg(F.count("*").alias("nodes"))
+
+
+@query("schema_loaded", "SELECT n_nationkey, 'lib' || (n_nationkey % 3) || '.rnc' AS path FROM nation UNION ALL SELECT n_nationkey, 'note.rnc' FROM nation WHERE n_nationkey % 3 = 2")
+def schema_loaded(spark, sf_dir):
+    """The files that each schema includes, directly or not."""
+    files = {"lib0.rnc": "start = element a { empty }", "lib1.rnc": "start = element b { text }", "lib2.rnc": "start = element c { external 'note.rnc' }", "note.rnc": "element note { text }"}
+    texts = catalogue.table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("include 'lib"), (F.col("n_nationkey") % 3).cast("string"), F.lit(".rnc'")).alias("text"))
+    return graph.loaded(texts, files, "n_nationkey")
+
+
+@query("schema_errors", "SELECT n_nationkey, CASE n_nationkey % 5 WHEN 1 THEN 'UndefinedReference' WHEN 2 THEN 'DuplicateDefinition' WHEN 3 THEN 'StartRuleMissing' WHEN 4 THEN 'RecursiveReference' END AS kind, CASE n_nationkey % 5 WHEN 1 THEN 'r' || n_nationkey || ' is not defined' WHEN 2 THEN 'start is defined twice' WHEN 3 THEN 'the grammar has no start' WHEN 4 THEN 'r' || n_nationkey || ' holds itself outside an element' END AS message FROM nation WHERE n_nationkey % 5 <> 0")
+def schema_errors(spark, sf_dir):
+    """What is wrong with each nation's schema; every fifth one is right."""
+    own = F.concat(F.lit("r"), F.col("n_nationkey").cast("string"))
+    fault = F.col("n_nationkey") % 5
+    text = F.when(fault == 1, F.concat(F.lit("start = element a { "), own, F.lit(" }"))).when(fault == 2, F.lit("start = empty start = text")).when(fault == 3, F.concat(own, F.lit(" = empty"))).when(fault == 4, F.concat(F.lit("start = element a { "), own, F.lit(" } "), own, F.lit(" = "), own, F.lit("?"))).otherwise(F.lit("start = element a { empty }"))
+    return graph.errors(catalogue.table(spark, sf_dir, "nation").select("n_nationkey", text.alias("text")), "n_nationkey").select("n_nationkey", "kind", "message")
+
+
+@query("schema_patterns", _GRAPH + "SELECT n_nationkey, count(*)::BIGINT AS elements FROM reach GROUP BY n_nationkey")
+def schema_patterns(spark, sf_dir):
+    """How many element patterns each schema's automaton meets on a document that follows its references all the way down."""
+
+    def met(text: str) -> list[tuple]:
+        pool = Pool(compile_text(text))
+        todo, seen = [pool.start], set()
+        while todo:
+            node = pool.nodes[p := todo.pop()]
+            if p not in seen:
+                seen.add(p)
+                todo += node[1] if node[0] == "choice" else [pool.body(node[2])] if node[0] == "element" else []
+        return [(sum(r[1] == "element" for r in pool.rows()),)]
+
+    return graph.each(nation_schemas(spark, sf_dir), "elements int", met, "n_nationkey", "text").select("n_nationkey", F.col("elements").cast("long").alias("elements"))
 
 
 @query("document_tokens", """SELECT n_nationkey, count(*)::BIGINT AS parts, max(n)::INTEGER AS last, string_agg(kind || ' ' || coalesce(ns || ':' || local, value), ' ' ORDER BY n) AS said FROM (
