@@ -129,6 +129,44 @@ class Pool:
             self.bodies[source] = self.build(source)
         return self.bodies[source]
 
+    # ---- patterns that outlive a pool
+
+    def exported(self, p: int) -> list[tuple]:
+        """The nodes that p is made of, parts first: (op, parts as places in this list, what else the node holds, nullable)."""
+        place: dict[int, int] = {}
+        out: list[tuple] = []
+        stack = [(p, False)]
+        while stack:
+            q, ready = stack.pop()
+            if q in place:
+                continue
+            node = self.nodes[q]
+            parts = node[1] if node[0] == "choice" else [x for x in node[1:] if isinstance(x, int)]
+            if not ready:
+                stack += [(q, True), *((x, False) for x in parts)]
+                continue
+            place[q] = len(out)
+            rest = () if node[0] == "choice" else tuple(x for x in node[1:] if not isinstance(x, int))
+            out.append((node[0], tuple(place[x] for x in parts), rest, self.nullable[q]))
+        return out
+
+    def imported(self, nodes: list[tuple]) -> int:
+        """The pattern that exported() gave, in this pool, whatever numbers it has here."""
+        at: list[int] = []
+        for op, parts, rest, nullable in nodes:
+            own = [at[x] for x in parts]
+            if op == "choice":
+                at.append(self.choice(*own))
+            elif op in ("group", "interleave"):
+                at.append(self.pair(op, *own))
+            elif op == "more":
+                at.append(self.more(*own))
+            elif op == "after":
+                at.append(self.after(*own))
+            else:
+                at.append(self.put((op, *rest, *own), nullable))
+        return at[-1]
+
     # ---- derivatives
 
     def then(self, p: int, f) -> int:

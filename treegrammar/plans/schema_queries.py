@@ -17,6 +17,7 @@ from treegrammar.plans import catalogue, graph, tree_queries
 from treegrammar.plans.model import compile_schema, compile_text
 from treegrammar.sources.documents import escaped, order_docs
 from treegrammar.sources.schemas import Memory
+from treegrammar.streaming.tokens import part_rows, validate_parts
 
 QUERIES: dict[str, catalogue.Query] = {}
 ORACLES: dict[str, str] = {}
@@ -257,3 +258,10 @@ def ns_undefined(spark, sf_dir):
     """The names whose prefix nothing declares, by an anti-join."""
     lost = undefined(raw_tokens(scope_docs(spark, sf_dir), "n_nationkey"), "n_nationkey")
     return lost.groupBy("n_nationkey", "prefix").agg(F.count("*").alias("names"))
+
+
+@query("parts_valid", ORACLES["schema_include"])
+def parts_valid(spark, sf_dir):
+    """Documents validated part by part, as a stream of parts would be."""
+    schema = compile_schema("m.rnc", Memory({"m.rnc": "include 'base.rnc'", "base.rnc": _BASE}))
+    return validate_parts(part_rows(nation_docs(spark, sf_dir), "n_nationkey"), schema, "n_nationkey").select("n_nationkey", "valid")
