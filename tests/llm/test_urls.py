@@ -68,6 +68,24 @@ def test_variable_segments_share_their_labels(spark):
     assert all(r.verdict == "block" and r.template == "/news/*/" for r in got[:-1]) and got[-1].verdict == "allow"
 
 
+def test_a_page_is_judged_alike_on_a_small_and_on_a_large_host(spark):
+    """The same four sections with one page each, and with a hundred."""
+    pages = [f"http://h{n}.net/{lang}/{i}" for n in (1, 2, 100) for lang in ("es", "fr", "de", "en") for i in range(n)]
+    got = sorted(urls.filter_urls(spark.createDataFrame([(i, u, "x", "y", 1) for i, u in enumerate(pages)], SCHEMA)).collect(), key=lambda r: r.page_id)
+    said = {u: r.verdict for u, r in zip(pages, got)}
+    for u, verdict in said.items():
+        assert verdict == ("block" if "/es/" in u or "/fr/" in u else "allow"), u
+
+
+def test_a_spam_template_is_blocked_with_its_unlabelled_members_and_its_neighbour_is_not(spark):
+    """Sections of titles: half of one's titles are labelled as blocked, none of the other's."""
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    pages = [f"http://s.org/{part}/{'x-' if i % 2 else ''}{name(i)}" for part in ("deals", "notes") for i in range(60)]
+    rules = (("block", "s.org", "/deals/x-"),)
+    got = sorted(urls.filter_urls(spark.createDataFrame([(i, u, "x", "y", 1) for i, u in enumerate(pages)], SCHEMA), rules=rules).collect(), key=lambda r: r.page_id)
+    assert {(u.split("/")[3], r.verdict) for u, r in zip(pages, got)} == {("deals", "block"), ("notes", "allow")}
+
+
 def test_deep_paths_end_in_one_segment(spark):
     deep = "/".join("abcdefghij")
     got = urls.filter_urls(spark.createDataFrame([(i, f"http://d.org/{deep}", "x", "y", 1) for i in range(3)], SCHEMA)).collect()

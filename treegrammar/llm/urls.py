@@ -3,7 +3,8 @@
 Urls are first reduced to shapes (host and path with every run of digits masked) and counted.  Each host's tree is built from the host
 down, a level of path segments at a time.  Under a node a segment is
 
-- variable, if it holds digits or occurs once: it becomes a wildcard (with its file ending);
+- variable, if it holds digits, or occurs once where segments are mostly different ones (at least SPREAD_LEAST, and half as many as the
+  node's urls): it becomes a wildcard (with its file ending).  The lone word of a small host is thus a word, as it is on a large one;
 - rare, if it holds less than KEEP_SHARE of the node's urls: it becomes one of three wildcards, of segments without labels, with mostly
   blocking and with mostly allowing labels, so that a rare branch is not judged by others' labels;
 - kept otherwise.  The end of a path is a segment of its own.
@@ -37,12 +38,13 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-KEEP_SHARE, KEEP_LEAST, LEVELS = 0.02, 2, 5
+KEEP_SHARE, LEVELS = 0.02, 5
+SPREAD_LEAST, SPREAD_SHARE = 8, 0.5  # different segments of a node, and their share of its urls, from which lone ones are variable
 #: Block rate and weight of what stands above a host, standard errors within which branches are alike, purity of a rejected template.
 PRIOR, STRENGTH, Z, THRESHOLD = 0.2, 4.0, 2.0, 0.6
 SALTS = 32
-#: Expressions that Spark and DuckDB read alike, over a segment's n (urls), all_n (of its node), m (labels), b (blocking ones), seg and ending.
-_NAME = f"""CASE WHEN seg = '$' THEN 's$' WHEN instr(seg, '#') > 0 OR n < {KEEP_LEAST} THEN concat('v', ending)
+#: Expressions that Spark and DuckDB read alike, over a segment's n (urls), all_n and kinds (urls and segments of its node), m (labels), b (blocking ones), seg and ending.
+_NAME = f"""CASE WHEN seg = '$' THEN 's$' WHEN instr(seg, '#') > 0 OR n = 1 AND kinds >= {SPREAD_LEAST} AND kinds >= {SPREAD_SHARE} * all_n THEN concat('v', ending)
   WHEN n < {KEEP_SHARE} * all_n THEN concat(CASE WHEN m = 0 THEN 'r' WHEN 2 * b >= m THEN 'b' ELSE 'a' END, ending) ELSE concat('s', seg) END"""
 _SHOWN = "CASE WHEN name = 's$' THEN '' WHEN substr(name, 1, 1) = 's' THEN substr(name, 2) ELSE concat('*', substr(name, 2)) END"
 
@@ -96,7 +98,7 @@ def grown(at: DataFrame, level: int) -> DataFrame:
     done, open_ = at.where(F.size("segs") <= level), at.where(F.size("segs") > level).withColumn("seg", last)
     leaf = F.when(F.size("segs") <= level + 2, F.col("n")).otherwise(0)
     child = open_.groupBy("node", "seg").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("b").alias("b"), F.sum(leaf).alias("leaves"), F.max("purity").alias("purity"))
-    child = salted(child, open_.groupBy("node").agg(F.sum("n").alias("all_n")), ["node"], ["seg"])
+    child = salted(child, child.groupBy("node").agg(F.sum("n").alias("all_n"), F.count("*").alias("kinds")), ["node"], ["seg"])
     child = child.withColumn("ending", F.regexp_extract("seg", "[.][A-Za-z#]{1,5}$", 0)).withColumn("name", F.expr(_NAME))
     sib = child.groupBy("node", "name").agg(*(F.sum(c).alias(c) for c in ("n", "m", "b", "leaves")), F.max("purity").alias("purity"))
     order = Window.partitionBy("node").orderBy(F.expr("CASE WHEN m = 0 THEN 1 ELSE 0 END"), F.expr("CASE WHEN m = 0 THEN 0.0e0 ELSE b * 1.0e0 / m END"), F.expr("m * 1.0e0 / n"), F.expr("leaves * 1.0e0 / n"), "name")
@@ -152,7 +154,7 @@ child{k} AS MATERIALIZED (
   SELECT *, {_NAME} AS name FROM (
     SELECT node, seg, sum(n)::BIGINT AS n, sum(m)::BIGINT AS m, sum(b)::BIGINT AS b, sum(CASE WHEN len(segs) <= {k + 2} THEN n ELSE 0 END)::BIGINT AS leaves, max(purity) AS purity,
            regexp_extract(seg, '[.][A-Za-z#]{{1,5}}$', 0) AS ending FROM open{k} GROUP BY node, seg)
-  JOIN (SELECT node, sum(n)::BIGINT AS all_n FROM open{k} GROUP BY node) USING (node)),
+  JOIN (SELECT node, sum(n)::BIGINT AS all_n, count(DISTINCT seg) AS kinds FROM open{k} GROUP BY node) USING (node)),
 sib{k} AS MATERIALIZED (
   SELECT *, sum({_NEW}) OVER (PARTITION BY node ORDER BY unlabelled, rate, known, leaf_rate, name ROWS UNBOUNDED PRECEDING) AS branch FROM (
     SELECT *, lag(n) OVER w AS p_n, lag(m) OVER w AS p_m, lag(b) OVER w AS p_b, lag(leaves) OVER w AS p_leaves FROM (
