@@ -1,5 +1,8 @@
 """Tables of schemas."""
 
+import pickle
+
+from treegrammar.functions.datatypes import XSD, compile_datatype
 from treegrammar.plans import graph
 from treegrammar.sources.schemas import Memory
 
@@ -31,3 +34,44 @@ def test_loaded_files(spark):
     assert sorted((r.schema_id, r.path) for r in graph.loaded(df, files).collect()) == [(1, "a.rnc"), (1, "b.rnc")]
     assert [r.kind for r in graph.errors(df, files=files).collect()] == ["Io"]
     assert Memory(files).load("b.rnc").startswith("start")
+
+
+def test_places_of_errors(spark):
+    files = {"a.rnc": "include 'b.rnc'", "b.rnc": "start = x", "c.rnc": "a = text\nstart = a"}
+    texts = {
+        1: ["  include 'a.rnc'", ("b.rnc", 8), ("a.rnc", 0), ("schema", 2)],
+        2: ["include 'c.rnc' a = empty", ("schema", 16), ("c.rnc", 0)],
+        3: ["start |= empty start &= text", ("schema", 15), ("schema", 0)],
+        4: ["start = a a = b b = a?", ("schema", 8), ("schema", 14)],
+        5: ["datatypes q = 'u' datatypes q = 'v' start = empty", ("schema", 18), ("schema", 0)],
+        6: ["element a { attribute b { attribute c { text } } }", ("schema", 26), ("schema", 12)],
+        7: ["include 'c.rnc' { y = empty }", ("schema", 18), ("c.rnc", 0)],
+        8: ["element a { external 'gone.rnc' }", ("gone.rnc", 0), ("schema", 12)],
+        9: ["include 'c.rnc'"],
+        10: [None, ("", 0)],
+    }
+    df = spark.createDataFrame([(k, v[0], 0) for k, v in texts.items()], "schema_id long, text string, n int")
+    rows = graph.places(df, files=files).orderBy("schema_id", "n").collect()
+    assert {k: [(r.file, r.start) for r in rows if r.schema_id == k] for k in texts} == {k: v[1:] for k, v in texts.items()}
+    assert graph.places(df.limit(0), files=files).collect() == []
+    e = graph.compiled(texts[2][0], files)
+    assert e.described({**files, "schema": texts[2][0]}).split("\n")[1:] == ["  here: schema:1:17: include 'c.rnc' a = empty", "  first defined here: c.rnc:1:1: a = text"]
+    assert pickle.loads(pickle.dumps(e)).places == e.places
+
+
+def test_facets(spark):
+    texts = [
+        (1, "element a { xsd:short { minExclusive = '4' }, attribute b { xsd:double { maxExclusive = '1.5' } }, list { xsd:token { length = '2' pattern = 'x' pattern = 'y' }, string } }"),
+        (2, "element a { xsd:positiveInteger | 'x' | (xsd:int - '3') }"),
+        (3, "element a { nowhere }"),
+        (4, None),
+    ]
+    rows = graph.facets(spark.createDataFrame(texts, "schema_id long, text string")).collect()
+    of = lambda k: sorted((r.nth, r.type, r.facet, r.value) for r in rows if r.schema_id == k and r.facet) + sorted((r.nth, r.type) for r in rows if r.schema_id == k and not r.facet)
+    assert of(1) == [
+        (0, "short", "max", "32767"), (0, "short", "min", "5"), (0, "short", "minExclusive", "4"), (1, "double", "max", "1.5"), (1, "double", "maxExclusive", "1.5"),
+        (2, "token", "length", "2"), (2, "token", "max_length", "2"), (2, "token", "min_length", "2"), (2, "token", "pattern", "x"), (2, "token", "pattern", "y"), (3, "string"),
+    ]
+    assert of(2) == [(0, "positiveInteger", "min", "1"), (1, "int", "max", str(2**31 - 1)), (1, "int", "min", str(-(2**31)))]
+    assert of(3) == of(4) == []
+    assert compile_datatype(XSD, "int", [("minExclusive", "1")]).bounded() and not compile_datatype(XSD, "int", []).bounded()

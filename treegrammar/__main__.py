@@ -11,14 +11,26 @@ from treegrammar.plans.model import compile_schema
 from treegrammar.sources.schemas import Disk
 
 
+class Kept(Disk):
+    """Keeps the files it has read, for messages."""
+
+    def __init__(self):
+        self.texts: dict[str, str] = {}
+
+    def load(self, path: str) -> str:
+        self.texts[path] = super().load(path)
+        return self.texts[path]
+
+
 def main(args: list[str]) -> int:
     if len(args) < 3 or args[0] != "validate":
         print(__doc__, file=sys.stderr)
         return 1
+    loader = Kept()
     try:
-        pool = Pool(compile_schema(args[1], Disk()))
+        pool = Pool(compile_schema(args[1], loader))
     except SchemaError as e:
-        print(e, file=sys.stderr)
+        print(e.described(loader.texts), file=sys.stderr)
         return 1
     bad = 0
     for path in args[2:]:

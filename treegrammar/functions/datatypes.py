@@ -185,6 +185,36 @@ class Datatype:
         out: dict[str, object] = {k: number(self.name, v) if k in BOUNDS else int(v) for k, v in self.facets if k != "pattern"}
         return out | ({"pattern": self.patterns()} if self.patterns() else {})
 
+    def bounds(self) -> tuple[object | None, object | None]:
+        """The least and the greatest value that the type and its facets leave, None where there is none: whole numbers inclusive, others as given."""
+        low, high = WHOLE.get(self.name, (None, None)) if self.library == XSD else (None, None)
+        if self.name == "positiveInteger" and not self.compat:
+            low = 1
+        for key, v in self.facets:
+            if key in BOUNDS:
+                b = number(self.name, v)
+                if self.name in WHOLE and key.endswith("Exclusive"):
+                    b += 1 if key.startswith("min") else -1
+                if key.startswith("min"):
+                    low = b if low is None else max(low, b)
+                else:
+                    high = b if high is None else min(high, b)
+        return low, high
+
+    def bounded(self) -> bool:
+        """True where a facet (not only the type) gives a bound."""
+        return any(k in BOUNDS for k, _ in self.facets)
+
+    def lengths(self) -> tuple[int | None, int | None]:
+        """The least and the greatest length."""
+        low, high = self.facet("minLength") or self.facet("length"), self.facet("maxLength") or self.facet("length")
+        return None if low is None else int(low), None if high is None else int(high)
+
+    def derived(self) -> list[tuple[str, str]]:
+        """bounds and lengths by name."""
+        found = zip(("min", "max", "min_length", "max_length"), (*self.bounds(), *self.lengths()))
+        return [(k, str(v)) for k, v in found if v is not None]
+
     def column(self, c: Column) -> Column:
         """True where the value is valid; false for null."""
         return F.coalesce(c.isNotNull() & _column(self, c), F.lit(False))

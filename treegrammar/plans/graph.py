@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treegrammar.errors import SchemaError
+from treegrammar.functions.datatypes import Datatype
 from treegrammar.plans.model import CompiledSchema, compile_schema
 from treegrammar.sources.schemas import Memory, parse
 from treegrammar.sources.tables import cut, forget
@@ -75,6 +76,44 @@ def errors(schemas: DataFrame, id_col: str = "schema_id", text_col: str = "text"
     return each(schemas, "kind string, message string, file string, start int, `end` int", f, id_col, text_col)
 
 
+def places(schemas: DataFrame, id_col: str = "schema_id", text_col: str = "text", files: dict[str, str] | None = None) -> DataFrame:
+    """(id_col, n, note, file, start, end): all places of a schema's error: the error itself (n 0), what it contradicts, and the includes that led there."""
+
+    def f(text):
+        e = compiled(text, files)
+        return [(n, *p) for n, p in enumerate(e.all_places())] if isinstance(e, SchemaError) else []
+
+    return each(schemas, "n int, note string, file string, start int, `end` int", f, id_col, text_col)
+
+
+def facets(schemas: DataFrame, id_col: str = "schema_id", text_col: str = "text", files: dict[str, str] | None = None) -> DataFrame:
+    """(id_col, rule, nth, library, type, facet, value): what every datatype of a schema's rules demands; nth counts the datatypes of a rule.
+
+    Facets are those given, and what follows from them and the type: min and max (the bounds that the type and the facets leave, whole numbers as
+    inclusive ones), min_length and max_length.  A datatype without any has one row with nulls.
+    """
+
+    def f(text):
+        c = compiled(text, files)
+        if isinstance(c, SchemaError):
+            return []
+        out = []
+        for name, p in zip(c.names, c.rules):
+            for nth, d in enumerate(datatypes(p)):
+                rows = [(name, nth, d.library, d.name, k, v) for k, v in (*d.facets, *d.derived())] if isinstance(d, Datatype) else []
+                out += rows or [(name, nth, getattr(d, "library", None), getattr(d, "name", None), None, None)]
+        return out
+
+    return each(schemas, "rule string, nth int, library string, type string, facet string, value string", f, id_col, text_col)
+
+
+def datatypes(p: tuple) -> list:
+    """The datatypes of a pattern, in order."""
+    own = [p[1]] if p[0] in ("data", "data_except") else []
+    parts = p[1] if p[0] in ("group", "interleave", "choice") else [q for q in p[1:] if type(q) is tuple and q and isinstance(q[0], str)]
+    return own + [d for q in parts for d in datatypes(q)]
+
+
 def loaded(schemas: DataFrame, files: dict[str, str], id_col: str = "schema_id", text_col: str = "text") -> DataFrame:
     """(id_col, path): the files that each schema is made of, its own text left out."""
     return each(schemas, "path string", lambda text: [(p,) for p in getattr(compiled(text, files), "loaded", []) if p != "schema"], id_col, text_col)

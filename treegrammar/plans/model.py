@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import posixpath
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from treegrammar.errors import SchemaError
+from treegrammar.errors import Place, SchemaError
 from treegrammar.functions import names as nc
 from treegrammar.functions.datatypes import BUILTIN, XSD, compile_datatype, compile_value
 from treegrammar.sources.schemas import Loader, parse
@@ -34,6 +35,9 @@ class Rule:
     combine: str | None = None
     span: t.Span = (0, 0)
     file: str = ""
+    came: tuple[Place, ...] = ()  # the includes around the place where it was met first
+    defined: Place | None = None
+    combined: Place | None = None
 
 
 @dataclass
@@ -55,7 +59,8 @@ class Context:
     default: str = ""
     includes: tuple[str, ...] = ()
     overridden: dict[str, bool] | None = None  # names that an include replaces, and whether they were met
-    attribute: bool = False
+    attribute: Place | None = None  # the attribute that is open
+    declared: dict[str, t.Span] = field(default_factory=dict)  # datatype prefixes
 
 
 class Compiler:
@@ -64,6 +69,7 @@ class Compiler:
         self.texts: dict[str, str] = {}
         self.trees: dict[tuple[str, str], t.Schema] = {}
         self.rules: list[Rule] = []
+        self.chain: list[Place] = []  # includes that are open, outermost first
 
     def compile(self, path: str) -> CompiledSchema:
         scope = Scope(None)
@@ -79,7 +85,7 @@ class Compiler:
             raise SchemaError("StartRuleMissing", "the grammar has no start", path)
         for r in self.rules:
             if r.pattern is None:
-                raise SchemaError("UndefinedReference", f"{r.name} is not defined", r.file, r.span)
+                raise SchemaError("UndefinedReference", f"{r.name} is not defined", r.file, r.span, r.came)
         self.check_recursion()
         return CompiledSchema([r.pattern for r in self.rules], [r.name for r in self.rules], start.number, sorted(self.texts))
 
@@ -95,14 +101,27 @@ class Compiler:
     def context(self, path: str, scope: Scope, default: str = "", includes: tuple[str, ...] = (), overridden=None) -> Context:
         return Context(path, scope, {"xml": XML_NS}, {"xsd": XSD}, default, (*includes, path), overridden)
 
-    def fail(self, kind: str, message: str, ctx: Context, span: t.Span = (0, 0)):
-        raise SchemaError(kind, message, ctx.file, span)
+    def fail(self, kind: str, message: str, ctx: Context, span: t.Span = (0, 0), *places: Place | None):
+        raise SchemaError(kind, message, ctx.file, span, tuple(p for p in places if p))
+
+    @contextmanager
+    def inside(self, note: str, ctx: Context, span: t.Span):
+        """Errors that are raised within name this place too."""
+        self.chain.append(Place(note, ctx.file, *span))
+        try:
+            yield
+        except SchemaError as e:
+            e.places += (self.chain[-1],)
+            raise
+        finally:
+            self.chain.pop()
 
     def declare(self, tree: t.Schema, ctx: Context) -> None:
         for d in tree.decls:
             if isinstance(d, t.Datatypes):
                 if ctx.libraries.get(d.prefix, d.uri) != d.uri:
-                    self.fail("DatatypesPrefixRedefined", f"prefix {d.prefix} is declared twice", ctx, d.span)
+                    self.fail("DatatypesPrefixRedefined", f"prefix {d.prefix} is declared twice", ctx, d.span, Place("first declared here", ctx.file, *ctx.declared[d.prefix]) if d.prefix in ctx.declared else None)
+                ctx.declared.setdefault(d.prefix, d.span)
                 ctx.libraries[d.prefix] = d.uri
                 continue
             uri = ctx.default if d.uri is t.INHERIT else d.uri
@@ -135,20 +154,22 @@ class Compiler:
 
         collect(node.overrides)
         ns = self.inherited(node, ctx)
-        tree = self.tree(path, ns)
+        with self.inside("included here", ctx, node.span):
+            tree = self.tree(path, ns)
         if not isinstance(tree.body, t.Grammar):
-            self.fail("ExpectedGrammar", f"{path} is no grammar", ctx, node.span)
+            self.fail("ExpectedGrammar", f"{path} is no grammar", ctx, node.span, Place("no grammar", path, 0, 0))
         inner = self.context(path, ctx.scope, ns, ctx.includes, replaced)
         if node.inherit is not None:
             inner.prefixes.setdefault(node.inherit, ns)
         outer = ctx.overridden
         for d in own:  # an include's own definitions may be replaced in turn
             self.define(ctx, d.name, d.combine, self.pattern(d.content, ctx), d.span)
-        self.declare(tree, inner)
-        self.contents(tree.body.content, inner)
+        with self.inside("included here", ctx, node.span):
+            self.declare(tree, inner)
+            self.contents(tree.body.content, inner)
         for name, met in replaced.items():
             if not met:
-                self.fail("DefineNotFound", f"{path} has no {name} to replace", ctx, node.span)
+                self.fail("DefineNotFound", f"{path} has no {name} to replace", ctx, next(d.span for d in own if d.name == name), Place("not in this file", path, 0, 0))
         if outer:
             for name in replaced:
                 if name in outer:
@@ -159,15 +180,16 @@ class Compiler:
         if path in ctx.includes:
             self.fail("RecursiveInclude", f"{path} refers to itself", ctx, node.span)
         ns = self.inherited(node, ctx)
-        tree = self.tree(path, ns)
-        inner = self.context(path, Scope(None), ns, ctx.includes)
-        inner.attribute = ctx.attribute
-        if node.inherit is not None:
-            inner.prefixes.setdefault(node.inherit, ns)
-        self.declare(tree, inner)
-        if isinstance(tree.body, t.Grammar):
-            return self.grammar(tree.body, inner)
-        return self.pattern(tree.body, inner)
+        with self.inside("used here", ctx, node.span):
+            tree = self.tree(path, ns)
+            inner = self.context(path, Scope(None), ns, ctx.includes)
+            inner.attribute = ctx.attribute
+            if node.inherit is not None:
+                inner.prefixes.setdefault(node.inherit, ns)
+            self.declare(tree, inner)
+            if isinstance(tree.body, t.Grammar):
+                return self.grammar(tree.body, inner)
+            return self.pattern(tree.body, inner)
 
     def grammar(self, node: t.Grammar, ctx: Context):
         self.contents(node.content, ctx)
@@ -189,7 +211,7 @@ class Compiler:
 
     def rule(self, scope: Scope, name: str, ctx: Context, span: t.Span) -> Rule:
         if name not in scope.rules:
-            self.rules.append(Rule(len(self.rules), name, span=span, file=ctx.file))
+            self.rules.append(Rule(len(self.rules), name, span=span, file=ctx.file, came=tuple(reversed(self.chain))))
             scope.rules[name] = self.rules[-1]
         return scope.rules[name]
 
@@ -200,37 +222,41 @@ class Compiler:
         r = self.rule(ctx.scope, name, ctx, span)
         if combine == "=":
             if r.assigned:
-                self.fail("DuplicateDefinition", f"{name} is defined twice", ctx, span)
+                self.fail("DuplicateDefinition", f"{name} is defined twice", ctx, span, r.defined)
             r.assigned = True
         elif r.combine not in (None, combine):
-            self.fail("ConflictingCombine", f"{name} is combined in two ways", ctx, span)
+            self.fail("ConflictingCombine", f"{name} is combined in two ways", ctx, span, r.combined)
         else:
             r.combine = combine
+            r.combined = r.combined or Place("first combined here", ctx.file, *span)
         if r.pattern is None:
-            r.pattern = pattern
+            r.pattern, r.defined = pattern, Place("first defined here", ctx.file, *span)
         elif r.combine is None:
-            self.fail("DuplicateDefinition", f"{name} is defined twice", ctx, span)
+            self.fail("DuplicateDefinition", f"{name} is defined twice", ctx, span, r.defined)
         else:
             r.pattern = flat("choice" if r.combine == "|=" else "interleave", [r.pattern, pattern])
 
     def check_recursion(self) -> None:
         """A rule may reach itself only through an element."""
         state = [0] * len(self.rules)
+        path: list[int] = []
 
         def visit(n: int) -> None:
             state[n] = 1
+            path.append(n)
             stack = [self.rules[n].pattern]
             while stack:
                 p = stack.pop()
                 if p[0] == "ref":
                     if state[p[1]] == 1:
                         r = self.rules[p[1]]
-                        raise SchemaError("RecursiveReference", f"{r.name} holds itself outside an element", r.file, r.span)
+                        raise SchemaError("RecursiveReference", f"{r.name} holds itself outside an element", r.file, r.span, tuple(Place(f"by way of {q.name}", q.file, *q.span) for q in (self.rules[m] for m in path[path.index(p[1]) + 1 :])) + r.came)
                     if state[p[1]] == 0:
                         visit(p[1])
                 elif p[0] != "element":
                     stack += [q for q in p[1:] if isinstance(q, tuple) and q and isinstance(q[0], str)] if p[0] not in ("choice", "group", "interleave") else list(p[1])
             state[n] = 2
+            path.pop()
 
         for n in range(len(self.rules)):
             if state[n] == 0:
@@ -247,16 +273,16 @@ class Compiler:
             return {"?": lambda: ("choice", (p, EMPTY)), "*": lambda: ("choice", (("one_or_more", p), EMPTY)), "+": lambda: ("one_or_more", p)}[node.op]()
         if kind is t.Element:
             if ctx.attribute:
-                self.fail("ElementInAttribute", "an attribute can't hold an element", ctx, node.span)
+                self.fail("ElementInAttribute", "an attribute can't hold an element", ctx, node.span, ctx.attribute)
             return ("element", self.names(node.names, ctx, False), self.pattern(node.content, ctx))
         if kind is t.Attribute:
             if ctx.attribute:
-                self.fail("AttributeInAttribute", "an attribute can't hold an attribute", ctx, node.span)
-            ctx.attribute = True
+                self.fail("AttributeInAttribute", "an attribute can't hold an attribute", ctx, node.span, ctx.attribute)
+            ctx.attribute = Place("in this attribute", ctx.file, *node.span)
             try:
                 return ("attribute", self.names(node.names, ctx, True), self.pattern(node.content, ctx))
             finally:
-                ctx.attribute = False
+                ctx.attribute = None
         if kind is t.Ref:
             scope = ctx.scope.parent if node.parent else ctx.scope
             if scope is None:
