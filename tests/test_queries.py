@@ -5,9 +5,10 @@ import os
 import duckdb
 import pytest
 
-from treegrammar.plans import catalogue, schema_queries, tree_queries
+from treegrammar.plans import catalogue, document_queries, schema_queries, tree_queries
 
-QUERIES, ORACLES = catalogue.QUERIES | schema_queries.QUERIES | tree_queries.QUERIES, catalogue.ORACLES | schema_queries.ORACLES | tree_queries.ORACLES
+MODULES = (catalogue, schema_queries, tree_queries, document_queries)
+QUERIES, ORACLES = {k: q for m in MODULES for k, q in m.QUERIES.items()}, {k: s for m in MODULES for k, s in m.ORACLES.items()}
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

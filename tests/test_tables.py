@@ -6,10 +6,12 @@ import sys
 import pytest
 
 from treegrammar.operators.relational import children_valid, content_regex
-from treegrammar.operators.validate import patterns, validate, validate_one
+from treegrammar.functions.sql import EXTERNAL, parts
+from treegrammar.operators.validate import all_errors, patterns, validate, validate_one
 from treegrammar.plans.model import compile_text
 from treegrammar.sources.documents import read_xml
-from treegrammar.sources.suite import cases, run_suite
+from treegrammar.sources.suite import cases, run_suite, run_suites
+from treegrammar.streaming.tokens import part_rows, validate_parts
 from treegrammar.streaming.validate import read_documents, validate_stream
 
 SCHEMA = 'element a { element b { xsd:int { maxInclusive = "5" } }* }'
@@ -61,6 +63,23 @@ def test_suite(spark):
     assert [r.outcome for r in run_suite(spark, text).collect()] == ["passed", "passed", "valid 1"]
 
 
+def test_suites_of_a_table(spark):
+    good = '<testSuite><testCase><correct><element xmlns="http://relaxng.org/ns/structure/1.0" name="a"><empty/></element></correct><valid><a/></valid><valid><b/></valid></testCase></testSuite>'
+    df = spark.createDataFrame([(1, good, "c"), (2, "<testSuite>", "c"), (3, None, "c"), (4, "<testSuite/>", "c")], "suite_id int, text string, outcome string")
+    assert [(r.suite_id, r.nth, r.kind, r.outcome and r.outcome[:7]) for r in run_suites(df).orderBy("suite_id").collect()] == [(1, 0, "correct", "valid 1"), (2, 0, None, "suite: ")]
+    assert run_suites(df.limit(0)).collect() == []
+
+
+def test_external_entities_are_errors(spark):
+    schema = compile_text("element a { text }")
+    doc = '<!DOCTYPE a [<!ENTITY e SYSTEM "x.txt"><!ENTITY f "y">]><a>&f;</a>'
+    assert validate_one(doc, schema)[:2] == (False, "external_entity") and validate_one(doc.replace('SYSTEM "x.txt"', '"z"'), schema)[0]
+    assert [p[2] for p in parts(doc)] == ["error"] and parts(doc)[0][5] == EXTERNAL
+    rows = spark.createDataFrame([(1, doc)], "doc_id long, xml string")
+    assert [r.error_kind for r in all_errors(rows, schema).collect()] == ["external_entity"]
+    assert [r.error_kind for r in validate_parts(part_rows(rows, "doc_id"), schema, "doc_id").collect()] == ["external_entity"]
+
+
 def test_patterns_table(spark):
     rows = patterns(spark, compile_text(SCHEMA), ["<a><b>1</b></a>"]).collect()
     assert {"after", "element", "data", "more"} <= {r.op for r in rows} and len({r.pid for r in rows}) == len(rows)

@@ -33,8 +33,15 @@ def register_valid(spark: SparkSession, schema: CompiledSchema, name: str = "rng
     spark.udf.register(name, valid)
 
 
+EXTERNAL = "entity outside the document"
+
+
+class Outside(Exception):
+    """An entity is declared that stands elsewhere."""
+
+
 def parts(xml: str | None) -> list[tuple]:
-    """The rows of PARTS, in document order: element, attribute, text, end, and as the last one error if the document is not well-formed.
+    """The rows of PARTS, in document order: element, attribute, text, end, and as the last one error if the document is not well-formed or declares an external entity.
 
     Names have their namespaces; an undeclared prefix leaves ns null.  Text is joined across CDATA sections and comments.
     """
@@ -78,10 +85,16 @@ def parts(xml: str | None) -> list[tuple]:
         put("end", raw, None, here())
         scopes.pop()
 
-    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text
+    def declared(name: str, parameter: bool, value: str | None, *where: str | None) -> None:
+        if value is None:
+            raise Outside
+
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler, parser.EntityDeclHandler = start, end, text, declared
     try:
         if xml is not None:
             parser.Parse(xml.encode("utf-8", "surrogatepass"), True)
+    except Outside:
+        out.append((len(out), len(scopes) - 1, "error", None, None, EXTERNAL, *here()))
     except expat.ExpatError as e:
         held.clear()
         out.append((len(out), len(scopes) - 1, "error", None, None, expat.ErrorString(e.code), e.lineno, e.offset + 1))

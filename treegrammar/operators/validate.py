@@ -48,7 +48,12 @@ class Run:
         self.parser = expat.ParserCreate()
         self.parser.ordered_attributes = True
         self.parser.StartElementHandler, self.parser.EndElementHandler, self.parser.CharacterDataHandler = self.open, self.close, self.text.append
-        self.parser.ExternalEntityRefHandler = None  # external entities are never fetched
+        self.parser.EntityDeclHandler = self.declared
+
+    def declared(self, name: str, parameter: bool, value: str | None, *where: str | None) -> None:
+        """An entity that stands elsewhere is never fetched, so its declaration is an error."""
+        if value is None:
+            self.fail("external_entity", f"entity {name} stands outside the document")
 
     def fail(self, kind: str, message: str, shift: int = 0, state: int | None = None):
         p = self.parser

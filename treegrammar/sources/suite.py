@@ -6,6 +6,7 @@ import xml.etree.ElementTree as ET
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from treegrammar.errors import SchemaError
 from treegrammar.operators.validate import validate_one
@@ -57,6 +58,31 @@ def outcome(kind: str, resources: dict[str, str], valid: list[str], invalid: lis
     return ", ".join(wrong) or "passed"
 
 
+def run_suites(suites: DataFrame, id_col: str = "suite_id", text_col: str = "text") -> DataFrame:
+    """(id_col, nth, section, kind, outcome): the cases of a table of suites, read and run on the executors.
+
+    A suite that is null has no cases; one that is not well-formed has one row, whose outcome says so; other columns are ignored.
+    """
+    rows = suites.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
+    names = ["nth", "section", "kind", "outcome"]
+    types = [pa.int32(), pa.string(), pa.string(), pa.string()]
+
+    def each(text: str | None) -> list[tuple]:
+        try:
+            return [(n, section, kind, outcome(kind, *rest)) for n, (section, _, kind, *rest) in enumerate(cases(text))] if text is not None else []
+        except ET.ParseError as e:
+            return [(0, None, None, f"suite: {e}")]
+
+    def run(batches):
+        for b in batches:
+            for key, text in zip(b.column(0), b.column(1).to_pylist()):  # a suite at a time
+                if found := each(text):
+                    keys = pa.array([key.as_py()] * len(found), b.column(0).type)
+                    yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, t) for c, t in zip(zip(*found), types))], names=[b.schema.names[0], *names])
+
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, nth int, section string, kind string, outcome string")
+
+
 def run_suite(spark: SparkSession, text: str) -> DataFrame:
     """The cases with their outcomes; cases run on the executors, a batch of them at a time."""
     table = spark.createDataFrame(cases(text), FIELDS)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from treegrammar.functions.sql import PARTS, parts
+from treegrammar.functions.sql import EXTERNAL, PARTS, parts
 from treegrammar.functions.text import is_whitespace
 from treegrammar.operators.pool import Pool
 from treegrammar.operators.validate import pool_of, uses_qnames
@@ -90,7 +90,7 @@ class PartRun:
             if self.kind:
                 return False
         if kind == "error":
-            self.kind = "undefined_entity" if value == _ENTITY else "xml"
+            self.kind = "undefined_entity" if value == _ENTITY else "external_entity" if value == EXTERNAL else "xml"
         elif kind in ("element", "attribute") and ns is None:
             if kind == "element":
                 self.take_text()
