@@ -159,3 +159,14 @@ def test_name_classes_meet():
     for x, y, want in ((a, a, True), (a, nc.Named("", "b"), False), (a, q, False), (nc.Named("urn:q", "z"), q, True), (q, nc.NsName("urn:r"), False), (any_, q, True), (nc.AnyName(nc.NsName("urn:q")), q, False), (nc.NsName("urn:q", nc.Named("urn:q", "z")), nc.Named("urn:q", "z"), False), (nc.Either(a, q), nc.NsName("urn:q", nc.Named("urn:q", "z")), True)):
         assert nc.overlap(x, y) == want == nc.overlap(y, x)
     assert nc.endless(nc.Either(a, q)) and not nc.endless(nc.Either(a, a))
+
+
+def test_no_join_goes_through_the_driver(spark):
+    """Compressed node tables look small; a join of them must not be sent to the driver and on to all tasks."""
+    nodes = spark.createDataFrame([(1, "r", None, 0, "", "land", None, ""), (1, "p", "r", 0, "", "person", None, "")], NODES)
+    atts = spark.createDataFrame([(1, "p", "", "id", "x", 1), (1, "p", "", "knows", "y", 1)], ATTRIBUTES)
+    schema = compile_text("element land { element person { attribute id { xsd:ID }, attribute knows { xsd:IDREF } }+ }")
+    for got, n in ((validate_tree(nodes, atts, schema), 0), (faults(nodes, atts, schema), 0), (identity_faults(nodes, atts, schema), 1)):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        assert got.where("kind is not null" if "kind" in got.columns else "not valid").count() == n

@@ -301,6 +301,11 @@ def any_of(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, columns, F.lit(False))
 
 
+def merging(rows: DataFrame) -> DataFrame:
+    """rows as a side of a sort-merge join: node tables compress so well that Spark would take them for small and send them through the driver."""
+    return rows.hint("merge")
+
+
 def typed(nodes: DataFrame, grammar: TreeGrammar) -> DataFrame:
     """NODE columns with type and above (the parent's type); nodes below a node without type have none and are left out."""
     spark = nodes.sparkSession
@@ -320,7 +325,7 @@ def typed(nodes: DataFrame, grammar: TreeGrammar) -> DataFrame:
     depth = depth_of(grammar)
     while depth is None or len(levels) <= depth:
         over = levels[-1].where(F.col("type") != STRANGE).select(F.col("doc").alias("_doc"), F.col("node").alias("_node"), F.col("type").alias("above"))
-        below = inner.join(over, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("parent") == F.col("_node"))).drop("_doc", "_node")
+        below = inner.join(merging(over), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("parent") == F.col("_node"))).drop("_doc", "_node")
         below = below.withColumn("type", of(F.col("above")))
         if depth is None:  # a recursive grammar: as deep as the documents go
             below = cut(spark, below, "nodes")
@@ -370,7 +375,7 @@ def faults(nodes: DataFrame, attributes: DataFrame | None, schema: CompiledSchem
         attributes = nodes.select("doc", "node", F.lit(None).cast("string").alias("ns"), F.lit(None).cast("string").alias("local"), F.lit(None).cast("string").alias("value")).limit(0)
     owners = good.select(F.col("doc").alias("_doc"), F.col("node").alias("_node"), "type")
     present = attributes.select("doc", "node", "ns", "local", F.coalesce(F.col("value").cast("string"), F.lit("")).alias("value"))
-    present = present.join(owners, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("node") == F.col("_node"))).drop("_doc", "_node")
+    present = present.join(merging(owners), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("node") == F.col("_node"))).drop("_doc", "_node")
     fits = {n: any_of([a.names.column(*element) & value_of(a)(F.col("value")) for a in t.attributes]) for n, t in enumerate(grammar.types) if n and t.attributes}
     found.append(fault(present.where(~by_type(of, fits, F.lit(False))), "attribute"))
     found.append(missing(good, present, grammar))
@@ -378,7 +383,7 @@ def faults(nodes: DataFrame, attributes: DataFrame | None, schema: CompiledSchem
     roots = nodes.groupBy("doc").agg(F.count_if(F.col("parent").isNull()).alias("n")).where("n <> 1")
     found.append(roots.select("doc", F.lit(None).cast("string").alias("node"), F.lit("document").alias("kind"), F.lit(None).cast("string").alias("ns"), F.lit(None).cast("string").alias("local")))
     keys = nodes.select(F.col("doc").alias("_doc"), F.col("node").alias("_node"))
-    orphans = nodes.where(F.col("parent").isNotNull()).join(keys, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("parent") == F.col("_node")), "left_anti")
+    orphans = nodes.where(F.col("parent").isNotNull()).join(merging(keys), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("parent") == F.col("_node")), "left_anti")
     found.append(fault(orphans, "orphan"))
     return reduce(DataFrame.unionByName, found)
 
@@ -402,7 +407,7 @@ def unfit(good: DataFrame, grammar: TreeGrammar) -> DataFrame:
         aggregates.append(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["s"]), "").alias("_word"))
     below = good.where(F.col("parent").isNotNull()).groupBy(F.col("doc").alias("_doc"), F.col("parent").alias("_node")).agg(*aggregates)
     # elements whose content may be empty and that have no children need no row of the other side
-    rows = good.join(below, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("node") == F.col("_node")), "left")
+    rows = good.join(merging(below), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("node") == F.col("_node")), "left")
     fits = {}
     for n, t in enumerate(grammar.types):
         if not n:
@@ -429,7 +434,7 @@ def missing(good: DataFrame, present: DataFrame, grammar: TreeGrammar) -> DataFr
     required = good.select("doc", "node", F.explode(by_type(F.col("type"), per_type, F.array().cast("array<int>"))).alias("want"))
     had = by_type(F.col("type"), {n: F.coalesce(*(F.when(a.names.column(F.col("ns"), F.col("local")), F.lit(number[id(a)])) for m, _, a in wanted if m == n)) for n in per_type}, F.lit(None).cast("int"))
     had = present.select(F.col("doc").alias("_doc"), F.col("node").alias("_node"), had.alias("_want"))
-    lacks = required.join(had, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("node") == F.col("_node")) & (F.col("want") == F.col("_want")), "left_anti")
+    lacks = required.join(merging(had), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("node") == F.col("_node")) & (F.col("want") == F.col("_want")), "left_anti")
     ns = F.element_at(F.array(*(F.lit(getattr(a.names, "ns", None)) for *_, a in wanted)), F.col("want") + 1)
     local = F.element_at(F.array(*(F.lit(str(a.names)) for *_, a in wanted)), F.col("want") + 1)
     return lacks.withColumns({"ns": ns.cast("string"), "local": local}).select(*out)
@@ -461,13 +466,13 @@ def identity_faults(nodes: DataFrame, attributes: DataFrame | None, schema: Comp
         owners = good.select(F.col("doc").alias("_doc"), F.col("node").alias("_node"), "type")
         value = F.coalesce(F.col("value").cast("string"), F.lit(""))
         cases = {n: [(a.names.column(F.col("ns"), F.col("local")), a.value) for a in t.attributes] for n, t in enumerate(grammar.types) if n}
-        present = attributes.select("doc", "node", "ns", "local", "value").join(owners, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("node") == F.col("_node")))
+        present = attributes.select("doc", "node", "ns", "local", "value").join(merging(owners), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("node") == F.col("_node")))
         found = found.union(present.select("doc", F.col("node").cast("string"), use(cases, value), normalize_ws(value)))
     found = found.where("use is not null")
     ids = found.where("use = 'ID'").groupBy("doc", "value").agg(F.count("*").alias("n"))
     twice = ids.where("n > 1").select("doc", nothing.alias("node"), F.lit("duplicate-id").alias("kind"), "value")
     known = ids.select(F.col("doc").alias("_doc"), F.col("value").alias("_value"))
-    lost = found.where("use = 'IDREF'").join(known, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("value") == F.col("_value")), "left_anti")
+    lost = found.where("use = 'IDREF'").join(merging(known), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("value") == F.col("_value")), "left_anti")
     return twice.union(lost.select("doc", "node", F.lit("dangling-idref"), "value"))
 
 
@@ -482,5 +487,5 @@ def validate_tree(nodes: DataFrame, attributes: DataFrame | None, schema: Compil
     """(doc, valid, faults): every document of the node table and how many faults it has."""
     bad = faults(nodes, attributes, schema).groupBy(F.col("doc").alias("_doc")).agg(F.count("*").alias("faults"))
     docs = nodes.select("doc").distinct()
-    rows = docs.join(bad, F.col("doc").eqNullSafe(F.col("_doc")), "left")
+    rows = docs.join(merging(bad), F.col("doc").eqNullSafe(F.col("_doc")), "left")
     return rows.select(F.col("doc").alias(doc), F.col("faults").isNull().alias("valid"), F.coalesce("faults", F.lit(0)).cast("long").alias("faults"))
