@@ -119,3 +119,22 @@ def test_memo_forgets_what_is_old():
             m.young[k] = str(k)
         assert m.young["often"] == "often" and len(m.young) + len(m.old) <= 8
     assert m.missing({0}) == [0]
+
+
+def test_slices_of_texts_are_encoded_as_the_library_does(monkeypatch):
+    """Words and marks go through the library once for each distinct word, whatever marks, case and texts they stand in."""
+    import pyarrow as pa
+
+    path = tokens.vocabulary("word_bpe_49k.json")
+    rnd = np.random.default_rng(8)
+    parts = ["the", "The", "straße", "Élan", "élan", "quickly", "don't", "", "a.b", "x7", "...", "日本", "<|endoftext|>"]
+    marks = ["", ".", ",", "..", ".,", ".\n", ",\n\n"]
+    texts = [" ".join(rnd.choice(parts) + rnd.choice(marks) for _ in range(n)) for n in rnd.integers(0, 60, 80)] + [None, "", " ", "no"]
+    own, t = tokens.Pieces(path, False), tokenizer(path)
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    for _ in range(2):
+        ids, ends = own.encoded(pa.array(["left out", *texts, "left out"])[1:-1])
+        assert [x.tolist() for x in np.split(ids, ends)] == [*want, []]
+        monkeypatch.setattr(own, "many", lambda words, tokenizer: words and pytest.fail("words were encoded again"))
+    none, at = own.encoded(pa.array([], pa.string()))
+    assert len(none) == len(at) == 0
