@@ -2,15 +2,18 @@
 
 import itertools
 import random
+from collections import Counter
 from xml.sax.saxutils import escape, quoteattr
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from treegrammar.functions import names as nc
-from treegrammar.operators.tree import TreeGrammar, faults, identity_faults, validate_tree
+from treegrammar.operators.tree import TreeGrammar, fault_counts, faults, identity_faults, tally, validate_tree
 from treegrammar.operators.validate import validate_one
+from treegrammar.plans import catalogue, tree_queries
 from treegrammar.plans.model import compile_text
 
 NODES = "doc long, node string, parent string, pos int, ns string, local string, text string, extra string"
@@ -170,3 +173,63 @@ def test_no_join_goes_through_the_driver(spark):
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
         assert got.where("kind is not null" if "kind" in got.columns else "not valid").count() == n
+
+
+ORDERED = 'element o { attribute s { "O" | "F" }, attribute m { xsd:int }?, element i { attribute n { xsd:int }, element f { "R" | "A" }, (element q { xsd:integer { minInclusive = "1" maxInclusive = "45" } } | element r { empty })* , element g { text }? }+ }'
+LOOSE = "element o { (element i { mixed { (element f { empty }, element g { empty })* } } & element q { xsd:int }?) }"
+
+
+def scattered(rng):
+    """Node and attribute rows of odd documents: misplaced, repeated, lost, circular and strange nodes, rows without keys."""
+    nodes, atts = [], []
+    for d in range(60):
+        doc = None if d == 59 else d
+        nodes.append((doc, "r", None, None, None, rng.choice("oooooix"), None, "x"))
+        atts += [(doc, "r", "", "s", rng.choice(["O", "F", "F", "Z", None]), 1)] * rng.choice([1, 1, 1, 0, 2])
+        for k in range(rng.randrange(4)):
+            nodes.append((doc, f"i{k}", "r", k, "", rng.choice("iiiiiiq"), rng.choice([None, " ", "t"] if rng.random() < 0.2 else [None]), "x"))
+            atts += [(doc, f"i{k}", None, rng.choice("nnnnm"), rng.choice(["1", " 2 ", "z"]), 1)]
+            word = rng.choice(["f", "fq", "fqrg", "fg", "frr", "qf", "gf", "fgfg", "x", "fz", ""])
+            nodes += [(doc, f"{c}{k}.{j}", f"i{k}", rng.choice([j, j, j, 0, None]), "", c, rng.choice(["R", "1", "45", "46", "007", None, " 3 ", "9" * 40]), "x") for j, c in enumerate(word)]
+        if d % 6 == 0:
+            odd = [("a", "gone", "i"), ("i0", "r", "i"), ("c", "c", "i"), ("y", "r", "x"), ("z", "y", "x"), ("w", "y", "f"), (None, "r", "i"), (None, None, "o"), ("v", None, "f"), ("u", "i0", "i")]
+            nodes += [(doc, n, p, 0, "", local, None, "x") for n, p, local in rng.sample(odd, rng.randrange(1, 4))]
+            atts += [(doc, n, "", local, "1", 1) for n, local in rng.sample([(None, "n"), ("gone", "n"), ("y", "n"), ("r", "q"), ("r", None), ("i0", "n")], 2)]
+    atts.append((77, "r", "", "s", "O", 1))
+    rng.shuffle(nodes)
+    return nodes, atts
+
+
+@pytest.mark.parametrize("schema, pos, owned", [(ORDERED, "int", True), (ORDERED, "string", False), (LOOSE, "int", True)])
+def test_counts_of_faults_are_those_of_the_rows(spark, schema, pos, owned):
+    compiled = compile_text(schema)
+    nodes, atts = scattered(random.Random(len(schema)))
+    docs = {n[0] for n in nodes}
+    nodes, atts = spark.createDataFrame(nodes, NODES).withColumn("pos", F.col("pos").cast(pos)), spark.createDataFrame(atts, ATTRIBUTES) if owned else None
+    every = Counter((r.doc, r.kind) for r in faults(nodes, atts, compiled).collect())
+    assert {(r.doc, r.kind): r.faults for r in fault_counts(nodes, atts, compiled).collect()} == every
+    summed = Counter()
+    for (d, _), n in every.items():
+        summed[d] += n
+    assert sorted(map(repr, map(tuple, validate_tree(nodes, atts, compiled).collect()))) == sorted(repr((d, not summed[d], summed[d])) for d in docs)
+    assert tally(nodes, atts, TreeGrammar(compiled)).where("not doubt").count() > 20
+
+
+def test_counting_shuffles_only_the_tables(spark, tmp_path):
+    """Elements of dealt-out documents are counted where they are: no join, and no shuffle of nodes."""
+    spark.createDataFrame([(1, "O"), (2, "X"), (3, "F")], "o_orderkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    items = [(1, 5, 7, 1, 3.0, "R"), (1, 5, 7, 1, 3.0, "R"), (2, 5, 7, 2, 46.0, "Z")]
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = tally(*tree_queries.order_tree(spark, str(tmp_path)), TreeGrammar(compile_text(catalogue.ORDER)))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange ") == plan.count("REPARTITION_BY_NUM") == 4
+    assert {tuple(r) for r in tree_queries.tree_order_faults(spark, str(tmp_path)).collect()} == {(2, "text", 2), (2, "attribute", 1), (3, "element-close", 1)}
+    assert {tuple(r) for r in tree_queries.tree_orders(spark, str(tmp_path)).collect()} == {(1, True), (2, False), (3, False)}
+
+
+def test_checks_of_texts_are_no_part_of_a_generated_method(spark):
+    """A method of more than 8000 bytes is interpreted by the virtual machine instead of compiled."""
+    nodes, atts = scattered(random.Random(1))
+    found = tally(spark.createDataFrame(nodes, NODES), spark.createDataFrame(atts, ATTRIBUTES), TreeGrammar(compile_text(ORDERED)))
+    stages = found._jdf.queryExecution().debug().codegenToSeq()
+    for plan in [stages.apply(i) for i in range(stages.length())]:
+        assert plan._3().maxMethodCodeSize() < 8000

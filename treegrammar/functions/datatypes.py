@@ -390,8 +390,11 @@ def _column(d: Datatype, c: Column) -> Column:
             out = out if not limits else out & _all(_bound(x.cast("decimal(38,0)"), k, F.lit(Decimal(b))) for k, b in limits)
         else:
             limits += [("minInclusive", low)] * (low is not None) + [("maxInclusive", high)] * (high is not None)
-            for k, b in limits:
-                out = out & _order(v, b, k)
+            exact = _all(_order(v, b, k) for k, b in limits)
+            if limits and all(abs(b) < 2**63 for _, b in limits):  # most numbers are short
+                x = v.try_cast("bigint")
+                exact = F.when(v.rlike(full("[+-]?[0-9]{1,18}")), _all(_bound(x, k, F.lit(int(b)).cast("bigint")) for k, b in limits)).otherwise(exact)
+            out = out & exact
     elif d.name == "decimal":
         out = out & v.rlike(full(DECIMAL))
         for k, b in d.facets:

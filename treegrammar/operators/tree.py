@@ -5,7 +5,7 @@ a column that orders siblings, its name, and the text it holds.  An attribute is
 
 A schema becomes a deterministic tree grammar: every element pattern is a type, and a child's type follows from its parent's
 type and its own name.  Nodes are typed from the root down, a level to a join, and written with their types in the shared folder.  Then five things are checked, each a relation of
-faulty rows:
+faulty rows (faults()):
 
 - element-start: a node whose name has no type below its parent;
 - element-close: children that do not make up their parent's content.  Interleaves, and all other contents in which only counts
@@ -15,6 +15,10 @@ faulty rows:
 - attribute: an attribute that its element can't have, or whose value is none of its type's;
 - element-open-end: a required attribute (rows of element and name) that is not among the present ones, by an anti-join.
 
+Where only numbers of faults are asked for (fault_counts(), validate_tree()), and names alone tell types apart, nothing is joined: a node goes to its own
+key and to its parent's, an attribute to its owner's, and one aggregation of fixed width counts the faults of every element (tally()).  Documents whose nodes
+are not where their names say (misplaced, orphans, repeated) are in doubt, and only they are typed level by level.
+
 Which schemas: refused with ValueError is one where two element patterns of one content take the same name but differ, where an
 attribute stands in a choice with elements, text or other attributes, where a list or a QName value is wanted, or where an interleave's parts are
 ordered within themselves; validate() takes those.
@@ -67,6 +71,7 @@ class Type:
     children: dict[int, object] = field(default_factory=dict)  # type -> name class
     counts: list[Count] | None = None
     regex: str | None = None
+    parts: list[Count] | None = None  # the same, if it is counts of classes that follow one another
     text: tuple | None = None  # pattern of its text; None: only blanks
     mixed: bool = False
 
@@ -132,6 +137,10 @@ class TreeGrammar:
             t.counts = merged(self.counted(rest))
         except ValueError:
             t.regex = self.word(rest)
+            try:
+                t.parts = self.sequence(rest)
+            except ValueError:
+                t.parts = None
 
     def without_attributes(self, p: tuple, found: list[Attribute]) -> tuple:
         """What is left of p; its attributes go to found."""
@@ -193,6 +202,27 @@ class TreeGrammar:
             return f"(?:{self.word(p[1])})+"
         raise ValueError("parts of an interleave must not be ordered within themselves")
 
+    def sequence(self, p: tuple) -> list[Count]:
+        """Counts of classes without common types that follow one another.  ValueError for all other contents."""
+        if p[0] != "group":
+            counts = merged(self.counted(p))
+            if len(counts) > 1:
+                raise ValueError("in any order")
+            return counts
+        out: list[Count] = []
+        for c in (c for q in p[1] for c in self.sequence(q)):
+            out = out[:-1] + merged([out[-1], c]) if out and out[-1].types == c.types else [*out, c]
+        for i, c in enumerate(out):
+            for b in out[:i]:  # siblings of one pos are ordered by type, which must be the classes' order or its reverse
+                if b.types & c.types or not (max(b.types) < min(c.types) or min(b.types) > max(c.types)):
+                    raise ValueError("classes overlap")
+        return out
+
+    def names_tell(self) -> bool:
+        """Whether a node's name alone says its type, if it has one at all, and types go down a bounded way."""
+        types = self.types[1:]
+        return depth_of(self) is not None and not any(overlap(a.names, b.names) for i, a in enumerate(types) for b in types[:i])
+
     def counted(self, p: tuple) -> list[Count]:
         """The counting normal form: p takes every word with these counts, in any order.  ValueError if order matters."""
         if p[0] == "empty":
@@ -483,9 +513,163 @@ def identities(p: tuple) -> list[tuple]:
     return [p] if p[0] == "data" and getattr(p[1], "name", "") in ("ID", "IDREF") else []
 
 
+KINDS = ["element-start", "text", "element-close", "attribute", "element-open-end", "document"]
+SELF, CHILD, OWNED = 0, 1, 2  # what a row says of the key it is counted under
+WIDEST = 62  # counters and bits of a tally
+
+
+def tally(nodes: DataFrame, attributes: DataFrame | None, grammar: TreeGrammar) -> DataFrame | None:
+    """(doc, a number for each of KINDS, doubt): a row for each document.  Where doubt is true the numbers say nothing.  None where an aggregation can't count them.
+
+    In a document without doubt every node whose name has a type is of that type: its parent is there, once, and takes it, so that (as types
+    go down a bounded way) a chain of such parents leads to a root.  Nodes without type are faults of a parent that has one, and what is below them is not looked at."""
+    types = grammar.types
+    if not grammar.names_tell():
+        return None
+    of_node = {f.name: f.dataType for f in nodes.schema}
+    if of_node["parent"] != of_node["node"] or attributes is not None and any(attributes.schema[c].dataType != of_node[c] for c in ("doc", "node")):
+        return None
+    holders = [n for n, t in enumerate(types) if n and t.attributes]
+    wanted = [(n, a) for n in holders for a in types[n].attributes if a.least]
+    integral = of_node["pos"].typeName() in ("byte", "short", "integer")
+    ordered = [n for n, t in enumerate(types) if n and t.regex is not None]
+    placed = {n: types[n].parts for n in ordered if integral and types[n].parts is not None}
+    classes = list({c.types: None for parts in placed.values() for c in parts})
+    if len(types) + 2 * len(classes) + len(holders) + len(wanted) > WIDEST:
+        return None
+    element, zero = [F.col("ns"), F.col("local")], F.lit(0).cast("long")
+    kind, of, children = F.col("_k"), F.col("type"), range(1, len(types))
+
+    def bit(i: int) -> Column:
+        return F.lit(1 << i).cast("long")
+
+    # a row for each thing that is known of a key
+    named = F.coalesce(*(F.when(t.names.column(*element), F.lit(n)) for n, t in enumerate(types) if n), F.lit(STRANGE))
+
+    def unsaid(text: Column) -> Column:
+        said = {n: check(t.text)(text) if t.text else F.lit(True) if t.mixed else is_whitespace_column(text) for n, t in enumerate(types) if n}
+        return ~by_type(of, said, F.lit(True))
+
+    # checks of all types in one generated method would be too long to be compiled; in a lambda they are not generated
+    bad = F.exists(F.array(F.coalesce(F.col("text").cast("string"), F.lit(""))), unsaid)
+    known = nodes.select("doc", "node", "parent", F.col("pos").cast("long").alias("pos") if integral else "pos", *element, "text").withColumn("type", named)
+    known = known.select("doc", "node", "parent", "pos", "type", F.coalesce(bad, F.lit(False)).alias("bad"))
+    uses = [(SELF, "node"), (CHILD, "parent")]
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("_k"), F.col(c).alias("id")) for k, c in uses))).alias("u")
+    rows = known.select("doc", "pos", "type", "bad", F.col("parent").isNull().alias("root"), each).select("doc", "u.id", "u._k", "pos", "type", "bad", "root", zero.alias("bits"))
+    rows = rows.where((kind == SELF) | F.col("id").isNotNull())
+    if attributes is not None:
+        value = F.coalesce(F.col("value").cast("string"), F.lit(""))
+        said = [~any_of([a.names.column(*element) & value_of(a)(value) for a in types[n].attributes]) for n in holders] + [a.names.column(*element) for _, a in wanted]
+        bits = reduce(lambda x, y: x.bitwiseOR(y), (F.when(b, bit(i)).otherwise(zero) for i, b in enumerate(said)), zero)
+        owned = attributes.where(F.col("node").isNotNull()).select("doc", F.col("node").alias("id"), F.lit(OWNED).alias("_k"), F.lit(None).cast(known.schema["pos"].dataType).alias("pos"), F.lit(0).alias("type"), F.lit(False).alias("bad"), F.lit(False).alias("root"), bits.alias("bits"))
+        rows = rows.union(owned)
+
+    # counted under each key
+    is_self, is_child = kind == SELF, kind == CHILD
+    sums = [F.count_if(is_self).alias("selfs"), F.max(F.when(is_self, of)).alias("type"), F.count_if(is_self & F.col("root")).alias("roots"), F.count_if(is_self & F.col("bad")).alias("bad")]
+    sums += [F.count_if(is_child & (of == STRANGE)).alias("_s"), *(F.count_if(is_child & (of == n)).alias(f"_n{n}") for n in children)]
+    if attributes is not None:
+        sums += [F.count_if(kind == OWNED).alias("_a"), F.bit_or(F.when(kind == OWNED, F.col("bits"))).alias("_had")]
+        sums += [F.count_if((kind == OWNED) & (F.col("bits").bitwiseAND(bit(i)) != 0)).alias(f"_f{n}") for i, n in enumerate(holders)]
+    place = F.coalesce(F.col("pos"), F.lit(-(1 << 63))) if integral else F.col("pos")  # null goes first
+    for i, c in enumerate(classes):
+        here = F.when(is_child & of.isin(*sorted(c)), place)
+        sums += [F.min(here).alias(f"_first{i}"), F.max(here).alias(f"_last{i}")]
+    gathered = sorted({c for n in ordered if n not in placed for c in types[n].children})
+    if gathered:
+        letters = F.substring(F.lit("".join(symbol(n) for n in range(len(types)))), of + 1, F.lit(1))
+        one = F.when(is_child & of.isin(*gathered), F.struct("pos", letters.alias("s")))
+        sums.append(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["s"]), "").alias("_word"))
+    keys = rows.groupBy("doc", "id").agg(*sums)
+
+    # judged
+    def number(of_types) -> Column:
+        return reduce(lambda a, b: a + b, (F.col(f"_n{n}") for n in sorted(of_types)), zero)
+
+    def between(c: Count) -> Column:
+        return number(c.types) >= c.least if c.most is None else number(c.types).between(c.least, c.most)
+
+    fits, lacks, strange, misplaced = {}, {}, {}, {}
+    had = F.lit(0).cast("long") if attributes is None else F.coalesce(F.col("_had"), zero)
+    for n in children:
+        t = types[n]
+        misplaced[n] = number(set(children) - set(t.children)) > 0
+        if t.counts is not None:
+            fits[n] = reduce(lambda a, b: a & b, map(between, t.counts), F.lit(True))
+        elif n in placed:
+            parts = t.parts
+            fits[n] = reduce(lambda a, b: a & b, map(between, parts), F.lit(True))
+            for j, c in enumerate(parts):
+                for b in parts[:j]:
+                    last, first = F.col(f"_last{classes.index(b.types)}"), F.col(f"_first{classes.index(c.types)}")
+                    fits[n] &= F.coalesce(last <= first if max(b.types) < min(c.types) else last < first, F.lit(True))
+        else:
+            fits[n] = F.coalesce(F.col("_word"), F.lit("")).rlike(f"\\A(?:{t.regex})\\z")
+        if attributes is not None:
+            strange[n] = F.col(f"_f{n}") if n in holders else F.col("_a")
+        lacks[n] = reduce(lambda a, b: a + b, (F.when(had.bitwiseAND(bit(len(holders) + i)) == 0, 1).otherwise(0).cast("long") for i, (m, _) in enumerate(wanted) if m == n), zero)
+    has_type = of != STRANGE
+    judged = {
+        "element-start": F.when(has_type, F.col("_s")).when(of == STRANGE, F.col("roots")).otherwise(zero),
+        "text": F.when(has_type, F.col("bad")).otherwise(zero),
+        "element-close": F.when(has_type & ~by_type(of, fits, F.lit(True)), 1).otherwise(0).cast("long"),
+        "attribute": by_type(of, strange, zero),
+        "element-open-end": by_type(of, lacks, zero),
+    }
+    below = number(children)
+    repeated, orphans, under = F.col("selfs") > 1, (F.col("selfs") == 0) & (below + F.col("_s") > 0), (of == STRANGE) & (below > 0)
+    no_root = has_type & (F.col("roots") > 0) & by_type(of, {n: F.lit(False) for n in types[0].children}, F.lit(True))
+    doubt = repeated | orphans | under | no_root | by_type(of, misplaced, F.lit(False))
+    judged_keys = keys.select("doc", "selfs", "roots", F.coalesce(doubt, F.lit(False)).alias("doubt"), *(c.alias(k) for k, c in judged.items()))
+    docs = judged_keys.groupBy("doc").agg(F.sum("selfs").alias("selfs"), F.sum("roots").alias("roots"), F.count_if("doubt").alias("doubts"), *(F.sum(F.col(f"`{k}`")).alias(k) for k in judged)).where("selfs > 0")
+    return docs.select("doc", *(F.col(f"`{k}`") for k in judged), F.when(F.col("roots") != 1, 1).otherwise(0).cast("long").alias("document"), (F.col("doubts") > 0).alias("doubt"))
+
+
+def of_docs(rows: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """The rows of these documents, written."""
+    docs = docs.select(F.col("doc").alias("_doc"))
+    return cut(rows.sparkSession, rows.join(merging(docs), F.col("doc").eqNullSafe(F.col("_doc")), "left_semi"), name)
+
+
+def counted(nodes: DataFrame, attributes: DataFrame | None, grammar: TreeGrammar) -> tuple[DataFrame, DataFrame] | None:
+    """tally(), written, and (doc, kind, faults) of its documents in doubt, which are typed level by level.  None if there is no tally."""
+    found = tally(nodes, attributes, grammar)
+    if found is None:
+        return None
+    found = cut(nodes.sparkSession, found, "tally")
+    again = found.where("doubt")
+    if again.isEmpty():
+        return found, again.select("doc", F.lit(None).cast("string").alias("kind"), F.lit(0).cast("long").alias("faults"))
+    some = None if attributes is None else of_docs(attributes.select("doc", "node", "ns", "local", "value"), again, "attributes")
+    return found, by_kind(faults(of_docs(nodes.select(*NODE), again, "nodes"), some, grammar))
+
+
+def by_kind(found: DataFrame) -> DataFrame:
+    return found.groupBy("doc", "kind").agg(F.count("*").alias("faults"))
+
+
+def fault_counts(nodes: DataFrame, attributes: DataFrame | None, schema: CompiledSchema | TreeGrammar) -> DataFrame:
+    """(doc, kind, faults): how many faults of each kind a document has, as far as it has any."""
+    grammar = schema if isinstance(schema, TreeGrammar) else TreeGrammar(schema)
+    known = counted(nodes, attributes, grammar)
+    if known is None:
+        return by_kind(faults(nodes, attributes, grammar))
+    found, exact = known
+    each = F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"`{k}`").alias("faults")) for k in KINDS)))
+    return found.where("not doubt").select("doc", each).where("faults > 0").union(exact)
+
+
 def validate_tree(nodes: DataFrame, attributes: DataFrame | None, schema: CompiledSchema | TreeGrammar, doc: str = "doc") -> DataFrame:
     """(doc, valid, faults): every document of the node table and how many faults it has."""
-    bad = faults(nodes, attributes, schema).groupBy(F.col("doc").alias("_doc")).agg(F.count("*").alias("faults"))
-    docs = nodes.select("doc").distinct()
-    rows = docs.join(merging(bad), F.col("doc").eqNullSafe(F.col("_doc")), "left")
-    return rows.select(F.col("doc").alias(doc), F.col("faults").isNull().alias("valid"), F.coalesce("faults", F.lit(0)).cast("long").alias("faults"))
+    grammar = schema if isinstance(schema, TreeGrammar) else TreeGrammar(schema)
+    known = counted(nodes, attributes, grammar)
+    if known is None:
+        docs, bad = nodes.select("doc").distinct(), by_kind(faults(nodes, attributes, grammar))
+    else:
+        docs, bad = known[0].where("doubt").select("doc"), known[1]
+    bad = bad.groupBy(F.col("doc").alias("_doc")).agg(F.sum("faults").alias("faults"))
+    rows = docs.join(merging(bad), F.col("doc").eqNullSafe(F.col("_doc")), "left").select("doc", F.coalesce("faults", F.lit(0)).cast("long").alias("faults"))
+    if known is not None:
+        rows = known[0].where("not doubt").select("doc", reduce(lambda a, b: a + b, (F.col(f"`{k}`") for k in KINDS)).alias("faults")).union(rows)
+    return rows.select(F.col("doc").alias(doc), (F.col("faults") == 0).alias("valid"), "faults")

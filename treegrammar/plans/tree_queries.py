@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from treegrammar.operators.fold import automaton, fold_valid
-from treegrammar.operators.tree import NODE, faults, identity_faults, validate_tree
+from treegrammar.operators.tree import NODE, fault_counts, faults, identity_faults, validate_tree
 from treegrammar.plans import catalogue
 from treegrammar.plans.catalogue import table
 from treegrammar.plans.model import compile_text
@@ -27,7 +27,7 @@ def query(name: str, sql: str):
 def nodes(rows: DataFrame, doc: str, node: Column, parent: Column | None, local: Column, text: Column | None = None, pos: Column | None = None) -> DataFrame:
     """A part of a node table."""
     nothing = F.lit(None).cast("string")
-    return rows.select(F.col(doc).alias("doc"), node.alias("node"), (nothing if parent is None else parent).alias("parent"), (F.lit(None).cast("string") if pos is None else pos).alias("pos"), F.lit("").alias("ns"), local.alias("local"), (nothing if text is None else text).alias("text")).select(*NODE)
+    return rows.select(F.col(doc).alias("doc"), node.alias("node"), (nothing if parent is None else parent).alias("parent"), (F.lit(None).cast("int") if pos is None else pos).alias("pos"), F.lit("").alias("ns"), local.alias("local"), (nothing if text is None else text).alias("text")).select(*NODE)
 
 
 def attributes(rows: DataFrame, doc: str, node: Column, **values: Column) -> DataFrame:
@@ -36,18 +36,25 @@ def attributes(rows: DataFrame, doc: str, node: Column, **values: Column) -> Dat
     return rows.select(F.col(doc).alias("doc"), node.alias("node"), each).select("doc", "node", F.lit("").alias("ns"), "a.local", "a.value").where("value is not null")
 
 
+ROWS = 150_000  # line items of a partition, whose elements are counted in memory
+
+
 def order_tree(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Orders with their line items as nodes and attributes; items of an order are told apart by their place in it."""
+    """Orders with their line items as nodes and attributes; items of an order are told apart by their place in it.
+
+    Both tables are dealt out alike by order, so that nothing that is counted by document and node is shuffled again."""
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    rows = orders.count() + items.count()
+    n = max(rows // ROWS, min(rows // 10_000, spark.sparkContext.defaultParallelism)) + 1
+    orders, items = orders.repartition(n, "o_orderkey"), items.repartition(n, "l_orderkey")
     place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_returnflag", "l_quantity", "l_partkey", "l_suppkey")
     items = items.select("l_orderkey", F.col("l_linenumber"), "l_returnflag", F.col("l_quantity").cast("bigint").cast("string").alias("qty"), F.row_number().over(place).alias("at"))
     key = lambda letter: F.concat(F.lit(letter), F.col("at").cast("string"))
-    at = F.lpad(F.col("at").cast("string"), 10, "0")
     parts = F.explode(
         F.array(
-            F.struct(key("i").alias("node"), F.lit("order").alias("parent"), at.alias("pos"), F.lit("item").alias("local"), F.lit(None).cast("string").alias("text")),
-            F.struct(key("f").alias("node"), key("i").alias("parent"), F.lit("1").alias("pos"), F.lit("flag").alias("local"), F.col("l_returnflag").alias("text")),
-            F.struct(key("q").alias("node"), key("i").alias("parent"), F.lit("2").alias("pos"), F.lit("qty").alias("local"), F.col("qty").alias("text")),
+            F.struct(key("i").alias("node"), F.lit("order").alias("parent"), F.col("at").alias("pos"), F.lit("item").alias("local"), F.lit(None).cast("string").alias("text")),
+            F.struct(key("f").alias("node"), key("i").alias("parent"), F.lit(1).alias("pos"), F.lit("flag").alias("local"), F.col("l_returnflag").alias("text")),
+            F.struct(key("q").alias("node"), key("i").alias("parent"), F.lit(2).alias("pos"), F.lit("qty").alias("local"), F.col("qty").alias("text")),
         )
     ).alias("p")
     inner = items.select(F.col("l_orderkey").alias("doc"), parts).select("doc", "p.node", "p.parent", "p.pos", F.lit("").alias("ns"), "p.local", "p.text")
@@ -67,8 +74,8 @@ def tree_orders(spark, sf_dir):
   UNION ALL SELECT l_orderkey, 'text' FROM lineitem WHERE CAST(l_quantity AS BIGINT) NOT BETWEEN 1 AND 45) GROUP BY o_orderkey, kind""")
 def tree_order_faults(spark, sf_dir):
     """All faults of every order that has any, by kind."""
-    found = faults(*order_tree(spark, sf_dir), compile_text(catalogue.ORDER))
-    return found.groupBy(F.col("doc").alias("o_orderkey"), "kind").agg(F.count("*").alias("faults"))
+    found = fault_counts(*order_tree(spark, sf_dir), compile_text(catalogue.ORDER))
+    return found.withColumnRenamed("doc", "o_orderkey")
 
 
 def log_tree(spark, sf_dir) -> DataFrame:
@@ -92,7 +99,7 @@ def tree_conversations(spark, sf_dir):
     """An ordered content: one regular expression over the turns of a conversation."""
     rows = table(spark, sf_dir, "conversations").withColumn("at", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role")))
     root = nodes(rows.select("conv_id").distinct(), "conv_id", F.lit("conv"), None, F.lit("conv"))
-    turns = nodes(rows, "conv_id", F.col("at").cast("string"), F.lit("conv"), F.col("role"), None, F.lpad(F.col("at").cast("string"), 10, "0"))
+    turns = nodes(rows, "conv_id", F.col("at").cast("string"), F.lit("conv"), F.col("role"), None, F.col("at"))
     return validate_tree(root.union(turns), None, compile_text(catalogue.CONV), "conv_id").select("conv_id", "valid")
 
 
