@@ -1,6 +1,7 @@
 """Node tables against the automaton: the same documents as rows and as XML."""
 
 import itertools
+import os
 import random
 from collections import Counter
 from xml.sax.saxutils import escape, quoteattr
@@ -11,7 +12,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from treegrammar.functions import names as nc
-from treegrammar.operators.tree import TreeGrammar, fault_counts, faults, identity_faults, tally, validate_tree
+from treegrammar.functions.datatypes import XSD, compile_value
+from treegrammar.operators.tree import TreeGrammar, check, fault_counts, faults, identity_faults, tally, validate_tree
 from treegrammar.operators.validate import validate_one
 from treegrammar.plans import catalogue, tree_queries
 from treegrammar.plans.model import compile_text
@@ -233,3 +235,28 @@ def test_checks_of_texts_are_no_part_of_a_generated_method(spark):
     stages = found._jdf.queryExecution().debug().codegenToSeq()
     for plan in [stages.apply(i) for i in range(stages.length())]:
         assert plan._3().maxMethodCodeSize() < 8000
+
+
+def test_blanks_of_a_text_are_collapsed_once(spark):
+    """All checks of a text share its collapsed form, and elements of orders go by numbers."""
+    text, normal = F.col("text"), F.col("normal")
+    for t in TreeGrammar(compile_text(catalogue.ORDER)).types:
+        for p in [t.text] * bool(t.text) + [a.value for a in t.attributes]:
+            assert "regexp_replace" in str(check(p)(text)) and "[" not in str(check(p)(text, normal)).replace("[+-]", "").replace("[0-9]", "")
+    sf = "/root/testdata/sf0.001"
+    if os.path.exists(sf):
+        nodes, atts = tree_queries.order_tree(spark, sf)
+        assert {dict(nodes.dtypes)[c] for c in ("doc", "node", "parent")} == {"bigint"} == {dict(atts.dtypes)["node"]}
+
+
+def test_own_datatypes_take_a_column_alone(spark):
+    class Even:
+        def check(self, s, *resolve):
+            return s.strip() in "02468"
+
+        def column(self, c):
+            return F.trim(c).isin(*"02468")
+
+    grammar = check(("choice", (("data", Even()), ("value", compile_value(XSD, "int", "7")))))
+    rows = spark.createDataFrame([(" 2 ", "2"), ("3", "3"), (" 07", "07")], "text string, normal string")
+    assert [r.ok for r in rows.select(grammar(F.col("text"), F.col("normal")).alias("ok")).collect()] == [True, False, True]

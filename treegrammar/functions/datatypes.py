@@ -215,9 +215,9 @@ class Datatype:
         found = zip(("min", "max", "min_length", "max_length"), (*self.bounds(), *self.lengths()))
         return [(k, str(v)) for k, v in found if v is not None]
 
-    def column(self, c: Column) -> Column:
-        """True where the value is valid; false for null."""
-        return F.coalesce(c.isNotNull() & _column(self, c), F.lit(False))
+    def column(self, c: Column, normal: Column | None = None) -> Column:
+        """True where the value is valid; false for null.  normal: c with its blanks collapsed, where it is at hand."""
+        return F.coalesce(c.isNotNull() & _column(self, c, normal), F.lit(False))
 
 
 def compile_datatype(library: str, name: str, facets: list[tuple[str, str]], compat: bool = False) -> Datatype:
@@ -370,10 +370,10 @@ def _order(c: Column, value: int | Decimal, key: str) -> Column:
     return {"minInclusive": above | equal, "minExclusive": above, "maxInclusive": ~above, "maxExclusive": ~above & ~equal, "equal": equal}[key]
 
 
-def _column(d: Datatype, c: Column) -> Column:
+def _column(d: Datatype, c: Column, normal: Column | None = None) -> Column:
     if d.library == BUILTIN:
         return F.lit(True)
-    v = normalize_ws(c) if d.collapses() else c
+    v = (normalize_ws(c) if normal is None else normal) if d.collapses() else c
     out = F.lit(True)
     for pattern in d.patterns():
         out = out & v.rlike(pattern if d.compat else full(xsd_pattern(pattern, True)))
@@ -463,14 +463,14 @@ class Value:
             return local == own and ((resolve(prefix) if resolve else None) or "") == self.namespace
         return self.key(s) == self.key(self.value)
 
-    def column(self, c: Column, prefixes: dict[str, str] | None = None) -> Column:
-        """True where check() is. prefixes: what stands for a QName's prefixes (the empty one too) wherever the column comes from."""
-        return F.coalesce(self._same(c, prefixes or {}), F.lit(False))
+    def column(self, c: Column, prefixes: dict[str, str] | None = None, normal: Column | None = None) -> Column:
+        """True where check() is. prefixes: what stands for a QName's prefixes (the empty one too) wherever the column comes from.  normal: c with its blanks collapsed, where it is at hand."""
+        return F.coalesce(self._same(c, prefixes or {}, normal), F.lit(False))
 
-    def _same(self, c: Column, prefixes: dict[str, str]) -> Column:
+    def _same(self, c: Column, prefixes: dict[str, str], normal: Column | None) -> Column:
         if (self.library, self.name) in ((BUILTIN, "string"), (XSD, "string")):
             return c == self.value
-        v, own = normalize_ws(c), normalize_whitespace(self.value)
+        v, own = normalize_ws(c) if normal is None else normal, normalize_whitespace(self.value)
         if self.library != XSD:
             return v == own
         if self.name == "QName":

@@ -36,6 +36,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treegrammar.functions.datatypes import Datatype, Value
 from treegrammar.functions.names import overlap
 from treegrammar.functions.text import is_whitespace_column, normalize_ws
 from treegrammar.plans.model import CompiledSchema
@@ -300,22 +301,22 @@ def either(ways: list[list[Count]]) -> list[Count]:
 
 
 def check(p: tuple):
-    """Column -> Column: whether a text is a value of p. ValueError where no column says so."""
+    """(column, the same with blanks collapsed if it is at hand) -> column: whether a text is a value of p. ValueError where no column says so."""
     kind = p[0]
     if kind == "text" or p == ("one_or_more", ("text",)):
-        return lambda c: F.lit(True)
+        return lambda c, normal=None: F.lit(True)
     if kind in ("empty", "not_allowed"):
-        return is_whitespace_column if kind == "empty" else lambda c: F.lit(False)
+        return lambda c, normal=None: is_whitespace_column(c) if kind == "empty" else F.lit(False)
     if kind == "choice":
         parts = [check(q) for q in p[1]]
-        return lambda c: reduce(lambda a, b: a | b, [f(c) for f in parts])
+        return lambda c, normal=None: reduce(lambda a, b: a | b, [f(c, normal) for f in parts])
     if kind == "data" or kind == "value":
         if getattr(p[1], "name", "") == "QName":
             raise ValueError("QName values need the prefixes in scope")
-        return p[1].column
+        return (lambda c, normal=None: p[1].column(c, normal=normal)) if isinstance(p[1], (Datatype, Value)) else lambda c, normal=None: p[1].column(c)
     if kind == "data_except":
-        without = check(p[2])
-        return lambda c: p[1].column(c) & ~without(c)
+        value, without = check(("data", p[1])), check(p[2])
+        return lambda c, normal=None: value(c, normal) & ~without(c, normal)
     raise ValueError(f"{kind} as text needs the automaton")
 
 
@@ -545,24 +546,23 @@ def tally(nodes: DataFrame, attributes: DataFrame | None, grammar: TreeGrammar)
 
     # a row for each thing that is known of a key
     named = F.coalesce(*(F.when(t.names.column(*element), F.lit(n)) for n, t in enumerate(types) if n), F.lit(STRANGE))
-
-    def unsaid(text: Column) -> Column:
-        said = {n: check(t.text)(text) if t.text else F.lit(True) if t.mixed else is_whitespace_column(text) for n, t in enumerate(types) if n}
-        return ~by_type(of, said, F.lit(True))
-
+    text, normal = F.coalesce("text", F.lit("")), F.coalesce(normalize_ws(F.col("text")), F.lit(""))
+    said = {n: check(t.text)(text, F.col("normal")) if t.text else F.lit(True) if t.mixed else (text == "") | is_whitespace_column(text) for n, t in enumerate(types) if n}
     # checks of all types in one generated method would be too long to be compiled; in a lambda they are not generated
-    bad = F.exists(F.array(F.coalesce(F.col("text").cast("string"), F.lit(""))), unsaid)
-    known = nodes.select("doc", "node", "parent", F.col("pos").cast("long").alias("pos") if integral else "pos", *element, "text").withColumn("type", named)
+    bad = F.exists(F.array(of), lambda n: ~by_type(n, said, F.lit(True)))
+    known = nodes.select("doc", "node", "parent", F.col("pos").cast("long").alias("pos") if integral else "pos", *element, F.col("text").cast("string").alias("text"))
+    known = known.select("doc", "node", "parent", "pos", named.alias("type"), "text", normal.alias("normal"))
     known = known.select("doc", "node", "parent", "pos", "type", F.coalesce(bad, F.lit(False)).alias("bad"))
     uses = [(SELF, "node"), (CHILD, "parent")]
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("_k"), F.col(c).alias("id")) for k, c in uses))).alias("u")
     rows = known.select("doc", "pos", "type", "bad", F.col("parent").isNull().alias("root"), each).select("doc", "u.id", "u._k", "pos", "type", "bad", "root", zero.alias("bits"))
     rows = rows.where((kind == SELF) | F.col("id").isNotNull())
     if attributes is not None:
-        value = F.coalesce(F.col("value").cast("string"), F.lit(""))
-        said = [~any_of([a.names.column(*element) & value_of(a)(value) for a in types[n].attributes]) for n in holders] + [a.names.column(*element) for _, a in wanted]
+        attributes = attributes.where(F.col("node").isNotNull()).select("doc", "node", *element, F.coalesce(F.col("value").cast("string"), F.lit("")).alias("value"))
+        attributes = attributes.withColumn("normal", normalize_ws(F.col("value")))
+        said = [~any_of([a.names.column(*element) & value_of(a)(F.col("value"), F.col("normal")) for a in types[n].attributes]) for n in holders] + [a.names.column(*element) for _, a in wanted]
         bits = reduce(lambda x, y: x.bitwiseOR(y), (F.when(b, bit(i)).otherwise(zero) for i, b in enumerate(said)), zero)
-        owned = attributes.where(F.col("node").isNotNull()).select("doc", F.col("node").alias("id"), F.lit(OWNED).alias("_k"), F.lit(None).cast(known.schema["pos"].dataType).alias("pos"), F.lit(0).alias("type"), F.lit(False).alias("bad"), F.lit(False).alias("root"), bits.alias("bits"))
+        owned = attributes.select("doc", F.col("node").alias("id"), F.lit(OWNED).alias("_k"), F.lit(None).cast(known.schema["pos"].dataType).alias("pos"), F.lit(0).alias("type"), F.lit(False).alias("bad"), F.lit(False).alias("root"), bits.alias("bits"))
         rows = rows.union(owned)
 
     # counted under each key

@@ -49,17 +49,17 @@ def order_tree(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     orders, items = orders.repartition(n, "o_orderkey"), items.repartition(n, "l_orderkey")
     place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_returnflag", "l_quantity", "l_partkey", "l_suppkey")
     items = items.select("l_orderkey", F.col("l_linenumber"), "l_returnflag", F.col("l_quantity").cast("bigint").cast("string").alias("qty"), F.row_number().over(place).alias("at"))
-    key = lambda letter: F.concat(F.lit(letter), F.col("at").cast("string"))
+    root_key, key = F.lit(0).cast("long"), lambda part: F.col("at").cast("long") * 3 + part
     parts = F.explode(
         F.array(
-            F.struct(key("i").alias("node"), F.lit("order").alias("parent"), F.col("at").alias("pos"), F.lit("item").alias("local"), F.lit(None).cast("string").alias("text")),
-            F.struct(key("f").alias("node"), key("i").alias("parent"), F.lit(1).alias("pos"), F.lit("flag").alias("local"), F.col("l_returnflag").alias("text")),
-            F.struct(key("q").alias("node"), key("i").alias("parent"), F.lit(2).alias("pos"), F.lit("qty").alias("local"), F.col("qty").alias("text")),
+            F.struct(key(0).alias("node"), root_key.alias("parent"), F.col("at").alias("pos"), F.lit("item").alias("local"), F.lit(None).cast("string").alias("text")),
+            F.struct(key(1).alias("node"), key(0).alias("parent"), F.lit(1).alias("pos"), F.lit("flag").alias("local"), F.col("l_returnflag").alias("text")),
+            F.struct(key(2).alias("node"), key(0).alias("parent"), F.lit(2).alias("pos"), F.lit("qty").alias("local"), F.col("qty").alias("text")),
         )
     ).alias("p")
     inner = items.select(F.col("l_orderkey").alias("doc"), parts).select("doc", "p.node", "p.parent", "p.pos", F.lit("").alias("ns"), "p.local", "p.text")
-    root = nodes(orders, "o_orderkey", F.lit("order"), None, F.lit("order"))
-    return root.union(inner), attributes(orders, "o_orderkey", F.lit("order"), status=F.col("o_orderstatus")).union(attributes(items, "l_orderkey", key("i"), n=F.col("l_linenumber")))
+    root = nodes(orders, "o_orderkey", root_key, F.lit(None).cast("long"), F.lit("order"))
+    return root.union(inner), attributes(orders, "o_orderkey", root_key, status=F.col("o_orderstatus")).union(attributes(items, "l_orderkey", key(0), n=F.col("l_linenumber")))
 
 
 @query("tree_orders", catalogue.ORACLES["validate_order_docs"])
