@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from treegrammar.functions import names as nc
 from treegrammar.functions.datatypes import XSD, compile_value
-from treegrammar.operators.tree import TreeGrammar, check, fault_counts, faults, identity_faults, tally, validate_tree
+from treegrammar.functions.text import normalize_ws
+from treegrammar.operators.tree import TreeGrammar, check, collapsed, fault_counts, faults, identity_faults, tally, validate_tree
 from treegrammar.operators.validate import validate_one
 from treegrammar.plans import catalogue, tree_queries
 from treegrammar.plans.model import compile_text
@@ -260,3 +261,13 @@ def test_own_datatypes_take_a_column_alone(spark):
     grammar = check(("choice", (("data", Even()), ("value", compile_value(XSD, "int", "7")))))
     rows = spark.createDataFrame([(" 2 ", "2"), ("3", "3"), (" 07", "07")], "text string, normal string")
     assert [r.ok for r in rows.select(grammar(F.col("text"), F.col("normal")).alias("ok")).collect()] == [True, False, True]
+
+
+def test_counted_rows_are_narrow(spark):
+    """Texts without a blank are not searched, and no counter adds a column to the rows that are counted."""
+    rows = spark.createDataFrame([(t,) for t in ["", "a", " a", "a  b", "\ta\n", "a\fb", "\r", "a b ", None]], "t string")
+    for r in rows.select(collapsed(F.col("t")).alias("got"), normalize_ws(F.col("t")).alias("want")).collect():
+        assert r.got == r.want
+    nodes, atts = scattered(random.Random(2))
+    found = tally(spark.createDataFrame(nodes, NODES), spark.createDataFrame(atts, ATTRIBUTES), TreeGrammar(compile_text(ORDERED)))
+    assert "_common_expr" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -516,6 +516,7 @@ def identities(p: tuple) -> list[tuple]:
 
 KINDS = ["element-start", "text", "element-close", "attribute", "element-open-end", "document"]
 SELF, CHILD, OWNED = 0, 1, 2  # what a row says of the key it is counted under
+BAD, ROOT = 0, 1  # bits of a node's own row: its text is none of its type's, it has no parent
 WIDEST = 62  # counters and bits of a tally
 
 
@@ -546,32 +547,41 @@ def tally(nodes: DataFrame, attributes: DataFrame | None, grammar: TreeGrammar)
 
     # a row for each thing that is known of a key
     named = F.coalesce(*(F.when(t.names.column(*element), F.lit(n)) for n, t in enumerate(types) if n), F.lit(STRANGE))
-    text, normal = F.coalesce("text", F.lit("")), F.coalesce(normalize_ws(F.col("text")), F.lit(""))
+    text, normal = F.coalesce("text", F.lit("")), F.coalesce(collapsed(F.col("text")), F.lit(""))
     said = {n: check(t.text)(text, F.col("normal")) if t.text else F.lit(True) if t.mixed else (text == "") | is_whitespace_column(text) for n, t in enumerate(types) if n}
     # checks of all types in one generated method would be too long to be compiled; in a lambda they are not generated
     bad = F.exists(F.array(of), lambda n: ~by_type(n, said, F.lit(True)))
+    blank = [n for n in children if not types[n].text]  # may go without text
+    bad = F.when(F.col("text").isNull() & of.isin(STRANGE, *blank), F.lit(False)).otherwise(F.coalesce(bad, F.lit(False)))
     known = nodes.select("doc", "node", "parent", F.col("pos").cast("long").alias("pos") if integral else "pos", *element, F.col("text").cast("string").alias("text"))
     known = known.select("doc", "node", "parent", "pos", named.alias("type"), "text", normal.alias("normal"))
-    known = known.select("doc", "node", "parent", "pos", "type", F.coalesce(bad, F.lit(False)).alias("bad"))
+    known = known.select("doc", "node", "parent", "pos", "type", F.when(bad, bit(BAD)).otherwise(zero).bitwiseOR(F.when(F.col("parent").isNull(), bit(ROOT)).otherwise(zero)).alias("bits"))
     uses = [(SELF, "node"), (CHILD, "parent")]
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("_k"), F.col(c).alias("id")) for k, c in uses))).alias("u")
-    rows = known.select("doc", "pos", "type", "bad", F.col("parent").isNull().alias("root"), each).select("doc", "u.id", "u._k", "pos", "type", "bad", "root", zero.alias("bits"))
+    rows = known.select("doc", "pos", "type", "bits", each).select("doc", "u.id", "u._k", "pos", "type", "bits")
     rows = rows.where((kind == SELF) | F.col("id").isNotNull())
     if attributes is not None:
         attributes = attributes.where(F.col("node").isNotNull()).select("doc", "node", *element, F.coalesce(F.col("value").cast("string"), F.lit("")).alias("value"))
-        attributes = attributes.withColumn("normal", normalize_ws(F.col("value")))
+        attributes = attributes.withColumn("normal", collapsed(F.col("value")))
         said = [~any_of([a.names.column(*element) & value_of(a)(F.col("value"), F.col("normal")) for a in types[n].attributes]) for n in holders] + [a.names.column(*element) for _, a in wanted]
         bits = reduce(lambda x, y: x.bitwiseOR(y), (F.when(b, bit(i)).otherwise(zero) for i, b in enumerate(said)), zero)
-        owned = attributes.select("doc", F.col("node").alias("id"), F.lit(OWNED).alias("_k"), F.lit(None).cast(known.schema["pos"].dataType).alias("pos"), F.lit(0).alias("type"), F.lit(False).alias("bad"), F.lit(False).alias("root"), bits.alias("bits"))
+        owned = attributes.select("doc", F.col("node").alias("id"), F.lit(OWNED).alias("_k"), F.lit(None).cast(known.schema["pos"].dataType).alias("pos"), F.lit(0).alias("type"), bits.alias("bits"))
         rows = rows.union(owned)
 
     # counted under each key
-    is_self, is_child = kind == SELF, kind == CHILD
-    sums = [F.count_if(is_self).alias("selfs"), F.max(F.when(is_self, of)).alias("type"), F.count_if(is_self & F.col("root")).alias("roots"), F.count_if(is_self & F.col("bad")).alias("bad")]
-    sums += [F.count_if(is_child & (of == STRANGE)).alias("_s"), *(F.count_if(is_child & (of == n)).alias(f"_n{n}") for n in children)]
+    is_self, is_child, is_owned = kind == SELF, kind == CHILD, kind == OWNED
+
+    def having(i: int) -> Column:
+        return F.col("bits").bitwiseAND(bit(i)) != 0
+
+    def many(where: Column) -> Column:
+        return F.count(F.when(where, 1))  # count_if would add a column to every row
+
+    sums = [many(is_self).alias("selfs"), F.max(F.when(is_self, of)).alias("type"), many(is_self & having(ROOT)).alias("roots"), many(is_self & having(BAD)).alias("bad")]
+    sums += [many(is_child & (of == STRANGE)).alias("_s"), *(many(is_child & (of == n)).alias(f"_n{n}") for n in children)]
     if attributes is not None:
-        sums += [F.count_if(kind == OWNED).alias("_a"), F.bit_or(F.when(kind == OWNED, F.col("bits"))).alias("_had")]
-        sums += [F.count_if((kind == OWNED) & (F.col("bits").bitwiseAND(bit(i)) != 0)).alias(f"_f{n}") for i, n in enumerate(holders)]
+        sums += [many(is_owned).alias("_a"), F.bit_or(F.when(is_owned, F.col("bits"))).alias("_had")]
+        sums += [many(is_owned & having(i)).alias(f"_f{n}") for i, n in enumerate(holders)]
     place = F.coalesce(F.col("pos"), F.lit(-(1 << 63))) if integral else F.col("pos")  # null goes first
     for i, c in enumerate(classes):
         here = F.when(is_child & of.isin(*sorted(c)), place)
@@ -622,10 +632,15 @@ def tally(nodes: DataFrame, attributes: DataFrame | None, grammar: TreeGrammar)
     no_root = has_type & (F.col("roots") > 0) & by_type(of, {n: F.lit(False) for n in types[0].children}, F.lit(True))
     doubt = repeated | orphans | under | no_root | by_type(of, misplaced, F.lit(False))
     judged_keys = keys.select("doc", "selfs", "roots", F.coalesce(doubt, F.lit(False)).alias("doubt"), *(c.alias(k) for k, c in judged.items()))
-    docs = judged_keys.groupBy("doc").agg(F.sum("selfs").alias("selfs"), F.sum("roots").alias("roots"), F.count_if("doubt").alias("doubts"), *(F.sum(F.col(f"`{k}`")).alias(k) for k in judged)).where("selfs > 0")
+    docs = judged_keys.groupBy("doc").agg(F.sum("selfs").alias("selfs"), F.sum("roots").alias("roots"), many(F.col("doubt")).alias("doubts"), *(F.sum(F.col(f"`{k}`")).alias(k) for k in judged)).where("selfs > 0")
     return docs.select("doc", *(F.col(f"`{k}`") for k in judged), F.when(F.col("roots") != 1, 1).otherwise(0).cast("long").alias("document"), (F.col("doubts") > 0).alias("doubt"))
 
 
+def collapsed(c: Column) -> Column:
+    """normalize_ws(), which looks at texts with a blank only."""
+    return F.when(any_of([c.contains(b) for b in " \t\n\f\r"]), normalize_ws(c)).otherwise(c)
+
+
 def of_docs(rows: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """The rows of these documents, written."""
     docs = docs.select(F.col("doc").alias("_doc"))
